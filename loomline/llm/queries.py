@@ -5,21 +5,154 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomline.llm import exact_dedup
+from loomline.llm import exact_dedup, secret_scan, url_filter, warc
 from loomline.llm.common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_round_trip(table(spark, sf_dir, "pages")).where("gap IS NULL")
+    return records.select(
+        warc.page_number(F.col("record_id")).alias("page_id"),
+        F.col("full_length").alias("payload_bytes"),
+        F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"),
+        "record_type",
+        warc.page_number(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_exact_dedup": op2_exact_dedup}
+URL_RULES = (
+    url_filter.HostRule("org", "/", "allow"),
+    url_filter.HostRule("example.org", "/es/", "block"),
+    url_filter.HostRule("example.org", "/en/1", "block"),
+    url_filter.HostRule("com", "/fr/", "allow"),
+    url_filter.HostRule("com", "/de/", "block"),
+)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents")).drop("span_list")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op4_url_filter": op4_url_filter,
+    "op9_secret_scan": op9_secret_scan,
+}
 
 SQL: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), d AS (
+  SELECT page_id, strlen(payload) AS n, sha1(payload) AS sha, max(page_id) OVER (PARTITION BY payload) AS top FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((('0x' || substr(sha, 1 + 10 * (i // 8), 10))::UBIGINT >> (35 - 5 * (i % 8))) & 31 AS INT) + 1, 1)
+         FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d
+""",
     "op2_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+""",
+    "op4_url_filter": r"""
+WITH u AS (
+  SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url FROM pages
+), h AS (
+  SELECT r, page_id, url,
+         translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+), j AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM h
+), v AS (
+  SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS fixed FROM j
+), t AS (
+  SELECT DISTINCT r, fixed, unnest(
+    [('h:' || array_to_string(string_split(host, '.')[k:], '.')) FOR k IN range(1, len(string_split(host, '.')) + 1) IF host <> '']
+    || [('p:' || regexp_replace(x, '[0-9]+', '0', 'g')) FOR x IN string_split(path, '/') IF x <> '']
+    || [('q:' || regexp_extract(x, '(?s)^([^=]*)', 1)) FOR x IN string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&') IF x <> '']
+    || CASE WHEN contains(url, '#') THEN ['#'] ELSE [] END) AS token
+  FROM v
+), n AS (
+  SELECT count(*) AS urls FROM v WHERE fixed IS NOT NULL
+), singles AS (
+  SELECT token, count(*) FILTER (fixed = 'block') AS blocked, count(*) AS every FROM t WHERE fixed IS NOT NULL GROUP BY token
+), frequent AS (
+  SELECT t.* FROM t JOIN singles s USING (token), n WHERE fixed IS NOT NULL AND s.blocked >= ceil(0.01 * urls)
+), pairs AS (
+  SELECT a.token AS token, b.token AS other, count(*) FILTER (a.fixed = 'block') AS blocked, count(*) AS every
+  FROM frequent a JOIN frequent b ON a.r = b.r AND a.token < b.token GROUP BY ALL
+), rules AS (
+  SELECT token, NULL AS other FROM singles, n WHERE blocked >= ceil(0.01 * urls) AND blocked / every >= 0.8
+  UNION ALL
+  SELECT token, other FROM pairs, n WHERE blocked >= ceil(0.01 * urls) AND blocked / every >= 0.8
+), hit AS (
+  SELECT DISTINCT a.r FROM t a JOIN rules ON a.token = rules.token
+  WHERE other IS NULL OR EXISTS (SELECT 1 FROM t b WHERE b.r = a.r AND b.token = other)
+)
+SELECT page_id, host, path, rule, CASE WHEN fixed IS NOT NULL THEN fixed WHEN hit.r IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM v LEFT JOIN hit ON v.r = hit.r
+""",
+    "op9_secret_scan": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, coalesce(lang, '') AS repo FROM documents
+), patterns(kind, name, pattern, grp) AS (
+  VALUES (0, 'assign', '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2),
+         (1, 'access', 'AKIA[A-Z0-9]{16,}', 0), (2, 'hex', '[0-9a-f]{24,}', 0), (3, 'owned', '[A-Za-z0-9_-]{20,}', 0)
+), cut AS (
+  SELECT r, 0 AS kind, string_split_regex(text, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?(?:[A-Za-z0-9+/_.=-]+)') AS pieces,
+         regexp_extract_all(text, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS hits,
+         regexp_extract_all(text, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS vals FROM d
+  UNION ALL SELECT r, 1, string_split_regex(text, 'AKIA[A-Z0-9]{16,}'), regexp_extract_all(text, 'AKIA[A-Z0-9]{16,}'), regexp_extract_all(text, 'AKIA[A-Z0-9]{16,}') FROM d
+  UNION ALL SELECT r, 2, string_split_regex(text, '[0-9a-f]{24,}'), regexp_extract_all(text, '[0-9a-f]{24,}'), regexp_extract_all(text, '[0-9a-f]{24,}') FROM d
+  UNION ALL SELECT r, 3, string_split_regex(text, '[A-Za-z0-9_-]{20,}'), regexp_extract_all(text, '[A-Za-z0-9_-]{20,}'), regexp_extract_all(text, '[A-Za-z0-9_-]{20,}') FROM d
+), piece AS (
+  SELECT r, kind, unnest(range(1, len(hits) + 1)) AS k, unnest(pieces[:len(hits)]) AS piece, unnest(hits) AS hit, unnest(vals) AS val FROM cut
+), span AS (
+  SELECT r, kind, hit, val, CAST(sum(length(piece) + length(hit)) OVER (PARTITION BY r, kind ORDER BY k) AS INT) AS stop FROM piece
+), placed AS (
+  SELECT r, kind, stop - length(hit) AS start, stop, val FROM span
+  WHERE CASE kind WHEN 0 THEN length(val) >= 6 WHEN 3 THEN regexp_matches(val, '[A-Za-z]') AND len(regexp_extract_all(val, '[0-9]')) >= 4 ELSE true END
+), candidate AS (
+  SELECT p.*, owner, repo FROM placed p JOIN d USING (r)
+  WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM placed b WHERE b.r = p.r AND b.kind < 3 AND b.start < p.stop AND p.start < b.stop)
+), live AS (
+  SELECT val FROM candidate GROUP BY val HAVING count(DISTINCT owner) <= 1
+), judged AS (
+  SELECT c.*, live.val IS NOT NULL AS live,
+         ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS said FROM candidate c LEFT JOIN live USING (val)
+), by_row AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         string_agg(said, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
+         string_agg(said, ',' ORDER BY start, kind) FILTER (kind < 3 OR live) AS spans,
+         count(*) FILTER (kind = 3 AND live) AS n_owned, count(*) FILTER (kind < 3 AND live) AS n_live, count(*) FILTER (kind < 3 AND NOT live) AS n_copied
+  FROM judged GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM d LEFT JOIN by_row USING (r)
 """,
 }
