@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, exact_dedup, packing, secret_scan, url_filter, warc
+from loomline.llm import bpe, exact_dedup, packing, quality, secret_scan, tool_calls, url_filter, warc
 from loomline.llm.common import table
 
 
@@ -44,10 +44,27 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_table(docs, table(spark, sf_dir, "labels"))
+    return quality.score_table(docs, model).select("doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+TOOL_SCHEMAS = {
+    "reply": {"text": ("string", True), "turn": ("integer", True)},
+    "context": {"text": ("string", True), "turn": ("integer", True)},
+}
+
+
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.dialogue_calls(table(spark, sf_dir, "conversations"))
+    return tool_calls.link_tool_calls(calls, results, TOOL_SCHEMAS)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents")).drop("span_list")
 
@@ -57,7 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
     "op4_url_filter": op4_url_filter,
+    "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
+    "op7_tool_calls": op7_tool_calls,
     "op9_secret_scan": op9_secret_scan,
 }
 
@@ -125,6 +144,33 @@ WITH u AS (
 )
 SELECT page_id, host, path, rule, CASE WHEN fixed IS NOT NULL THEN fixed WHEN hit.r IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM v LEFT JOIN hit ON v.r = hit.r
+""",
+    "op7_tool_calls": r"""
+WITH m AS (
+  SELECT coalesce(CAST(conv_id AS VARCHAR), 'none') AS conversation, turn, coalesce(role, 'none') IN ('user', 'system') AS asks, role, text FROM conversations
+), asked AS (
+  SELECT conversation, conversation || '-' || coalesce(CAST(turn AS VARCHAR), 'none') AS call_id, count(*) AS n_calls,
+         min({'turn': turn, 'name': CASE WHEN role = 'user' THEN 'reply' ELSE 'context' END, 'text': text}) AS c
+  FROM m WHERE asks GROUP BY ALL
+), given AS (
+  SELECT conversation, conversation || '-' || coalesce(CAST(turn - 1 AS VARCHAR), 'none') AS call_id, count(*) AS n_results, min({'turn': turn, 'content': text}) AS r
+  FROM m WHERE NOT asks GROUP BY ALL
+), linked AS (
+  SELECT *, CASE WHEN n_calls IS NULL THEN 'no-call' WHEN n_results IS NULL THEN 'no-result' WHEN r.turn < c.turn THEN 'early-result' ELSE 'linked' END AS status,
+         CASE WHEN n_calls IS NOT NULL THEN CASE WHEN NOT coalesce(c.turn > 0, false) THEN 0
+              WHEN EXISTS (SELECT 1 FROM asked z WHERE z.call_id = conversation || '-0' AND z.conversation = a.conversation) THEN 1 END END AS level
+  FROM asked a FULL JOIN given USING (conversation, call_id)
+)
+SELECT conversation, call_id, status, c.name AS name, c.turn AS call_turn, r.turn AS result_turn,
+       coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results, CAST(level AS BIGINT) AS level,
+       CASE WHEN n_calls IS NULL THEN '' ELSE concat_ws(',', CASE WHEN c.text IS NULL THEN 'missing:text' END, CASE WHEN c.turn IS NULL THEN 'missing:turn' END) END AS errors,
+       n_calls IS NOT NULL AND c.text IS NOT NULL AND c.turn IS NOT NULL AS valid,
+       '{' || concat_ws(',',
+         CASE WHEN n_calls IS NOT NULL THEN '"arguments":{' || concat_ws(',', '"text":' || to_json(c.text), '"turn":' || c.turn) || '}' END,
+         '"content":' || to_json(r.content),
+         CASE WHEN n_calls IS NOT NULL THEN '"depends_on":' || CASE WHEN c.turn > 0 THEN '["' || conversation || '-0"]' ELSE '[]' END END,
+         '"id":"' || call_id || '"', '"level":' || level, '"name":"' || c.name || '"', '"status":"' || status || '"') || '}' AS json
+FROM linked
 """,
     "op9_secret_scan": r"""
 WITH d AS (
