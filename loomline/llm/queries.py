@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, exact_dedup, packing, quality, secret_scan, tool_calls, url_filter, warc
+from loomline.llm import bpe, exact_dedup, ngram_join, packing, quality, secret_scan, tool_calls, url_filter, warc
 from loomline.llm.common import table
 
 
@@ -69,6 +69,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents")).drop("span_list")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_exact_dedup": op2_exact_dedup,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_tool_calls": op7_tool_calls,
     "op9_secret_scan": op9_secret_scan,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 SQL: dict[str, str] = {
