@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, exact_dedup, ngram_join, packing, quality, secret_scan, tool_calls, url_filter, warc
+from loomline.llm import ann, bpe, exact_dedup, ngram_join, packing, quality, secret_scan, tool_calls, url_filter, warc
 from loomline.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 TOOL_SCHEMAS = {
     "reply": {"text": ("string", True), "turn": ("integer", True)},
     "context": {"text": ("string", True), "turn": ("integer", True)},
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op7_tool_calls": op7_tool_calls,
+    "op8_ann": op8_ann,
     "op9_secret_scan": op9_secret_scan,
     "op10_ngram_join": op10_ngram_join,
 }
