@@ -78,8 +78,8 @@ def agreements(hashes: np.ndarray, pct: int) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def _incidence(pct: int, width: int, id_type: pa.DataType):
-    """(id, n, node, grids) of each text; grids only for the first of equal sets in a task."""
+def _incidence(pct: int, width: int):
+    """(row_key, id, text_key, n, node, grids) of each text; grids only for the first of equal sets in a task."""
     grid_type = pa.list_(pa.struct([("need", pa.int32()), ("signatures", pa.list_(pa.int64()))]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +87,7 @@ def _incidence(pct: int, width: int, id_type: pa.DataType):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                values, counts = shingle_sets([t or "" for t in part.column(2).to_pylist()], width)
+                values, counts = shingle_sets([t or "" for t in part.column(3).to_pylist()], width)
                 ends = np.cumsum(counts)
                 nodes, grid_of, needs, grid_ends, signatures = [], [0], [], [0], []
                 for end, n in zip(ends.tolist(), counts.tolist(), strict=True):
@@ -106,7 +106,7 @@ def _incidence(pct: int, width: int, id_type: pa.DataType):
                 flat = np.concatenate(signatures) if signatures else np.empty(0, np.int64)
                 inner = pa.ListArray.from_arrays(pa.array(grid_ends, pa.int32()), pa.array(flat))
                 structs = pa.StructArray.from_arrays([pa.array(needs, pa.int32()), inner], fields=list(grid_type.value_type))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(grid_of, pa.int32()), structs)], ["row_key", "id", "n", "node", "grids"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(grid_of, pa.int32()), structs)], ["row_key", "id", "text_key", "n", "node", "grids"])
 
     return rows
 
@@ -222,6 +222,21 @@ def _links(texts: DataFrame, rows: DataFrame, *, pct: int, width: int, tile: int
     return connected_components(edges)
 
 
+def _labelled(docs: DataFrame, id_col: str, text_col: str, pct: int, width: int, tile: int, broadcast_ids: int) -> DataFrame:
+    """(row_key, id, text_key, n, node) of each row; node names the component, null without words."""
+    if not 50 <= pct <= 100:
+        raise ValueError("pct is from 50 to 100")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), no_text_as_empty(text_col).alias("text"))
+    schema = "row_key long, id long, text_key long, n long, node long, grids array<struct<need:int,signatures:array<long>>>"
+    keyed = with_row_key(texts).select("row_key", "id", F.xxhash64("text").alias("text_key"), "text")
+    rows = materialise(keyed.mapInArrow(_incidence(pct, width), schema), "incidence")
+    labels = _links(texts, rows, pct=pct, width=width, tile=tile, broadcast_ids=broadcast_ids)
+    narrow = rows.select("row_key", "id", "text_key", "n", "node")
+    if labels is None:
+        return narrow
+    return narrow.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node")).drop("label")
+
+
 def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pct: int = 80, width: int = 5, tile: int = 512, broadcast_ids: int = 500_000) -> DataFrame:
     """One row per input row: its id, n_shingles, component_id.
 
@@ -232,17 +247,27 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     null id is in its component but does not name it unless it has no other.
     An empty table gives no rows; other columns aren't read.
     """
-    if not 50 <= pct <= 100:
-        raise ValueError("pct is from 50 to 100")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), no_text_as_empty(text_col).alias("text"))
-    schema = "row_key long, id long, n long, node long, grids array<struct<need:int,signatures:array<long>>>"
-    keyed = with_row_key(texts).select("row_key", "id", "text")
-    rows = materialise(keyed.mapInArrow(_incidence(pct, width, pa.int64()), schema), "incidence")
-    labels = _links(texts, rows, pct=pct, width=width, tile=tile, broadcast_ids=broadcast_ids)
-    narrow = rows.select("row_key", "id", "n", "node")
-    # a node without links is its own component; a row without words has none
-    if labels is not None:
-        narrow = narrow.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node")).drop("label")
-    named = narrow.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("component_id"))
-    out = narrow.join(named, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    labelled = _labelled(docs, id_col, text_col, pct, width, tile, broadcast_ids)
+    # written, so that the join below deals out both sides anew and Spark can split a hot component
+    labelled = materialise(labelled.select("id", "n", "node"), "labelled")
+    named = materialise(labelled.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("component_id")), "named")
+    return labelled.join(named, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pct: int = 80, width: int = 5, tile: int = 512, broadcast_ids: int = 500_000) -> DataFrame:
+    """The rows of docs, with all their columns, of which one stands for each component: the one with the smallest id.
+
+    A null id comes after all others, rows that share an id go by a hash of
+    their text, and of equal rows one stays. Rows without words all stay.
+    """
+    labelled = materialise(_labelled(docs, id_col, text_col, pct, width, tile, broadcast_ids).select("id", "text_key", "node"), "labelled")
+    first = labelled.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("k")).select("k.id", "k.text_key")
+    stay = first.unionByName(labelled.where("node IS NULL").select("id", "text_key").distinct()).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"))
+    stay = materialise(stay, "stay")
+    keyed = docs.withColumn("_text_key", F.xxhash64(no_text_as_empty(text_col)))
+    out = keyed.join(stay, F.col("_text_key").eqNullSafe(F.col("_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    repeats = labelled.where("node IS NOT NULL").groupBy("id", "text_key").count().where("count > 1")
+    if not repeats.isEmpty():  # whole rows that repeat: one of each stays
+        worded = F.col(text_col).rlike("[^ \\t\\n\\x0B\\f\\r]")
+        out = out.where(worded).dropDuplicates(["_text_key", id_col]).unionByName(out.where(~F.coalesce(worded, F.lit(False))))
+    return out.drop("_text_key")

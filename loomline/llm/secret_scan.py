@@ -72,24 +72,29 @@ def ownership(found: DataFrame, max_owners: int) -> DataFrame:
     )
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", max_owners: int = 1) -> DataFrame:
-    """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_copied, span_list.
-
-    ``span_list`` holds struct<start,kind,end> of all spans in order. Null texts
-    count as empty, null owners and repositories as the empty name. Rows that
-    repeat are scanned each on its own and count once for their owner. An empty
-    table gives no rows. Other columns aren't read.
-    """
+def _scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str, max_owners: int) -> DataFrame:
+    """(id, text_key, base, owned, n_live) of each row; spans are struct<start,kind,end>."""
     rows = docs.select(F.col(id_col).alias("id"), no_text_as_empty(text_col).alias("text"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((owner_col, "owner"), (repo_col, "repo"))])
     hashed = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"], F.unhex(F.sha2(s["value"], 256)).alias("hash")))
     rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("wide", wide_spans(F.col("text"), F.col("base")))
-    found = materialise(with_row_key(rows.select("id", "owner", "repo", hashed(F.col("base")).alias("base"), hashed(F.col("wide")).alias("wide"))), "secrets")
+    found = materialise(with_row_key(rows.select("id", F.xxhash64("text").alias("text_key"), "owner", "repo", hashed(F.col("base")).alias("base"), hashed(F.col("wide")).alias("wide"))), "secrets")
     each = found.select("row_key", "owner", "repo", F.explode(F.concat("base", "wide")).alias("s")).select("row_key", "owner", "repo", F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("s.hash").alias("hash"))
     live = ownership(each.select("hash", "owner", "repo"), max_owners).where("live").select("hash")
     # only live values are gathered again for their rows; copied ones, however many rows hold them, end here
     owned = each.join(live, "hash").groupBy("row_key").agg(F.collect_list(F.when(F.col("kind") == 3, F.struct("start", "kind", "end"))).alias("owned"), F.count_if(F.col("kind") < 3).alias("n_live"))
     place = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"]))
-    out = found.join(owned, "row_key", "left").select("id", place(F.col("base")).alias("base"), F.coalesce("owned", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("owned"), F.coalesce("n_live", F.lit(0)).alias("n_live"))
+    return found.join(owned, "row_key", "left").select("id", "text_key", place(F.col("base")).alias("base"), F.coalesce("owned", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("owned"), F.coalesce("n_live", F.lit(0)).alias("n_live"))
+
+
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", max_owners: int = 1) -> DataFrame:
+    """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_copied, span_list.
+
+    ``span_list`` holds struct<start,kind,end> of all spans in order. Null texts
+    count as empty, null owners and repositories as the empty name. Rows that
+    repeat are scanned each on its own and count once for their owner. An empty
+    table gives no rows. Other columns aren't read.
+    """
+    out = _scan(docs, id_col, text_col, owner_col, repo_col, max_owners)
     every = F.array_sort(F.concat("base", "owned"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return out.select(
@@ -102,3 +107,28 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         (F.size("base") - F.col("n_live")).cast("long").alias("n_copied"),
         every.alias("span_list"),
     )
+
+
+def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", max_owners: int = 1) -> DataFrame:
+    """The rows of docs with every span that scan_secrets finds replaced by its kind in brackets.
+
+    Overlapping spans become one, named by the first. Texts without spans, and
+    null ones, stay as they are; those without a candidate are not shuffled.
+    """
+    spans = _scan(docs, id_col, text_col, owner_col, repo_col, max_owners).withColumn("_spans", F.array_sort(F.concat("base", "owned"))).where(F.size("_spans") > 0)
+    # rows equal in id and text have equal base spans; owned ones may differ by owner, all of them are taken
+    spans = spans.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_spans")))).alias("_spans"))
+    candidate = F.col(text_col).rlike("|".join(f"(?:{p})" for p in (ASSIGN, ACCESS, HEX, WIDE)))
+    text, kind = F.col(text_col), F.array(*map(F.lit, KINDS))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        apart = s["start"] >= acc["at"]
+        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        named = F.concat(F.lit("["), F.element_at(kind, s["kind"] + 1), F.lit("]"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], F.array(before, named))).otherwise(acc["out"]).alias("out"))
+
+    done = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
+    keyed = docs.where(candidate).withColumn("_text_key", F.xxhash64(no_text_as_empty(text_col)))
+    changed = keyed.join(spans, F.col("_text_key").eqNullSafe(F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id")), "left").withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(done))
+    return changed.select(docs.columns).unionByName(docs.where(~F.coalesce(candidate, F.lit(False))))
