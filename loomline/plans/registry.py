@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "recent_top_k"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from loomline.plans import evaluate, ingest, story
+
+FLAGSHIP = "story_clustering"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ingest.QUERIES, **story.QUERIES, **evaluate.QUERIES}
+SQL: dict[str, str] = {**ingest.SQL, **story.SQL, **evaluate.SQL}
