@@ -3,15 +3,18 @@
 Distinct vectors are the nodes. They are sorted along random hyperplane codes
 and cut into blocks of at most ``BLOCK`` nodes, so a node's number names its
 block and near nodes often share one. The first graph comes from a few such
-orders: nodes of a run of ``chunk`` are compared with each other. Then rounds of
+orders: nodes of a run of ``chunk`` are compared with each other. More than one
+order is needed to connect the runs. Then rounds of
 NN-descent join the neighbours of neighbours: a block gathers, by joins on the
 block, the vectors of all nodes its own point to or are pointed to by; each of
 its nodes introduces those to each other, new ones to all; what is nearer than a
 node's worst neighbour goes back to that node's block.
 
-A query starts at its own node and keeps the ``beam`` best nodes met. Each round
-joins those not expanded yet with the graph, whose rows hold their neighbours'
-vectors in half precision, until none is left. The best are scored again on the
+Vectors are scaled to a length of at most 1 and get one more component that makes
+it 1, so that the graph links what is near whatever the lengths; a query leaves
+that component out. It starts at its own node and keeps the ``beam`` best nodes met. Each round
+joins those not expanded yet with the graph, whose rows hold the vectors of a
+node's neighbours and of nodes pointing to it in half precision, until none is left. The best are scored again on the
 original vectors in double precision.
 
 Blocks, neighbour lists, beams and messages for a block have fixed bounds, so a
@@ -339,6 +342,47 @@ def build_graph(vectors: DataFrame, count: int, sample: np.ndarray, *, k: int =
     return graph
 
 
+def _pointed_at(k: int):
+    """Each edge told to the node it points to, with the last component of the node it comes from."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = _stack([c.as_buffer() for c in batch.column("ids")], np.int64, k).ravel()
+            scores = _stack([c.as_buffer() for c in batch.column("scores")], np.float32, k).ravel()
+            last = np.repeat(_stack([c.as_buffer() for c in batch.column("vector")], np.float32)[:, -1], k)
+            of = np.repeat(batch.column("nid").to_numpy(), k)
+            fine = ids >= 0
+            # of a task's edges to a node k go on: those that come from the longest vectors
+            i, j, _, at, _ = _best(ids[fine], of[fine], -last[fine], np.flatnonzero(fine), k)
+            yield _message(_to_blocks(i, -1, 0, i, j, np.rec.fromarrays([scores[at], last[at]], dtype=[("s", "<f4"), ("last", "<f4")])))
+
+    return tell
+
+
+def _both_ways(k: int):
+    """Rows (nid, ids) with a node's neighbours and the k nodes pointing to it that have the largest inner products with it."""
+
+    def join(key, graph, told):
+        import pandas as pd
+
+        if not len(graph):
+            return pd.DataFrame({"nid": [], "ids": []})
+        graph = graph.sort_values("nid")
+        nids, own = graph["nid"].to_numpy(), _stack(graph["ids"], np.int64)
+        last = _stack(graph["vector"], np.float32)[:, -1]
+        back = np.full((len(nids), k), -1, np.int64)
+        if len(told):
+            i, j = np.frombuffer(b"".join(told["first"]), np.int64), np.frombuffer(b"".join(told["second"]), np.int64)
+            more = np.frombuffer(b"".join(told["third"]), np.dtype([("s", "<f4"), ("last", "<f4")]))
+            i, j, _, _, rank = _best(i, j, more["s"] - last[np.searchsorted(nids, i)] * more["last"], np.zeros(len(i), np.uint8), k)
+            back[np.searchsorted(nids, i), rank] = j
+        ids = np.sort(np.concatenate([own, back], 1), axis=1)
+        ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
+        return pd.DataFrame({"nid": nids, "ids": [r.tobytes() for r in ids]})
+
+    return join
+
+
 def _with_vectors(k: int):
     """Requests for the vectors of a block's neighbours (kind 1)."""
 
@@ -400,7 +444,7 @@ def _expand(beam: int):
     return tell
 
 
-def _score(k: int, dtype, scale: float):
+def _score(k: int, dtype):
     """Scores of the neighbours of the nodes that queries expand, told to the queries' blocks."""
 
     def score(key, graph, asked):
@@ -448,38 +492,37 @@ def _advance(beam: int):
     return advance
 
 
-def _start(k: int, beam: int):
-    """Beams with a query's own node and its neighbours."""
+def _start(beam: int):
+    """Beams that hold the query's own node."""
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            x = _stack([c.as_buffer() for c in batch.column("vector")], np.float32)
+            x = _stack([c.as_buffer() for c in batch.column("vector")], np.float32).copy()
+            x[:, -1] = 0  # so that scores are inner products of the vectors without the component that evens their lengths
             ids, scores = np.full((n, beam), -1, np.int64), np.full((n, beam), -np.inf, np.float32)
             ids[:, 0], scores[:, 0] = batch.column("nid").to_numpy(), (x * x).sum(1)
-            ids[:, 1 : k + 1] = _stack([c.as_buffer() for c in batch.column("ids")], np.int64, k)
-            scores[:, 1 : k + 1] = _stack([c.as_buffer() for c in batch.column("scores")], np.float32, k)
-            order = np.argsort(-scores, axis=1, kind="stable")
-            ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-            expanded = np.zeros((n, beam), np.uint8)
             cells = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("nid"), batch.column("node"), batch.column("vector"), cells(ids), cells(scores), cells(expanded)], ["nid", "node", "vector", "ids", "scores", "expanded"])
+            yield pa.RecordBatch.from_arrays([batch.column("nid"), batch.column("node"), cells(x), cells(ids), cells(scores), cells(np.zeros((n, beam), np.uint8))], ["nid", "node", "vector", "ids", "scores", "expanded"])
 
     return start
 
 
-def search_graph(graph: DataFrame, query_nodes: DataFrame, *, k: int, beam: int = 256, rounds: int = 16, scale: float = 1.0) -> DataFrame:
+def search_graph(graph: DataFrame, query_nodes: DataFrame, *, k: int, beam: int = 256, rounds: int = 16) -> DataFrame:
     """(node, nid array<long> best first) for the nodes of query_nodes (node) by greedy search."""
     half = np.float16
     own = graph.select("nid", "node", "vector", "ids", "scores").withColumn("block", F.shiftright("nid", BITS))
-    asks = graph.select("nid", "ids").groupBy(_by_block()).applyInPandas(_with_vectors(k), MESSAGE)
+    told = graph.select("nid", "vector", "ids", "scores").mapInArrow(_pointed_at(k), MESSAGE)
+    linked = materialise(_meet(own, told, _both_ways(k), "nid long, ids binary"), "linked")
+    asks = linked.groupBy(_by_block()).applyInPandas(_with_vectors(k), MESSAGE)
     answers = _meet(own, asks, _answer(half), MESSAGE)
-    near = materialise(_meet(own.select("block", "nid", "ids"), answers, _attach(k, half), "nid long, ids binary, vectors binary"), "near")
+    near = materialise(_meet(linked.withColumn("block", F.shiftright("nid", BITS)), answers, _attach(k, half), "nid long, ids binary, vectors binary"), "near")
+    discard(linked)
     near_blocks = near.withColumn("block", F.shiftright("nid", BITS))
-    states = materialise(graph.join(query_nodes, "node", "left_semi").select("nid", "node", "vector", "ids", "scores").mapInArrow(_start(k, beam), BEAM), "beams")
+    states = materialise(graph.join(query_nodes, "node", "left_semi").select("nid", "node", "vector").mapInArrow(_start(beam), BEAM), "beams")
     for _ in range(rounds):
         told = states.mapInArrow(_expand(beam), MESSAGE)
-        scored = _meet(near_blocks, told, _score(k, half, scale), MESSAGE)
+        scored = _meet(near_blocks, told, _score(2 * k, half), MESSAGE)
         after = materialise(_meet(states.withColumn("block", F.shiftright("nid", BITS)), scored, _advance(beam), BEAM), "beams")
         discard(states)
         states = after
@@ -521,16 +564,22 @@ def nearest(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
         members = same.groupBy("node").agg(F.collect_list("id").alias("members"))
     queries = same.where(F.col("id") % every == 0)
     sample = np.array([r["v"] for r in nodes.orderBy(F.xxhash64("node"), "node").limit(sample_rows).collect()], np.float64)
-    scale = float(nodes.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0])
+    square = F.aggregate("v", F.lit(0.0), lambda acc, a: acc + a * a)
+    scale = math.sqrt(float(nodes.agg(F.max(square)).first()[0]))
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        """Divided by the longest length, with one more component that makes every length 1."""
+        x = x / scale
+        return np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))]).astype(np.float32)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in (flat / scale).astype(np.float32)], pa.binary())], ["node", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in unit(flat)], pa.binary())], ["node", "vector"])
 
     vectors = nodes.select("node", "v").mapInArrow(pack, "node long, vector binary")
-    graph = build_graph(vectors, count, (sample / scale).astype(np.float32), k=k, orders=orders, rounds=rounds)
-    found = search_graph(graph, queries.select("node").distinct(), k=k, beam=beam, scale=scale)
+    graph = build_graph(vectors, count, unit(sample), k=k, orders=orders, rounds=rounds)
+    found = search_graph(graph, queries.select("node").distinct(), k=k, beam=beam)
     pairs = found.select(F.col("node").alias("q"), F.explode(F.slice("nids", 1, rescored)).alias("nid"))
     pairs = pairs.join(graph.select("nid", "node"), "nid").select("q", "node")
     with_v = pairs.join(nodes, "node").withColumnRenamed("v", "w").join(nodes.select(F.col("node").alias("q"), "v"), "q")
