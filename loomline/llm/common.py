@@ -55,3 +55,15 @@ def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
 
 def no_text_as_empty(column: str):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of df is named so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

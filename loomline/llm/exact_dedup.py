@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import materialise, no_text_as_empty, with_row_key
+from loomline.llm.common import materialise, no_text_as_empty, unused, with_row_key
 
 ENTRY = np.dtype([("digest", "S32"), ("id", "<i8"), ("row", "<i8"), ("rows", "<i8"), ("bytes", "<i8")])
 LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
@@ -141,10 +141,11 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
-    found = exact_dedup(docs, id_col=id_col, text_col=text_col, keep=keep)
-    stay = found.where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    out = docs.withColumn("_digest", F.sha2(no_text_as_empty(text_col), 256)).join(stay, F.col("_digest").eqNullSafe(F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    repeats = found.groupBy(id_col, "text_sha256").agg(F.count("*").alias("n"), F.max("kept").alias("k")).where("n > 1 and k")
+    one, sha, digest = unused(docs, "_id", "_sha", "_digest")
+    found = exact_dedup(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, keep=keep)
+    stay = found.where("kept").select(F.col(id_col).alias(one), F.col("text_sha256").alias(sha))
+    out = docs.withColumn(digest, F.sha2(no_text_as_empty(text_col), 256)).join(stay, F.col(digest).eqNullSafe(F.col(sha)) & F.col(id_col).cast("long").eqNullSafe(F.col(one)), "left_semi")
+    repeats = found.groupBy(id_col, "text_sha256").agg(F.count("*").alias("_n"), F.max("kept").alias("_k")).where("_n > 1 and _k")
     if not repeats.isEmpty():  # whole rows that repeat: one of each stays
-        out = out.dropDuplicates(["_digest", id_col])
-    return out.drop("_digest")
+        out = out.dropDuplicates([digest, id_col])
+    return out.drop(digest)

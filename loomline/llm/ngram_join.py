@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import discard, materialise, no_text_as_empty, with_row_key
+from loomline.llm.common import discard, materialise, no_text_as_empty, unused, with_row_key
 from loomline.llm.components import connected_components
 from loomline.llm.shingles import mix, shingle_sets
 
@@ -262,12 +262,13 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     labelled = materialise(_labelled(docs, id_col, text_col, pct, width, tile, broadcast_ids).select("id", "text_key", "node"), "labelled")
     first = labelled.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("k")).select("k.id", "k.text_key")
-    stay = first.unionByName(labelled.where("node IS NULL").select("id", "text_key").distinct()).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"))
+    one, key, text_key = unused(docs, "_id", "_key", "_text_key")
+    stay = first.unionByName(labelled.where("node IS NULL").select("id", "text_key").distinct()).select(F.col("id").alias(one), F.col("text_key").alias(key))
     stay = materialise(stay, "stay")
-    keyed = docs.withColumn("_text_key", F.xxhash64(no_text_as_empty(text_col)))
-    out = keyed.join(stay, F.col("_text_key").eqNullSafe(F.col("_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    keyed = docs.withColumn(text_key, F.xxhash64(no_text_as_empty(text_col)))
+    out = keyed.join(stay, F.col(text_key).eqNullSafe(F.col(key)) & F.col(id_col).cast("long").eqNullSafe(F.col(one)), "left_semi")
     repeats = labelled.where("node IS NOT NULL").groupBy("id", "text_key").count().where("count > 1")
     if not repeats.isEmpty():  # whole rows that repeat: one of each stays
-        worded = F.col(text_col).rlike("[^ \\t\\n\\x0B\\f\\r]")
-        out = out.where(worded).dropDuplicates(["_text_key", id_col]).unionByName(out.where(~F.coalesce(worded, F.lit(False))))
-    return out.drop("_text_key")
+        worded = F.coalesce(F.col(text_col).rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))
+        out = out.where(worded).dropDuplicates([text_key, id_col]).unionByName(out.where(~worded))
+    return out.drop(text_key)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import materialise, no_text_as_empty, with_row_key
+from loomline.llm.common import materialise, no_text_as_empty, unused, with_row_key
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # where AKIA[A-Z0-9]+ matches with 20 characters or more
@@ -115,10 +115,11 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", o
     Overlapping spans become one, named by the first. Texts without spans, and
     null ones, stay as they are; those without a candidate are not shuffled.
     """
-    spans = _scan(docs, id_col, text_col, owner_col, repo_col, max_owners).withColumn("_spans", F.array_sort(F.concat("base", "owned"))).where(F.size("_spans") > 0)
+    one, key, text_key, spans = unused(docs, "_id", "_key", "_text_key", "_spans")
+    scanned = _scan(docs, id_col, text_col, owner_col, repo_col, max_owners).withColumn("all", F.array_sort(F.concat("base", "owned"))).where(F.size("all") > 0)
     # rows equal in id and text have equal base spans; owned ones may differ by owner, all of them are taken
-    spans = spans.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_spans")))).alias("_spans"))
-    candidate = F.col(text_col).rlike("|".join(f"(?:{p})" for p in (ASSIGN, ACCESS, HEX, WIDE)))
+    found = scanned.groupBy(F.col("id").alias(one), F.col("text_key").alias(key)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("all")))).alias(spans))
+    candidate = F.coalesce(F.col(text_col).rlike("|".join(f"(?:{p})" for p in (ASSIGN, ACCESS, HEX, WIDE))), F.lit(False))
     text, kind = F.col(text_col), F.array(*map(F.lit, KINDS))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -128,7 +129,7 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", o
         named = F.concat(F.lit("["), F.element_at(kind, s["kind"] + 1), F.lit("]"))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], F.array(before, named))).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
-    keyed = docs.where(candidate).withColumn("_text_key", F.xxhash64(no_text_as_empty(text_col)))
-    changed = keyed.join(spans, F.col("_text_key").eqNullSafe(F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id")), "left").withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(done))
-    return changed.select(docs.columns).unionByName(docs.where(~F.coalesce(candidate, F.lit(False))))
+    done = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
+    keyed = docs.where(candidate).withColumn(text_key, F.xxhash64(no_text_as_empty(text_col)))
+    changed = keyed.join(found, F.col(text_key).eqNullSafe(F.col(key)) & F.col(id_col).eqNullSafe(F.col(one)), "left").withColumn(text_col, F.when(F.col(spans).isNull(), text).otherwise(done))
+    return changed.select(docs.columns).unionByName(docs.where(~candidate))
