@@ -17,6 +17,7 @@ TRACKING_NAMES = ("fbclid", "gclid", "dclid", "msclkid", "mc_cid", "mc_eid")
 
 TITLE_MAX, PUBLISHER_MAX, EXCERPT_MAX, GOAL_MAX, PAGE_TEXT_MAX = 500, 200, 1000, 1000, 16_000
 SEARCH_DEFAULT, SEARCH_MAX = 5, 10
+PROMPT_SOURCES, DEFAULT_GOAL = 25, "Improve source coverage for this story."
 LIST_DEFAULT, LIST_MAX = 25, 100
 
 BLOCKED_HOSTS = ("localhost", "localhost.localdomain")

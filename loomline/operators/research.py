@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomline.functions.dates import iso, parse_date
 from loomline.functions.text import bounded_text
 from loomline.functions.urls import normal_forms
-from loomline.functions.vocabulary import EXCERPT_MAX, LEASE_MARGIN_MS, PUBLISHER_MAX, RETRY_MARGIN_MS, SEARCH_DEFAULT, SEARCH_MAX, TITLE_MAX, TOOL_ERRORS
+from loomline.functions.vocabulary import DEFAULT_GOAL, EXCERPT_MAX, GOAL_MAX, LEASE_MARGIN_MS, PROMPT_SOURCES, PUBLISHER_MAX, RETRY_MARGIN_MS, SEARCH_DEFAULT, SEARCH_MAX, TITLE_MAX, TOOL_ERRORS
 
 
 def search_candidates(articles: DataFrame, excluded: DataFrame, limit: int = SEARCH_DEFAULT, *, query_col: str = "query_id", pos_col: str = "pos", truncated_col: str | None = None) -> DataFrame:
@@ -183,3 +183,60 @@ def lease_states(events: DataFrame, *, run_col: str = "run_id", order_col: str =
         return pd.DataFrame([row]).astype({c: "Int64" for c in ("lease_ms", "started_ms", "ended_ms")})
 
     return events.groupBy(run_col).applyInPandas(run, f"{run_col} {kind}, {STATE}, claims long, conflicts long, replays long, held long")
+
+
+def story_catalog(stories: DataFrame, memberships: DataFrame, articles: DataFrame) -> DataFrame:
+    """The first catalog of a research run: (story_id, source_id, article_id, url, canonical_url, title, publisher_name, provenance), a row for each member of a story."""
+    rows = stories.select("story_id").join(memberships.select("story_id", "article_id", "seq"), "story_id").join(articles, "article_id")
+    return rows.select("story_id", F.concat(F.lit("story_"), F.col("article_id").cast("string")).alias("source_id"), "article_id", "url", "canonical_url", "title", "publisher_name", F.lit("story-member").alias("provenance"), "seq")
+
+
+def prompt_payload(stories: DataFrame, catalog: DataFrame, goal: Column, max_sources: int) -> DataFrame:
+    """(story_id, payload): JSON with the story, the goal and the first sources by arrival, each with its distinct kinds of provenance.
+
+    stories: story_id, canonical_title. The prompt holds at most PROMPT_SOURCES
+    sources, fewer if fewer may be selected.
+    """
+    one = catalog.groupBy("story_id", "source_id").agg(F.min("seq").alias("seq"), F.first("title").alias("title"), F.first("publisher_name").alias("publisher_name"), F.array_sort(F.collect_set("provenance")).alias("kinds"))
+    ranked = one.withColumn("r", F.row_number().over(Window.partitionBy("story_id").orderBy("seq", "source_id"))).where(F.col("r") <= min(PROMPT_SOURCES, max_sources))
+    lists = ranked.groupBy("story_id").agg(F.array_sort(F.collect_list(F.struct("r", "source_id", "title", "publisher_name", "kinds"))).alias("s"))
+    shown = F.transform(
+        F.coalesce("s", F.array().cast(lists.schema["s"].dataType)),
+        lambda s: F.struct(s["source_id"].alias("sourceId"), bounded_text(s["title"], TITLE_MAX).alias("title"), bounded_text(s["publisher_name"], PUBLISHER_MAX).alias("publisherName"), s["kinds"].alias("originKinds")),
+    )
+    story = F.struct(F.col("story_id").alias("id"), F.col("canonical_title").alias("canonicalTitle"))
+    payload = F.to_json(F.struct(story.alias("story"), F.coalesce(bounded_text(goal, GOAL_MAX), F.lit(DEFAULT_GOAL)).alias("researchGoal"), shown.alias("registeredSources")), {"ignoreNullFields": "false"})
+    return stories.join(lists, "story_id", "left").select("story_id", payload.alias("payload"))
+
+
+def selection_violations(selections: DataFrame, catalog: DataFrame, max_sources: int, max_questions: int, max_question_length: int) -> DataFrame:
+    """(run_id, rule) of selections that break a rule; selections: run_id, source_ids, primary_ids, questions, suggestion.
+
+    Sources are of the catalog and named once, primaries are selected and named
+    once, and sources and questions stay within the budget and aren't blank.
+    """
+    picked = selections.select("run_id", F.explode(F.array_distinct("source_ids")).alias("source_id"))
+    strange = picked.join(catalog.select("run_id", "source_id"), ["run_id", "source_id"], "left_anti").select("run_id", F.lit("source-of-the-catalog").alias("rule"))
+    rules = {
+        "sources-distinct": F.size(F.array_distinct("source_ids")) == F.size("source_ids"),
+        "primaries-distinct": F.size(F.array_distinct("primary_ids")) == F.size("primary_ids"),
+        "primaries-selected": F.size(F.array_except("primary_ids", "source_ids")) == 0,
+        "coverage-has-a-source": (F.col("suggestion") != "coverage-sufficient") | (F.size("source_ids") > 0),
+        "sources-in-budget": F.size("source_ids") <= max_sources,
+        "questions-in-budget": F.size("questions") <= max_questions,
+        "questions-bounded": F.forall("questions", lambda q: (F.trim(q) != "") & (F.char_length(q) <= max_question_length)),
+    }
+    broken = selections.select("run_id", F.explode(F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules.items()]))).alias("rule"))
+    return strange.unionByName(broken).distinct()
+
+
+def catalog_violations(catalog: DataFrame, members: DataFrame) -> DataFrame:
+    """(run_id, rule) of source catalogs that break a rule.
+
+    catalog: run_id, source_id, canonical_url, provenance, article_id, call_id,
+    tool. members: run_id, article_id of the story's snapshot.
+    """
+    twice = lambda key, rule: catalog.groupBy("run_id", key).count().where("count > 1").select("run_id", F.lit(rule).alias("rule"))
+    strange = catalog.where("provenance = 'story-member'").join(members, ["run_id", "article_id"], "left_anti").select("run_id", F.lit("member-of-the-snapshot").alias("rule"))
+    tools = catalog.where("provenance <> 'story-member'").groupBy("run_id", "call_id").agg(F.count_distinct("tool").alias("n")).where("n > 1").select("run_id", F.lit("one-tool-per-call").alias("rule"))
+    return twice("source_id", "source-ids-distinct").unionByName(twice("canonical_url", "canonical-urls-distinct")).unionByName(strange).unionByName(tools).distinct()
