@@ -20,9 +20,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
+from loomline.llm.common import hold_memory
+from loomline.llm.pretokens import Remembered, Splitter
+
 NONE = np.int64(1) << 40  # rank of a pair that no merge has
 
 
@@ -35,7 +37,7 @@ class Vocabulary:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.split = regex.compile(pattern)
+        self.split = Splitter(pattern)
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
         for token, rank in self.ranks.items():
@@ -188,20 +190,18 @@ class Encoder:
     About ``together`` characters are worked on at a time.
     """
 
-    def __init__(self, vocabulary: Vocabulary, remember: int = 800_000, short: int = 48, together: int = 1 << 20):
-        self.vocabulary, self.remember, self.short, self.together = vocabulary, remember, short, together
-        self.known: dict[str, bytes] = {}
+    def __init__(self, vocabulary: Vocabulary, remember: int = 250_000, short: int = 48, together: int = 1 << 20):
+        self.vocabulary, self.short, self.together = vocabulary, short, together
+        self.known = Remembered(remember)
 
     def encode_batch(self, texts: Sequence[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = self.vocabulary.split.findall
+        split = self.vocabulary.split
         ends = np.cumsum([len(t) for t in texts]) // self.together
         cuts = np.flatnonzero(np.diff(ends, prepend=-1, append=-1)) if len(texts) else []
         for first, end in zip(cuts[:-1], cuts[1:], strict=True):
             some = [split(t) for t in texts[first:end]]
-            if len(self.known) > self.remember:
-                self.known.clear()
-            new = list({p for pieces in some for p in pieces}.difference(self.known))
+            new = self.known.missing(set().union(*some))
             ids = self.vocabulary.merge_pieces([p.encode("utf-8", "surrogatepass") for p in new])
             table = self.known
             table.update((p, x.astype("<u4").tobytes()) for p, x in zip(new, ids, strict=True))
@@ -222,6 +222,7 @@ _loaded: dict[tuple[str, str], Encoder] = {}
 
 def encoder(path: str, pattern: str) -> Encoder:
     """The worker's encoder for a vocabulary file."""
+    hold_memory("bpe", _loaded.clear)
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = Encoder(Vocabulary(path, pattern))
     return _loaded[path, pattern]

@@ -57,6 +57,17 @@ def no_text_as_empty(column: str):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+_holder: list = ["", None]
+
+
+def hold_memory(name: str, drop) -> None:
+    """Say whose caches this Python worker holds; ``drop`` frees them once another operator's task comes."""
+    if _holder[0] != name:
+        if _holder[1]:
+            _holder[1]()
+        _holder[:] = [name, drop]
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores in front until no column of df is named so."""
     taken = {c.lower() for c in df.columns}

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from loomline.llm.common import discard, materialise
 
 
+def _met_anew(least: DataFrame) -> DataFrame:
+    """The aggregate under a key that Spark takes for a new one.
+
+    Else the join below would run in the aggregate's own stage, where Spark
+    cannot split what a hub's edges make one task read.
+    """
+    return least.withColumn("a", F.col("a").bitwiseXOR(F.lit(0).cast("long")))
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -16,14 +25,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked to the least node around it."""
     around = _both_ways(edges)
     least = around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return around.where("b > a").join(_met_anew(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its neighbours below it are linked to the least of those."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    return down.join(_met_anew(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

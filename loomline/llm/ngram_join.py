@@ -36,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import discard, materialise, no_text_as_empty, unused, with_row_key
+from loomline.llm.common import discard, hold_memory, materialise, no_text_as_empty, unused, with_row_key
 from loomline.llm.components import connected_components
-from loomline.llm.shingles import mix, shingle_sets
+from loomline.llm.shingles import forget_powers, mix, shingle_sets
 
 EVERY_NULL = -(1 << 63)
 SEEN_MOST = 1 << 20
@@ -83,6 +83,7 @@ def _incidence(pct: int, width: int):
     grid_type = pa.list_(pa.struct([("need", pa.int32()), ("signatures", pa.list_(pa.int64()))]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_memory("shingles", forget_powers)
         seen: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -187,6 +188,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
 
 def _hashes(docs: DataFrame, width: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_memory("shingles", forget_powers)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 values, counts = shingle_sets([t or "" for t in batch.slice(at, 512).column(0).to_pylist()], width)

@@ -14,15 +14,16 @@ from __future__ import annotations
 import json
 import math
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import materialise, with_row_key
+from loomline.llm.common import hold_memory, materialise, with_row_key
+from loomline.llm.pretokens import BYTE_LEVEL, Remembered, Splitter
 
 GROUP_STRIDE = 1 << 32  # sequence ids of a group start at its number times this
 
@@ -79,31 +80,27 @@ class TextTokenizer:
     added token, and tokenizers of any other make, go to the library whole.
     """
 
-    SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # the split of ByteLevel(use_regex)
-
-    def __init__(self, path: str, end_id: int = 0, remember: int = 800_000, short: int = 48):
+    def __init__(self, path: str, end_id: int = 0, remember: int = 400_000, short: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = int(end_id).to_bytes(4, "little")
-        self.remember, self.short, self.known = remember, short, {}
+        self.short, self.known = short, Remembered(remember)
         made = json.loads(self.tokenizer.to_str())
         pre = made.get("pre_tokenizer") or {}
         self.by_piece = made.get("normalizer") is None and made["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made["model"].get("dropout")
         self.added = [t["content"] for t in made.get("added_tokens") or []]
-        self.split = regex.compile(self.SPLIT).findall
+        self.split = Splitter(BYTE_LEVEL)  # that of ByteLevel(use_regex)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_batch(self, texts: Sequence[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         for at in range(0, len(texts), 256):
             some = texts[at : at + 256]
-            if len(self.known) > self.remember:
-                self.known.clear()
             cut = [self.split(t) if self.by_piece and not any(a in t for a in self.added) else None for t in some]
-            new = list({p for pieces in cut if pieces for p in pieces}.difference(self.known))
+            new = self.known.missing(set().union(*filter(None, cut)))
             self.known.update(zip(new, self._whole(new), strict=True))
             for text, pieces in zip(some, cut, strict=True):
                 yield (b"".join(map(self.known.__getitem__, pieces)) if pieces is not None else self._whole([text])[0]) + self.end
@@ -120,6 +117,7 @@ def tokenizer(path: str, end_id: int) -> TextTokenizer:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
+    hold_memory("packing", _loaded.clear)
     if (path, end_id) not in _loaded:
         _loaded[path, end_id] = TextTokenizer(path, end_id)
     return _loaded[path, end_id]
@@ -131,11 +129,13 @@ def piece_checksums(docs: DataFrame, path: str, *, id_col: str, text_col: str, r
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path, end_id).encode_batch
         for batch in batches:
-            counts, sums = [], []
-            for ids in encode([t or "" for t in batch.column(1).to_pylist()]):
-                counts.append(len(ids) // 4)
-                sums.append([zlib.crc32(ids[at : at + 4 * room]) for at in range(0, len(ids), 4 * room)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["id", "doc_tokens", "sums"])
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
+                counts, sums = [], []
+                for ids in encode([t or "" for t in part.column(1).to_pylist()]):
+                    counts.append(len(ids) // 4)
+                    sums.append([zlib.crc32(ids[at : at + 4 * room]) for at in range(0, len(ids), 4 * room)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["id", "doc_tokens", "sums"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(rows, f"id {kind}, doc_tokens long, sums array<long>")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.common import no_text_as_empty
+from loomline.llm.common import hold_memory, no_text_as_empty
 
 
 def fold(doc_id: Column) -> Column:
@@ -136,6 +136,7 @@ def score_table(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id",
     kept = [c for c in docs.columns if c not in (score_col, "predicted")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_memory("quality", None)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)

@@ -19,7 +19,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -33,6 +33,11 @@ def _power(which: str, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget_powers() -> None:
+    """Free the tables of powers; they are made again when needed."""
+    _powers.update({which: np.ones(1, np.uint64) for which in _powers})
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -3,11 +3,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from loomline.llm import packing, queries
+from loomline.llm import packing, pretokens, queries
 from tests.llm.cases import DOCUMENTS, documents, with_clashes
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,6 +41,14 @@ def test_edge_documents(spark):
     check(rows, packing.pack_documents(df, PATH, group_docs=4).collect())
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from([*map(chr, range(256)), *" '  \n\nsrevdltmAB12"]), max_size=30))
+def test_the_split_of_the_first_256_characters(text):
+    tokenizer = packing.tokenizer(PATH, 0)
+    assert np.frombuffer(next(iter(tokenizer.encode_batch([text]))), "<u4").tolist() == [*tokenizer.tokenizer.encode(text, add_special_tokens=False).ids, 0]
+    assert pretokens.LATIN(text) == pretokens.Splitter(pretokens.BYTE_LEVEL).any(text)
+
+
 def test_whole_table_with_little_padding(spark, small):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     sequences = check(rows, queries.op3_packing(spark, small).collect())
