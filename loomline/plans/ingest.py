@@ -221,19 +221,21 @@ SELECT doc_id, 0 AS priority, 'source-external-id' AS type, md5(s || ':' || x) A
 UNION ALL SELECT doc_id, 1, 'canonical-url', md5(md5(text)) FROM d
 UNION ALL SELECT doc_id, 2, 'publisher-title', md5(s || ':' || t) FROM d""",
     "ordered_dedup": r"""
-WITH RECURSIVE d AS (
-  SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k, ['e' || lower(source) || ':' || lower(trim(regexp_replace(substr(text, 1, 8), '\s+', ' ', 'g'))), 'c' || md5(text), 'p' || lower(source) || ':' || lower(trim(regexp_replace(substr(text, -10, 10), '\s+', ' ', 'g')))] AS keys FROM documents
+WITH RECURSIVE k AS (
+  SELECT doc_id, ['source-external-id', 'canonical-url', 'publisher-title'] AS types, [lower(source) || ':' || lower(trim(regexp_replace(substr(text, 1, 8), '\s+', ' ', 'g'))), md5(text), lower(source) || ':' || lower(trim(regexp_replace(substr(text, -10, 10), '\s+', ' ', 'g')))] AS vals FROM documents
+), d AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k, types, vals, [hash(types[i] || ':' || vals[i]) FOR i IN range(1, 4)] AS keys FROM k
 ), fold AS (
-  SELECT 0::BIGINT AS k, NULL::BIGINT AS doc_id, map([]::VARCHAR[], []::BIGINT[]) AS held, NULL::VARCHAR AS hit, NULL::BIGINT AS original
+  SELECT 0::BIGINT AS k, []::UBIGINT[] AS held, []::BIGINT[] AS owners, 0 AS hit, NULL::BIGINT AS original
   UNION ALL
-  SELECT d.k, d.doc_id,
-    CASE WHEN len(list_filter(d.keys, lambda x: len(map_extract(f.held, x)) > 0)) > 0 THEN f.held ELSE map_concat(f.held, map(list_distinct(d.keys), list_transform(list_distinct(d.keys), lambda x: d.doc_id))) END,
-    list_filter(d.keys, lambda x: len(map_extract(f.held, x)) > 0)[1],
-    map_extract(f.held, list_filter(d.keys, lambda x: len(map_extract(f.held, x)) > 0)[1])[1]
-  FROM fold f JOIN d ON d.k = f.k + 1
+  SELECT k, CASE WHEN hit = 0 THEN held || keys ELSE held END, CASE WHEN hit = 0 THEN owners || [doc_id, doc_id, doc_id] ELSE owners END, hit, CASE WHEN hit > 0 THEN owners[found[hit]] END
+  FROM (
+    SELECT *, CASE WHEN found[1] > 0 THEN 1 WHEN found[2] > 0 THEN 2 WHEN found[3] > 0 THEN 3 ELSE 0 END AS hit
+    FROM (SELECT d.k, d.doc_id, d.keys, f.held, f.owners, [coalesce(list_position(f.held, d.keys[1]), 0), coalesce(list_position(f.held, d.keys[2]), 0), coalesce(list_position(f.held, d.keys[3]), 0)] AS found FROM fold f JOIN d ON d.k = f.k + 1)
+  )
 )
-SELECT doc_id, CASE WHEN hit IS NULL THEN 'unique' ELSE 'duplicate' END AS status,
-  CASE substr(hit, 1, 1) WHEN 'e' THEN 'source-external-id' WHEN 'c' THEN 'canonical-url' WHEN 'p' THEN 'publisher-title' END AS reason, md5(substr(hit, 2)) AS key_md5, original FROM fold WHERE k > 0""",
+SELECT doc_id, CASE WHEN hit = 0 THEN 'unique' ELSE 'duplicate' END AS status, CASE WHEN hit > 0 THEN types[hit] END AS reason, CASE WHEN hit > 0 THEN md5(vals[hit]) END AS key_md5, original
+FROM fold JOIN d USING (k) WHERE k > 0""",
     "article_upsert": """
 WITH e AS (SELECT event_type || '/' || user_id AS canonical_url, epoch_ms(date_trunc('hour', ts)) AS t, event_id AS seq, value, props FROM events)
 SELECT canonical_url, min(t) AS first_ms, max(t) AS last_ms, min(seq) AS first_seq, arg_max(seq, (t, seq)) AS last_seq, arg_max(value, (t, seq)) AS value, arg_max(props, (t, seq)) AS props FROM e GROUP BY 1""",
