@@ -34,7 +34,7 @@ def token_order_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", title_tokens(F.substring("text", 1, 120)).alias("tokens"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", title_tokens(F.col("text")).alias("tokens"))
     return evaluation.token_statistics(docs, "doc_id", "tokens").withColumn("idf", F.round("idf", 6))
 
 

@@ -164,7 +164,7 @@ def evaluation_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.array_join(title_tokens(F.substring("text", 1, 120)), "|").alias("tokens"), at_ms(F.col("doc_id")).alias("at_ms"))
+    return docs.select("doc_id", F.array_join(title_tokens(F.col("text")), "|").alias("tokens"), at_ms(F.col("doc_id")).alias("at_ms"))
 
 
 QUERIES = {
