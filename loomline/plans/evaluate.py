@@ -14,7 +14,7 @@ from loomline.plans.story import PAIRS, vector_pairs
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
-    return b.select("item_id", F.floor(F.col("item_id") / 10).alias("scenario"), title_tokens(F.substring("text", 1, 200)).alias("tokens"))
+    return b.select("item_id", F.floor(F.col("item_id") / 10).alias("scenario"), title_tokens(F.col("text")).alias("tokens"))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
