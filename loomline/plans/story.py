@@ -53,11 +53,12 @@ def match_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector against the seeds of its scenario, the vectors before the hundred and first."""
+    """Each vector against the seeds of its scenario, all the vectors before it."""
     v = _vectors(spark, sf_dir)
-    d = match_decisions(spark, sf_dir).where("left_vec_id < 100").select(F.col("right_vec_id").alias("article_id"), F.format_string("%06d", "left_vec_id").alias("story_id"), "decision")
+    d = match_decisions(spark, sf_dir).select(F.col("right_vec_id").alias("article_id"), F.format_string("%06d", "left_vec_id").alias("story_id"), "decision")
     out = clustering.assign(v.select(F.col("vec_id").alias("article_id")), d)
-    return out.withColumn("matching_ids", F.array_join("matching_ids", ","))
+    by_id = F.array_sort(F.transform("matching_ids", lambda s: s.cast("long")))  # as text, ids of seven digits would come before those of six
+    return out.withColumn("matching_ids", F.array_join(F.transform(by_id, lambda k: F.format_string("%06d", k)), ","))
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Queries take whole texts and all rows, held against plain Python on small tables."""
 
 import math
+import random
 import re
 from collections import Counter
 
-from loomline.plans import evaluate, ingest
+from loomline.plans import evaluate, ingest, story
 
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 PAD = "Common words of an opening. " * 20
@@ -76,3 +77,19 @@ def test_benchmark_similarities_are_those_of_the_whole_text(spark, tmp_path):
     both = {(i, j): (round(x, 3), abs(i - j) * 60_000 / 600_000) for (i, j), x in jaccard.items()}
     want = {(x, y): swept(((i + j) % 2 == 0, a >= x and b >= y) for (i, j), (a, b) in both.items()) for x in {0.0, *(a for a, _ in both.values())} for y in {0.0, *(b for _, b in both.values())}}
     assert {(r.first_threshold, r.second_threshold): (r.tp, r.fp, r.tn, r.fn) for r in rows(evaluate.lexical_threshold_grid)} == want
+
+
+def test_every_earlier_vector_of_a_scenario_is_a_seed(spark, tmp_path):
+    rng = random.Random(3)
+    vectors = {k: [rng.gauss(0, 1) for _ in range(4)] for k in (*range(0, 400, 5), *range(999_900, 1_000_100, 5))}
+    save(spark, tmp_path, "embeddings", [(k, k % 3, v) for k, v in vectors.items()], "vec_id long, label long, embedding array<double>")
+    length = {k: math.sqrt(sum(a * a for a in v)) for k, v in vectors.items()}
+    want = {}
+    for j, w in vectors.items():
+        seeds = [i for i in vectors if i < j and i % 25 == j % 25]
+        match = [f"{i:06d}" for i in seeds if round(sum(a * b for a, b in zip(vectors[i], w, strict=True)) / (length[i] * length[j]), 6) >= story.THRESHOLD]
+        kind = "assign-existing-story" if len(match) == 1 else "seed-new-story"
+        reason = "no-candidates" if not seeds else "no-matching-candidates" if not match else "ambiguous-matching-candidates" if len(match) > 1 else None
+        want[j] = (kind, reason, match[0] if len(match) == 1 else None, len(seeds), len(match), ",".join(match) if len(match) > 1 else "")
+    got = {r.article_id: (r.kind, r.reason, r.story_id, r.considered, r.matching, r.matching_ids) for r in story.cluster_assignment(spark, str(tmp_path)).collect()}
+    assert got == want
