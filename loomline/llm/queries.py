@@ -13,7 +13,9 @@ from loomline.llm.common import table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.archive_round_trip(table(spark, sf_dir, "pages")).where("gap IS NULL")
+    records = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    gap = F.format_string("a gap in an archive just written, %s at byte %d: %s", "archive", "start", "gap")
+    records = records.where(F.when(F.col("gap").isNull(), True).otherwise(F.raise_error(gap).cast("boolean")))
     return records.select(
         warc.page_number(F.col("record_id")).alias("page_id"),
         F.col("full_length").alias("payload_bytes"),

@@ -26,7 +26,6 @@ from loomline.llm.common import materialise, no_text_as_empty, scratch_path
 MEMBER = b"\x1f\x8b\x08"
 START = re.compile(rb"WARC/[0-9]\.[0-9]\r\n|\x1f\x8b\x08")
 VERSION = re.compile(rb"WARC/[0-9]\.[0-9]\r\n")
-HEADERS_MOST = 1 << 16
 
 RECORDS = "archive string, start long, length long, gap string, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, full_length long, payload binary"
 
@@ -51,19 +50,19 @@ def _record(data: bytes, at: int) -> Found | str:
     version = VERSION.match(data, at)
     if not version:
         return "no version line"
-    head = data.find(b"\r\n\r\n", version.end() - 2, version.end() + HEADERS_MOST)
-    if head < 0:
-        return "headers do not end"
-    headers = {}
-    for line in data[version.end() : head].split(b"\r\n") if head > version.end() else []:
-        name, colon, value = line.partition(b":")
+    headers, line = {}, version.end()
+    while (line_end := data.find(b"\r\n", line)) != line:
+        if line_end < 0:
+            return "headers do not end"
+        name, colon, value = data[line:line_end].partition(b":")
         if not colon:
             return "malformed header"
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        line = line_end + 2
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         return "no content length"
-    body = head + 4
+    body = line + 2
     end = body + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
         return "truncated" if end + 4 > len(data) else "no trailer at the stated length"

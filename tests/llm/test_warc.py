@@ -1,7 +1,9 @@
 import base64
 import hashlib
 
-from loomline.llm import warc
+import pytest
+
+from loomline.llm import queries, warc
 from tests.llm.cases import LONG
 
 
@@ -83,3 +85,23 @@ def test_many_copies_take_the_shuffled_way(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_headers_of_any_length(spark, tmp_path):
+    long = "http://a/" + "x" * 300_000
+    rows = [(1, long, "same"), (2, "http://b/" + " é" * 40_000, "same"), (3, "u", "after"), (4, long + "\r\n\r\n", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.record_id: r for r in warc.archive_round_trip(pages).collect()}
+    assert not any(r.gap for r in out.values())
+    assert {k: (r.record_type, r.refers_to) for k, r in out.items()} == {"<urn:page:1>": ("revisit", "<urn:page:2>"), "<urn:page:2>": ("response", None), "<urn:page:3>": ("response", None), "<urn:page:4>": ("response", None)}
+    assert [out[f"<urn:page:{k}>"].target_uri for k in (1, 2, 4)] == [long, "http://b/" + "%20é" * 40_000, long + "%0D%0A%0D%0A"]
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert {(r.page_id, r.refers_to) for r in queries.op1_warc(spark, str(tmp_path)).collect()} == {(1, 2), (2, None), (3, None), (4, None)}
+
+
+def test_a_gap_in_own_archives_raises(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    (tmp_path / "broken").write_bytes(record(1, b"a") + record(2, b"b")[:-9])
+    monkeypatch.setattr(warc, "archive_round_trip", lambda pages: warc.read_archives(pages.sparkSession, str(tmp_path / "broken")))
+    with pytest.raises(Exception, match="a gap in an archive just written"):
+        queries.op1_warc(spark, str(tmp_path)).collect()
