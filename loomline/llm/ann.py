@@ -152,12 +152,22 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run.set_column(0, "nid", pa.array(nid)).select(["nid", "node", "vector"]).to_batches()
 
 
-def _compare_runs(k: int, chunk: int):
+def _likeness(v: np.ndarray, distance: bool) -> np.ndarray:
+    """Products of all rows, or half their squared distances below 0; summed in float64, since vectors that lie close differ in late digits."""
+    v = v.astype(np.float64)
+    s = v @ v.swapaxes(-1, -2)
+    if distance:
+        half = (v * v).sum(-1) / 2
+        s -= half[..., :, None] + half[..., None, :]
+    return s.astype(np.float32)
+
+
+def _compare_runs(k: int, chunk: int, distance: bool):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, chunk):
             nid = run.column("nid").to_numpy()
             x = _stack([c.as_buffer() for c in run.column("vector")], np.float32)
-            scores = x @ x.T
+            scores = _likeness(x, distance)
             np.fill_diagonal(scores, -np.inf)
             most = min(k, len(nid) - 1)
             ids, best = np.full((len(nid), k), -1, np.int64), np.full((len(nid), k), -np.inf, np.float32)
@@ -268,7 +278,7 @@ def _answer(dtype):
     return answer
 
 
-def _introduce(k: int):
+def _introduce(k: int, distance: bool):
     """Within each list, pairs with a fresh node that are nearer than the worst neighbour of either."""
 
     def introduce(key, lists, answers):
@@ -285,8 +295,7 @@ def _introduce(k: int):
         for begin in range(0, len(known), 64):
             some, fresh = known[begin : begin + 64], new[begin : begin + 64]
             at = np.searchsorted(ids, np.where(some >= 0, some, ids[0]))
-            v = x[at]
-            score = v @ v.transpose(0, 2, 1)
+            score = _likeness(x[at], distance)
             fine = (some >= 0)[:, :, None] & (some >= 0)[:, None, :] & (fresh[:, :, None] | fresh[:, None, :]) & (score > worst[at][:, :, None])
             fine[:, np.arange(2 * k), np.arange(2 * k)] = False
             r, a, b = np.nonzero(fine)
@@ -316,15 +325,15 @@ def _take(k: int):
     return take
 
 
-def build_graph(vectors: DataFrame, count: int, sample: np.ndarray, *, k: int = 32, orders: int = 4, chunk: int = 1024, rounds: int = 4, settled: float = 0.002) -> DataFrame:
-    """The graph (GRAPH) of vectors (node long, vector binary of float32); rounds end early when under a share ``settled`` of edges is fresh."""
+def build_graph(vectors: DataFrame, count: int, sample: np.ndarray, *, k: int = 32, orders: int = 4, chunk: int = 1024, rounds: int = 4, settled: float = 0.002, distance: bool = False) -> DataFrame:
+    """The graph (GRAPH) of vectors (node long, vector binary of float32) by products or distances; rounds end early when under a share ``settled`` of edges is fresh."""
     parts = max(1, math.ceil(count / (4 * chunk)))
     bits = min(40, max(1, math.ceil(math.log2(max(2, count / chunk))) + 3))
     rows = vectors.select(F.lit(0).cast("long").alias("nid"), "node", "vector")
     numbered = materialise(_ordered(rows, Order(sample, bits, 0), parts).mapInArrow(_number, "nid long, node long, vector binary"), "numbered")
     first = None
     for seed in range(orders):
-        near = _ordered(numbered, Order(sample, bits, seed), parts).select("nid", "node", "vector").mapInArrow(_compare_runs(k, chunk), "nid long, node long, vector binary, ids binary, scores binary")
+        near = _ordered(numbered, Order(sample, bits, seed), parts).select("nid", "node", "vector").mapInArrow(_compare_runs(k, chunk, distance), "nid long, node long, vector binary, ids binary, scores binary")
         first = near if first is None else first.unionByName(near)
     graph = materialise(first.groupBy(_by_block()).applyInPandas(_merge_first(k), GRAPH), "graph")
     discard(numbered)
@@ -333,7 +342,7 @@ def build_graph(vectors: DataFrame, count: int, sample: np.ndarray, *, k: int =
         told = graph.select("nid", "ids", "scores", "fresh").mapInArrow(_reversed(k), MESSAGE)
         lists = materialise(_meet(own, told, _gather_lists(k), MESSAGE), "lists")
         answers = _meet(own, lists.where("kind = 1"), _answer(np.float32), MESSAGE)
-        proposals = _meet(lists.where("kind = 0"), answers, _introduce(k), MESSAGE)
+        proposals = _meet(lists.where("kind = 0"), answers, _introduce(k, distance), MESSAGE)
         after = materialise(_meet(own, proposals, _take(k), GRAPH), "graph")
         discard(graph, lists)
         graph = after
@@ -343,42 +352,43 @@ def build_graph(vectors: DataFrame, count: int, sample: np.ndarray, *, k: int =
 
 
 def _pointed_at(k: int):
-    """Each edge told to the node it points to, with the last component of the node it comes from."""
+    """Each edge told to the node it points to, with the last two components of the node it comes from."""
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = _stack([c.as_buffer() for c in batch.column("ids")], np.int64, k).ravel()
             scores = _stack([c.as_buffer() for c in batch.column("scores")], np.float32, k).ravel()
-            last = np.repeat(_stack([c.as_buffer() for c in batch.column("vector")], np.float32)[:, -1], k)
+            last, band = np.repeat(_stack([c.as_buffer() for c in batch.column("vector")], np.float32)[:, -2:], k, axis=0).T
+            length = band + np.log2(np.maximum(1 - last.astype(np.float64) ** 2, 1e-30)) / 2
             of = np.repeat(batch.column("nid").to_numpy(), k)
             fine = ids >= 0
             # of a task's edges to a node k go on: those that come from the longest vectors
-            i, j, _, at, _ = _best(ids[fine], of[fine], -last[fine], np.flatnonzero(fine), k)
-            yield _message(_to_blocks(i, -1, 0, i, j, np.rec.fromarrays([scores[at], last[at]], dtype=[("s", "<f4"), ("last", "<f4")])))
+            i, j, _, at, _ = _best(ids[fine], of[fine], length[fine], np.flatnonzero(fine), k)
+            yield _message(_to_blocks(i, -1, 0, i, j, np.rec.fromarrays([scores[at], last[at], band[at]], dtype=[("s", "<f4"), ("last", "<f4"), ("band", "<f4")])))
 
     return tell
 
 
 def _both_ways(k: int):
-    """Rows (nid, ids) with a node's neighbours and the k nodes pointing to it that have the largest inner products with it."""
+    """Rows (nid, ids, vector) with a node's neighbours and the k nodes pointing to it that have the largest inner products with it."""
 
     def join(key, graph, told):
         import pandas as pd
 
         if not len(graph):
-            return pd.DataFrame({"nid": [], "ids": []})
+            return pd.DataFrame({"nid": [], "ids": [], "vector": []})
         graph = graph.sort_values("nid")
         nids, own = graph["nid"].to_numpy(), _stack(graph["ids"], np.int64)
-        last = _stack(graph["vector"], np.float32)[:, -1]
+        last = _stack(graph["vector"], np.float32)[:, -2].astype(np.float64)
         back = np.full((len(nids), k), -1, np.int64)
         if len(told):
             i, j = np.frombuffer(b"".join(told["first"]), np.int64), np.frombuffer(b"".join(told["second"]), np.int64)
-            more = np.frombuffer(b"".join(told["third"]), np.dtype([("s", "<f4"), ("last", "<f4")]))
-            i, j, _, _, rank = _best(i, j, more["s"] - last[np.searchsorted(nids, i)] * more["last"], np.zeros(len(i), np.uint8), k)
+            more = np.frombuffer(b"".join(told["third"]), np.dtype([("s", "<f4"), ("last", "<f4"), ("band", "<f4")]))
+            i, j, _, _, rank = _best(i, j, (1 + more["s"] - last[np.searchsorted(nids, i)] * more["last"]) * np.exp2(more["band"].astype(np.float64)), np.zeros(len(i), np.uint8), k)
             back[np.searchsorted(nids, i), rank] = j
         ids = np.sort(np.concatenate([own, back], 1), axis=1)
         ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
-        return pd.DataFrame({"nid": nids, "ids": [r.tobytes() for r in ids]})
+        return pd.DataFrame({"nid": nids, "ids": [r.tobytes() for r in ids], "vector": graph["vector"]})
 
     return join
 
@@ -394,18 +404,27 @@ def _with_vectors(k: int):
     return ask
 
 
-def _attach(k: int, dtype):
+def _attach(k: int):
+    """Each node's neighbours as differences from it in float16, with the size of each difference and the neighbour's power of two: the nearer, the finer."""
+
     def attach(key, graph, answers):
         import pandas as pd
 
         if not len(graph) or not len(answers):
-            return pd.DataFrame(columns=["nid", "ids", "vectors"])
+            return pd.DataFrame(columns=["nid", "ids", "vector", "vectors", "sizes"])
         ids = np.frombuffer(b"".join(answers["first"]), np.int64)
-        x = np.frombuffer(b"".join(answers["second"]), dtype).reshape(len(ids), -1)
+        x = np.frombuffer(b"".join(answers["second"]), np.float32).reshape(len(ids), -1)
         order = np.argsort(ids)
         near = _stack(graph["ids"], np.int64)
         at = order[np.minimum(np.searchsorted(ids, near.clip(0), sorter=order), len(ids) - 1)]
-        return pd.DataFrame({"nid": graph["nid"], "ids": graph["ids"], "vectors": [x[r].tobytes() for r in at]})
+        vectors, sizes = [], []
+        for own, r in zip(_stack(graph["vector"], np.float32), at, strict=True):
+            apart = x[r, :-2] - own[:-2]
+            size = np.abs(apart).max(1)
+            size[size == 0] = 1
+            vectors.append((apart / size[:, None]).astype(np.float16).tobytes())
+            sizes.append(np.column_stack([size, x[r, -1]]).tobytes())
+        return pd.DataFrame({"nid": graph["nid"], "ids": graph["ids"], "vector": graph["vector"], "vectors": vectors, "sizes": sizes})
 
     return attach
 
@@ -444,7 +463,7 @@ def _expand(beam: int):
     return tell
 
 
-def _score(k: int, dtype):
+def _score(k: int):
     """Scores of the neighbours of the nodes that queries expand, told to the queries' blocks."""
 
     def score(key, graph, asked):
@@ -452,7 +471,8 @@ def _score(k: int, dtype):
             return _rows_frame([])
         graph = graph.sort_values("nid")
         nids, ids = graph["nid"].to_numpy(), _stack(graph["ids"], np.int64)
-        x = _stack(graph["vectors"], dtype).reshape(len(nids), k, -1)
+        x = _stack(graph["vectors"], np.float16).reshape(len(nids), k, -1)
+        own, sizes = _stack(graph["vector"], np.float32)[:, :-2], _stack(graph["sizes"], np.float32).reshape(len(nids), k, 2)
         out = []
         for first, second, third in zip(asked["first"], asked["second"], asked["third"], strict=True):
             head = np.frombuffer(first, np.dtype([("q", "<i8"), ("worst", "<f4")]))
@@ -461,7 +481,8 @@ def _score(k: int, dtype):
             found = []
             for begin in range(0, len(pairs), 2048):
                 row, at = pairs["row"][begin : begin + 2048], np.searchsorted(nids, pairs["u"][begin : begin + 2048])
-                s = np.matmul(x[at].astype(np.float32), v[row][:, :, None])[:, :, 0]
+                s = np.matmul(x[at].astype(np.float32), v[row, :-2, None])[:, :, 0] * sizes[at, :, 0]
+                s = (s + (own[at] * v[row, :-2]).sum(1)[:, None]) * np.exp2(sizes[at, :, 1])
                 near = ids[at]
                 fine = (near >= 0) & (s > head["worst"][row][:, None])
                 r, c = np.nonzero(fine)
@@ -492,37 +513,50 @@ def _advance(beam: int):
     return advance
 
 
-def _start(beam: int):
-    """Beams that hold the query's own node."""
+def _start(beam: int, entries: np.ndarray, entry_ids: np.ndarray):
+    """Beams that hold the query's own node and the entries."""
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             x = _stack([c.as_buffer() for c in batch.column("vector")], np.float32).copy()
-            x[:, -1] = 0  # so that scores are inner products of the vectors without the component that evens their lengths
+            band = np.exp2(x[:, -1])
+            x[:, -2:] = 0  # so that scores are inner products of the vectors without the component that evens their lengths
+            nid = batch.column("nid").to_numpy()
             ids, scores = np.full((n, beam), -1, np.int64), np.full((n, beam), -np.inf, np.float32)
-            ids[:, 0], scores[:, 0] = batch.column("nid").to_numpy(), (x * x).sum(1)
+            ids[:, 0], scores[:, 0] = nid, (x * x).sum(1) * band
+            if len(entries):
+                most = slice(1, 1 + len(entries))
+                own = entry_ids == nid[:, None]
+                ids[:, most] = np.where(own, -1, entry_ids)
+                scores[:, most] = np.where(own, -np.inf, (x @ entries.T) * np.exp2(entries[:, -1]))
+            order = np.argsort(-scores, axis=1, kind="stable")
+            ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
             cells = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("nid"), batch.column("node"), cells(x), cells(ids), cells(scores), cells(np.zeros((n, beam), np.uint8))], ["nid", "node", "vector", "ids", "scores", "expanded"])
 
     return start
 
 
-def search_graph(graph: DataFrame, query_nodes: DataFrame, *, k: int, beam: int = 256, rounds: int = 16) -> DataFrame:
-    """(node, nid array<long> best first) for the nodes of query_nodes (node) by greedy search."""
-    half = np.float16
+def search_graph(graph: DataFrame, query_nodes: DataFrame, entry_nodes: list[int], *, k: int, beam: int) -> DataFrame:
+    """(node, nid array<long> best first) for the nodes of query_nodes (node) by greedy search, until all of a beam is expanded.
+
+    Vectors end in the component that evens their length and the power of two that they were divided by. Searches begin at the query's own node and at entry_nodes.
+    """
+    entries = graph.where(F.col("node").isin(entry_nodes)).select("nid", "vector").collect() if entry_nodes else []
+    first = _start(beam, _stack([r["vector"] for r in entries], np.float32), np.array([r["nid"] for r in entries], np.int64))
     own = graph.select("nid", "node", "vector", "ids", "scores").withColumn("block", F.shiftright("nid", BITS))
     told = graph.select("nid", "vector", "ids", "scores").mapInArrow(_pointed_at(k), MESSAGE)
-    linked = materialise(_meet(own, told, _both_ways(k), "nid long, ids binary"), "linked")
-    asks = linked.groupBy(_by_block()).applyInPandas(_with_vectors(k), MESSAGE)
-    answers = _meet(own, asks, _answer(half), MESSAGE)
-    near = materialise(_meet(linked.withColumn("block", F.shiftright("nid", BITS)), answers, _attach(k, half), "nid long, ids binary, vectors binary"), "near")
+    linked = materialise(_meet(own, told, _both_ways(k), "nid long, ids binary, vector binary"), "linked")
+    asks = linked.select("nid", "ids").groupBy(_by_block()).applyInPandas(_with_vectors(k), MESSAGE)
+    answers = _meet(own, asks, _answer(np.float32), MESSAGE)
+    near = materialise(_meet(linked.withColumn("block", F.shiftright("nid", BITS)), answers, _attach(k), "nid long, ids binary, vector binary, vectors binary, sizes binary"), "near")
     discard(linked)
     near_blocks = near.withColumn("block", F.shiftright("nid", BITS))
-    states = materialise(graph.join(query_nodes, "node", "left_semi").select("nid", "node", "vector").mapInArrow(_start(beam), BEAM), "beams")
-    for _ in range(rounds):
+    states = materialise(graph.join(query_nodes, "node", "left_semi").select("nid", "node", "vector").mapInArrow(first, BEAM), "beams")
+    while True:
         told = states.mapInArrow(_expand(beam), MESSAGE)
-        scored = _meet(near_blocks, told, _score(2 * k, half), MESSAGE)
+        scored = _meet(near_blocks, told, _score(2 * k), MESSAGE)
         after = materialise(_meet(states.withColumn("block", F.shiftright("nid", BITS)), scored, _advance(beam), BEAM), "beams")
         discard(states)
         states = after
@@ -539,14 +573,17 @@ def search_graph(graph: DataFrame, query_nodes: DataFrame, *, k: int, beam: int
     return states.select("node", "ids").mapInArrow(lists, "node long, nids array<long>")
 
 
-def nearest(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, top: int = 20, k: int = 32, orders: int = 4, rounds: int = 4, beam: int = 256, sample_rows: int = 1024, rescored: int = 64) -> DataFrame:
+def nearest(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, top: int = 20, k: int = 32, orders: int = 4, rounds: int | None = None, beam: int | None = None, sample_rows: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every`` the ``top`` nearest other rows found.
 
     Rows without an id, and vectors that are null, zero, of another length than
     most or hold null or non-finite components, take no part. Repeated rows
     count once. Ties go to the smaller id; equal vectors are all candidates. With
     fewer candidates than ``top`` all found are given; empty tables give no rows.
-    ``sample_rows`` vectors choose the hyperplanes; every vector is indexed.
+    ``sample_rows`` vectors choose the hyperplanes; every vector is indexed. Unless
+    given, ``rounds`` and ``beam`` grow with the table. The graph is one of distances
+    between vectors divided by the length of the longest of their band, so that a few
+    long ones don't flatten the others; all of a beam is scored exactly.
     """
     valid = materialise(valid_vectors(table, id_col, vector_col), "vectors")
     nodes = materialise(valid.groupBy("v").agg(F.min("id").alias("node")), "nodes")
@@ -554,6 +591,8 @@ def nearest(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     empty = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not count:
         return empty
+    beam = beam or max(256, math.ceil(256 * math.sqrt(count / 10_000)))
+    rounds = 4 + max(0, math.ceil(math.log2(count / 8192))) if rounds is None else rounds
     same = nodes.select("node", F.col("node").alias("id")) if count == all_rows else valid.join(nodes, "v").select("node", "id")
     # rows that share a vector: the least ids are all that can be among the nearest
     if count != all_rows:
@@ -564,12 +603,20 @@ def nearest(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
         members = same.groupBy("node").agg(F.collect_list("id").alias("members"))
     queries = same.where(F.col("id") % every == 0)
     sample = np.array([r["v"] for r in nodes.orderBy(F.xxhash64("node"), "node").limit(sample_rows).collect()], np.float64)
-    square = F.aggregate("v", F.lit(0.0), lambda acc, a: acc + a * a)
-    scale = math.sqrt(float(nodes.agg(F.max(square)).first()[0]))
+    largest = F.array_max(F.transform("v", F.abs))
+    length = F.log2(largest) + F.log2(F.aggregate(F.transform("v", lambda a: a / largest), F.lit(0.0), lambda acc, a: acc + a * a)) / 2  # of any finite vector
+    lengths = nodes.select("node", length.alias("length"))
+    median, top_length = lengths.agg(F.percentile_approx("length", 0.5, 10_000), F.max("length")).first()
+    bulk = lengths.where(F.col("length") <= median + 3).agg(F.max("length")).first()[0]  # the longest of at most eight times the median
+    entries = [r["node"] for r in lengths.where(F.col("length") > bulk).orderBy(F.desc("length"), "node").limit(min(32, beam - 1)).collect()]
+    band = F.ceil((F.col("length") - bulk) / 6 - 1e-9).cast("int") * 6
 
     def unit(x: np.ndarray) -> np.ndarray:
-        """Divided by the longest length, with one more component that makes every length 1."""
-        x = x / scale
+        """Divided by the longest length of the band (64 times the next one's), with one more component that makes every length 1."""
+        most = np.abs(x).max(1)
+        x, log = x / most[:, None], np.log2(most)
+        length = log + np.log2((x * x).sum(1)) / 2
+        x = x * np.exp2(log - bulk - np.ceil((length - bulk) / 6 - 1e-9) * 6)[:, None]
         return np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))]).astype(np.float32)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -578,9 +625,18 @@ def nearest(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in unit(flat)], pa.binary())], ["node", "vector"])
 
     vectors = nodes.select("node", "v").mapInArrow(pack, "node long, vector binary")
-    graph = build_graph(vectors, count, unit(sample), k=k, orders=orders, rounds=rounds)
-    found = search_graph(graph, queries.select("node").distinct(), k=k, beam=beam)
-    pairs = found.select(F.col("node").alias("q"), F.explode(F.slice("nids", 1, rescored)).alias("nid"))
+    graph = build_graph(vectors, count, unit(sample), k=k, orders=orders, rounds=rounds, distance=True)
+    bands = lengths.select("node", (band - max(0, math.ceil((top_length - bulk) / 6 - 1e-9) * 6)).alias("band"))
+
+    def with_band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _stack([c.as_buffer() for c in batch.column("vector")], np.float32)
+            x = np.column_stack([x, batch.column("band").to_numpy().astype(np.float32)])
+            yield batch.drop_columns(["band"]).set_column(2, "vector", pa.array([r.tobytes() for r in x], pa.binary()))
+
+    graph = materialise(graph.join(bands, "node").select("nid", "node", "vector", "ids", "scores", "fresh", "band").mapInArrow(with_band, GRAPH), "graph")
+    found = search_graph(graph, queries.select("node").distinct(), entries, k=k, beam=beam)
+    pairs = found.select(F.col("node").alias("q"), F.explode("nids").alias("nid"))
     pairs = pairs.join(graph.select("nid", "node"), "nid").select("q", "node")
     with_v = pairs.join(nodes, "node").withColumnRenamed("v", "w").join(nodes.select(F.col("node").alias("q"), "v"), "q")
     score = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)

@@ -69,3 +69,25 @@ def test_few_rows(spark, rows):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     x = np.array([v for _, v in rows]).reshape(len(rows), 2)
     assert found(ann.nearest(df)) == {q: w for q, w in brute([i for i, _ in rows], x).items() if w}
+
+
+def mean_recall(spark, x, **options):
+    ids = list(range(len(x)))
+    out = found(ann.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), **options))
+    want = brute(ids, x)
+    assert out.keys() == want.keys()
+    return np.mean([len({i for i, _ in out[q]} & {i for i, _ in w}) / len(w) for q, w in want.items()])
+
+
+@pytest.mark.parametrize("times", [1e4, 1e9])
+def test_one_long_vector_does_not_flatten_the_others(spark, times):
+    x = np.random.default_rng(7).normal(size=(3000, 24))
+    x[1234] *= times
+    assert mean_recall(spark, x, k=16, orders=2, beam=96) > 0.95
+
+
+def test_many_near_copies(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 16))
+    x[:2500] = x[0] + 1e-4 * rng.normal(size=(2500, 16))
+    assert mean_recall(spark, x) > 0.95
