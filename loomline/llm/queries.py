@@ -207,21 +207,24 @@ WITH d AS (
 ), candidate AS (
   SELECT p.*, owner, repo FROM placed p JOIN d USING (r)
   WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM placed b WHERE b.r = p.r AND b.kind < 3 AND b.start < p.stop AND p.start < b.stop)
-), live AS (
-  SELECT val FROM candidate GROUP BY val HAVING count(DISTINCT owner) <= 1
+), held AS (
+  SELECT val, count(DISTINCT owner) AS owners, count(DISTINCT {'owner': owner, 'repo': repo}) AS repositories FROM candidate GROUP BY val
 ), judged AS (
-  SELECT c.*, live.val IS NOT NULL AS live,
-         ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS said FROM candidate c LEFT JOIN live USING (val)
+  SELECT c.*, owners, repositories, owners <= 2 AND repositories <= 3 AS live,
+         ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS said FROM candidate c JOIN held USING (val)
 ), by_row AS (
   SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
          string_agg(said, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
          string_agg(said, ',' ORDER BY start, kind) FILTER (kind < 3 OR live) AS spans,
+         string_agg(owners, ',' ORDER BY start, kind) FILTER (kind < 3 OR live) AS owners,
+         string_agg(repositories, ',' ORDER BY start, kind) FILTER (kind < 3 OR live) AS repositories,
          count(*) FILTER (kind = 3 AND live) AS n_owned, count(*) FILTER (kind < 3 AND live) AS n_live, count(*) FILTER (kind < 3 AND NOT live) AS n_copied
   FROM judged GROUP BY r
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+       coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+       coalesce(owners, '') AS owners, coalesce(repositories, '') AS repositories
 FROM d LEFT JOIN by_row USING (r)
 """,
 }
