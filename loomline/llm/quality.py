@@ -1,14 +1,17 @@
 """Text quality by compression: zstandard dictionaries of good and of bad texts.
 
-A dictionary is built from the labelled texts of each class. A text is
-compressed with either and with none, in blocks, so that a long text cannot turn
-into its own dictionary. The difference of the two sizes, divided by the larger,
-tells which class the text resembles; the size without a dictionary tells how
-much it repeats itself. A logistic fit on labelled texts that the dictionaries
-have not seen turns these into a calibrated score.
-
-Learning takes at most ``sample_rows`` texts of each class, of at most
-``sample_text_bytes`` bytes each. Every text is scored, whole.
+A dictionary is built from the pieces of the labelled texts of each class. A text
+is cut into blocks of each of a few sizes, so that a long text cannot turn into
+its own dictionary, and each block is compressed with either. The difference of
+the two sizes tells which class the text resembles. It is normalised twice: by
+the larger size, averaged over the blocks, and, summed, by the text's bytes; nothing
+else of a text is looked at. A logistic fit on these differences turns them into a
+calibrated score. The labelled texts are
+halved: either half's dictionaries are calibrated on the other, which they have
+not seen, and the two scores are averaged.
+
+Learning takes at most ``sample_rows`` texts of each class, and no further ones
+once ``sample_bytes`` bytes are reached. Every text is scored, whole.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,88 +34,115 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-class Sizes:
-    """Compressed sizes of a text, relative to its bytes: with the good dictionary, with the bad one, with none."""
+def _engine(dictionary: bytes, level: int):
+    """(compress, size of nothing) with a dictionary."""
+    kind = zstandard.DICT_TYPE_AUTO if dictionary[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
+    held = zstandard.ZstdCompressionDict(dictionary, dict_type=kind) if dictionary else None
+    if held:
+        held.precompute_compress(level=level)
+    compress = zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+    return compress, len(compress(b""))
 
-    def __init__(self, good: bytes, bad: bytes, block: int, level: int):
-        self.block, self.engines = block, []
-        for content in (good, bad, b""):
-            kind = zstandard.DICT_TYPE_AUTO if content[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
-            held = zstandard.ZstdCompressionDict(content, dict_type=kind) if content else None
-            if held:
-                held.precompute_compress(level=level)
-            engine = zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
-            self.engines.append((engine.compress, len(engine.compress(b""))))
 
-    def of(self, text: str) -> list[float]:
-        data = text.encode("utf-8", "surrogatepass")
-        blocks = [data[at : at + self.block] for at in range(0, len(data), self.block)]
-        return [sum(len(compress(x)) - empty for x in blocks) / max(1, len(data)) for compress, empty in self.engines]
-
-
-def features(sizes: np.ndarray) -> np.ndarray:
-    good, bad, plain = sizes.T
-    difference = (bad - good) / np.maximum(np.maximum(bad, good), 1e-9)
-    return np.column_stack([difference, plain, difference**2, good, difference * plain, plain**2])
+@dataclass
+class Half:
+    """The dictionaries of one half of the labelled texts and their calibration on the other."""
+
+    good: bytes
+    bad: bytes
+    blocks: tuple[int, ...]
+    level: int
+    mean: np.ndarray | None = None
+    scale: np.ndarray | None = None
+    weights: np.ndarray | None = None
+
+    def differences(self, texts: Sequence[str]) -> np.ndarray:
+        """For each block size the mean over a text's blocks of (bad - good) / max(bad, good), then for each the sum of bad - good by the text's bytes; 0 for an empty text."""
+        (good, no_good), (bad, no_bad) = _engine(self.good, self.level), _engine(self.bad, self.level)
+        n = len(self.blocks)
+        out = np.zeros((len(texts), 2 * n))
+        for i, text in enumerate(texts):
+            data = memoryview(text.encode("utf-8", "surrogatepass"))
+            for j, size in enumerate(self.blocks):
+                if j and len(data) <= self.blocks[j - 1]:  # one block, as with the size before
+                    out[i, j], out[i, n + j] = out[i, j - 1], out[i, n + j - 1]
+                    continue
+                share, total, at = 0.0, 0, 0
+                for at in range(0, len(data), size):
+                    block = data[at : at + size]
+                    a, b = len(good(block)) - no_good, len(bad(block)) - no_bad
+                    share += (b - a) / max(1, a, b)
+                    total += b - a
+                out[i, j], out[i, n + j] = share / (at // size + 1), total / max(1, len(data))
+        return out
+
+    def terms(self, differences: np.ndarray) -> np.ndarray:
+        """The standardised differences, their products and 1."""
+        z = (differences - self.mean) / self.scale
+        n = z.shape[1]
+        return np.column_stack([z, *(z[:, i] * z[:, j] for i in range(n) for j in range(i + 1)), np.ones(len(z))])
+
+    def calibrate(self, differences: np.ndarray, y: np.ndarray, prior: float) -> None:
+        self.mean, self.scale = differences.mean(0), differences.std(0) + 1e-9
+        x = self.terms(differences)
+        w, ridge = np.zeros(x.shape[1]), np.array([0.3] * (x.shape[1] - 1) + [1e-6])
+        loss = lambda v: np.logaddexp(0, x @ v).sum() - y @ (x @ v) + (ridge * v * v).sum() / 2
+        for _ in range(40):  # Newton's method, with shorter steps where a whole one would not descend
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+            while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+                step = step / 2
+            w = w - step
+        w[-1] += prior - np.log(y.sum() / (len(y) - y.sum()))  # the sample's shares are not the table's
+        self.weights = w
+
+    def probability(self, texts: Sequence[str]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.terms(self.differences(texts)) @ self.weights, -500, 500)))
 
 
 @dataclass
 class QualityModel:
-    """Dictionaries and calibration; small enough to go with every task (two dictionaries of ``dictionary_bytes``)."""
+    """Both halves, small enough to go with every task (four dictionaries of ``dictionary_bytes``); without any, every score is the share of good texts."""
 
-    good: bytes = b""
-    bad: bytes = b""
-    block: int = 2048
-    level: int = 3
-    mean: np.ndarray = field(default_factory=lambda: np.zeros(6))
-    scale: np.ndarray = field(default_factory=lambda: np.ones(6))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(7))
+    share: float
+    halves: list[Half] = field(default_factory=list)
 
     def score(self, texts: Sequence[str]) -> np.ndarray:
         """Probability that a text is good."""
-        engine = Sizes(self.good, self.bad, self.block, self.level)
-        return self.probability(np.array([engine.of(t) for t in texts], float).reshape(-1, 3))
-
-    def probability(self, sizes: np.ndarray) -> np.ndarray:
-        z = np.column_stack([(features(sizes) - self.mean) / self.scale, np.ones(len(sizes))]) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        if not self.halves:
+            return np.full(len(texts), self.share)
+        return np.mean([h.probability(texts) for h in self.halves], axis=0)
 
 
-def _dictionary(texts: list[bytes], size: int) -> bytes:
+def _dictionary(texts: list[bytes], size: int, piece: int) -> bytes:
     try:
-        return zstandard.train_dictionary(size, texts).as_bytes()
+        return zstandard.train_dictionary(size, [t[at : at + piece] for t in texts for at in range(0, len(t), piece)]).as_bytes()
     except zstandard.ZstdError:  # too few or too small texts to train on: their bytes as they are
         return b"\n".join(texts)[-size:]
 
 
-def fit(good: list[str], bad: list[str], share_good: float, *, dictionary_bytes: int = 112_640, block: int = 2048, level: int = 3) -> QualityModel:
-    """Learn from texts of each class; one half makes the dictionaries, the other the calibration. Without either class, every score is the share."""
+def fit(good: list[str], bad: list[str], share_good: float, *, dictionary_bytes: int = 65_536, piece: int = 256, blocks: Sequence[int] = (256, 1024, 4096), level: int = 3) -> QualityModel:
+    """Learn from texts of each class. With under two of either, every score is the share."""
     share = min(max(share_good, 1e-3), 1 - 1e-3)
-    prior = np.log(share / (1 - share))
+    model = QualityModel(share)
     if len(good) < 2 or len(bad) < 2:
-        return QualityModel(weights=np.array([0.0] * 6 + [prior]))
-    model = QualityModel(*(_dictionary([t.encode("utf-8", "surrogatepass") for t in x[::2]], dictionary_bytes) for x in (good, bad)), block, level)
-    engine = Sizes(model.good, model.bad, block, level)
-    sizes = np.array([engine.of(t) for x in (good, bad) for t in x[1::2]], float)
-    y = np.r_[np.ones(len(good) // 2), np.zeros(len(bad) // 2)]
-    x = features(sizes)
-    model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
-    z = np.column_stack([(x - model.mean) / model.scale, np.ones(len(x))])
-    w, ridge = np.zeros(7), np.diag([1.0] * 6 + [1e-6])
-    for _ in range(40):  # Newton's method
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
-        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (p - y) + ridge @ w)
-    w[-1] += prior - np.log(y.sum() / (len(y) - y.sum()))  # the sample's shares are not the table's
-    model.weights = w
+        return model
+    for k in (0, 1):
+        half = Half(*(_dictionary([t.encode("utf-8", "surrogatepass") for t in x[k::2]], dictionary_bytes, piece) for x in (good, bad)), tuple(blocks), level)
+        unseen = [x[1 - k :: 2] for x in (good, bad)]
+        y = np.r_[np.ones(len(unseen[0])), np.zeros(len(unseen[1]))]
+        half.calibrate(half.differences([*unseen[0], *unseen[1]]), y, np.log(share / (1 - share)))
+        model.halves.append(half)
     return model
 
 
-def fit_table(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out_fold: int = 0, sample_rows: int = 2200, sample_text_bytes: int = 32_768, seed: int = 5, **how) -> QualityModel:
+def fit_table(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out_fold: int = 0, sample_rows: int = 2200, sample_bytes: int = 16 << 20, seed: int = 5, **how) -> QualityModel:
     """Learn from the labelled rows outside the held-out fold.
 
     Labels other than 0 and 1, and ids labelled both, are left out. The sample
-    takes the rows of a class with the least hash of their id: at most
-    2 * sample_rows * sample_text_bytes bytes (144 MB as set here).
+    takes the rows of a class in order of a hash of their id, whole texts of any
+    length: at most ``sample_rows``, and none after the one that reaches
+    ``sample_bytes``. Of texts that share an id the least counts.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("top")).where("y = top").select("id", "y").where(fold(F.col("id")) != held_out_fold)
     shares = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -121,8 +151,10 @@ def fit_table(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     texts: dict[int, list[str]] = {}
     for y in (0, 1):
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows)
-        found = docs.select(F.col(id_col).alias("id"), no_text_as_empty(text_col).alias("text")).where(F.octet_length("text") <= sample_text_bytes).join(F.broadcast(some), "id")  # at most sample_rows ids
-        rows = found.groupBy("id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows).collect()
+        found = docs.select(F.col(id_col).alias("id"), no_text_as_empty(text_col).alias("text")).join(F.broadcast(some.select("id")), "id")  # at most sample_rows ids
+        order = Window.orderBy(F.xxhash64("id", F.lit(seed)), "id").rowsBetween(Window.unboundedPreceding, -1)
+        one = found.groupBy("id").agg(F.min("text").alias("text")).withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(order), F.lit(0)))
+        rows = one.where(F.col("before") < sample_bytes).orderBy("before", F.xxhash64("id", F.lit(seed)), "id").collect()
         texts[y] = [r["text"] for r in rows]
     return fit(texts[1], texts[0], shares.get(1, 0) / sum(shares.values()), **how)
 
