@@ -141,18 +141,27 @@ WITH u AS (
   SELECT count(*) AS urls FROM v WHERE fixed IS NOT NULL
 ), singles AS (
   SELECT token, count(*) FILTER (fixed = 'block') AS blocked, count(*) AS every FROM t WHERE fixed IS NOT NULL GROUP BY token
+), one AS (
+  SELECT token FROM singles, n WHERE blocked >= ceil(0.01 * urls) AND blocked / every >= 0.8
 ), frequent AS (
-  SELECT t.* FROM t JOIN singles s USING (token), n WHERE fixed IS NOT NULL AND s.blocked >= ceil(0.01 * urls)
+  SELECT t.* FROM t JOIN singles s USING (token), n WHERE fixed IS NOT NULL AND s.blocked >= ceil(0.01 * urls) AND token NOT IN (FROM one)
 ), pairs AS (
-  SELECT a.token AS token, b.token AS other, count(*) FILTER (a.fixed = 'block') AS blocked, count(*) AS every
+  SELECT a.token AS a, b.token AS b, count(*) FILTER (a.fixed = 'block') AS blocked, count(*) AS every
   FROM frequent a JOIN frequent b ON a.r = b.r AND a.token < b.token GROUP BY ALL
+), two AS (
+  SELECT a, b FROM pairs, n WHERE blocked >= ceil(0.01 * urls) AND blocked / every >= 0.8
+), left_over AS (
+  SELECT a, b FROM pairs, n WHERE blocked >= ceil(0.01 * urls) AND blocked / every < 0.8
+), triples AS (
+  SELECT p.a, p.b, z.token AS c, count(*) FILTER (x.fixed = 'block') AS blocked, count(*) AS every
+  FROM left_over p JOIN frequent x ON x.token = p.a JOIN frequent y ON y.token = p.b AND y.r = x.r JOIN frequent z ON z.r = x.r AND z.token > p.b GROUP BY ALL
+), three AS (
+  SELECT a, b, c FROM triples t, n WHERE blocked >= ceil(0.01 * urls) AND blocked / every >= 0.8
+  AND NOT EXISTS (SELECT 1 FROM two WHERE two.b = t.c AND two.a IN (t.a, t.b))
 ), rules AS (
-  SELECT token, NULL AS other FROM singles, n WHERE blocked >= ceil(0.01 * urls) AND blocked / every >= 0.8
-  UNION ALL
-  SELECT token, other FROM pairs, n WHERE blocked >= ceil(0.01 * urls) AND blocked / every >= 0.8
+  SELECT row_number() OVER () AS k, items FROM (SELECT [token] AS items FROM one UNION ALL SELECT [a, b] FROM two UNION ALL SELECT [a, b, c] FROM three)
 ), hit AS (
-  SELECT DISTINCT a.r FROM t a JOIN rules ON a.token = rules.token
-  WHERE other IS NULL OR EXISTS (SELECT 1 FROM t b WHERE b.r = a.r AND b.token = other)
+  SELECT DISTINCT t.r FROM t JOIN (SELECT k, len(items) AS needed, unnest(items) AS token FROM rules) USING (token) GROUP BY t.r, k, needed HAVING count(*) = needed
 )
 SELECT page_id, host, path, rule, CASE WHEN fixed IS NOT NULL THEN fixed WHEN hit.r IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM v LEFT JOIN hit ON v.r = hit.r

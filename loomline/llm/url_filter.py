@@ -1,24 +1,39 @@
 """URL filtering: fixed host and path rules first, mined association rules for the rest.
 
-FP-growth mines combinations of URL tokens together with a verdict from labelled
-URLs. Rules whose consequent is the blocking verdict stay if they reach the
-support and the confidence and have at most ``max_tokens`` tokens. A URL is
-looked up in an inverted index from token to the rules that hold it: a rule fits
-when as many of the URL's tokens lead to it as it has.
-
-Minimum support bounds the rules: at most (mean tokens a URL) / support tokens
-are frequent, however large the table. All steps are DataFrame operations.
+FP-growth mines combinations of URL tokens from the labelled URLs that are to be
+blocked. Of the combinations that reach the support, those whose confidence over
+all labelled URLs reaches its bound are rules, unless a part of them is one
+already. A URL is looked up in an inverted index from token to the rules that
+hold it: a rule fits when as many of the URL's items lead to it as it has.
+
+A URL that many rows repeat must not yield every subset of its tokens:
+
+- tokens without the support among blocked URLs are left out, and so are those
+  that are rules by themselves;
+- tokens that occur in the very same labelled URLs are one item;
+- a basket of more than ``BASKET`` items is cut into blocks, and every
+  ``max_tokens`` blocks make a basket of their own, so that each combination is
+  still in one. Combinations are counted anew on the uncut ones.
+
+Minimum support bounds the items: at most (mean tokens a blocked URL) / support,
+however large the table. All steps are DataFrame operations.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.llm.arrays import let
+from loomline.llm.common import materialise, with_row_key
+
+BASKET = 12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,9 +52,9 @@ class HostRule:
 
 @dataclass(frozen=True)
 class TokenRule:
-    """Blocks URLs that hold all of ``tokens``."""
+    """Blocks URLs that hold one token of each of ``items``; an item's tokens occur in the same labelled URLs."""
 
-    tokens: tuple[str, ...]
+    items: tuple[tuple[str, ...], ...]
     confidence: float
     support: float
 
@@ -73,35 +88,79 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(F.when(host == "", F.array().cast("array<string>")).otherwise(hosts), segments, keys, fragment))
 
 
-def mine_rules(labelled: DataFrame, *, min_support: float = 0.01, min_confidence: float = 0.8, max_tokens: int = 2, blocking: str = "block") -> list[TokenRule]:
-    """Token rules from (tokens array<string>, verdict string); rows with a null verdict don't count. No labelled rows: no rules."""
-    baskets = labelled.where(F.col("verdict").isNotNull()).select(F.concat(F.col("tokens"), F.array(F.concat(F.lit("verdict:"), F.col("verdict")))).alias("items"))
-    if baskets.isEmpty():
-        return []
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    block = F.col("consequent") == F.array(F.lit(f"verdict:{blocking}"))
-    plain = ~F.exists("antecedent", lambda x: x.startswith("verdict:"))
+def _baskets(items: Column, parts: int) -> Column:
+    """array<array<int>>: the items, or, if there are more than BASKET, every ``parts`` blocks of them."""
+    width = BASKET // parts
+    blocks = F.transform(F.sequence(F.lit(1), F.size(items), F.lit(width)), lambda at: F.slice(items, at, width))
+    joined = F.transform(blocks, lambda x, k: F.struct(k.alias("last"), x.alias("items")))
+    for _ in range(parts - 1):
+        more = lambda c: F.transform(F.filter(F.transform(blocks, lambda x, k: F.struct(k.alias("last"), x.alias("items"))), lambda x: x["last"] > c["last"]), lambda x: F.struct(x["last"].alias("last"), F.concat(c["items"], x["items"]).alias("items")))
+        joined = F.flatten(F.transform(joined, more))
+    return F.when(F.size(items) <= BASKET, F.array(items)).otherwise(F.transform(joined, lambda c: c["items"]))
+
+
+def mine_rules(labelled: DataFrame, *, min_support: float = 0.01, min_confidence: float = 0.8, max_tokens: int = 3, blocking: str = "block") -> list[TokenRule]:
+    """Token rules of at most ``max_tokens`` items from (tokens array<string>, verdict string).
+
+    Support is the share of labelled rows that hold a rule's tokens and are
+    blocked. A rule of which a part is one already is left out. Rows with a null
+    verdict don't count, null and empty token arrays count as rows without a
+    token, a repeated token counts once. No labelled rows: no rules.
+    """
+    known = labelled.where(F.col("verdict").isNotNull()).select(F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>"))).alias("tokens"), (F.col("verdict") == blocking).alias("blocked"))
+    # rows that repeat are one with a count; the key goes by content, so that it is stable
+    known = materialise(with_row_key(known.groupBy("tokens", "blocked").agg(F.count("*").alias("n"))), "labelled")
+    total = known.agg(F.sum("n")).first()[0] or 0
+    need = max(1, math.ceil(min_support * total))
+    each = known.select("row_key", "blocked", "n", F.explode("tokens").alias("token"))
+    of = lambda *keys: (F.sum(F.when(F.col("blocked"), F.col("n")).otherwise(0)).alias("hit"), F.sum("n").alias("every"), *keys)
+    same = [F.count("*").alias("rows"), F.bit_xor(F.xxhash64("row_key")).alias("x"), F.bit_xor(F.xxhash64("row_key", F.lit(1))).alias("y")]
     # bounded by the support: see the module's text
-    found = model.associationRules.where(block & plain & (F.size("antecedent") <= max_tokens)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").collect()
-    return sorted((TokenRule(tuple(r.tokens), r.confidence, r.support) for r in found), key=lambda r: r.tokens)
+    found = each.groupBy("token").agg(*of(*same)).where(F.col("hit") >= need).groupBy("hit", "every", "rows", "x", "y").agg(F.array_sort(F.collect_list("token")).alias("tokens")).collect()
+    items = sorted((tuple(r["tokens"]), r["hit"], r["every"]) for r in found)
+    sure = [t for t, hit, every in items if hit / every >= min_confidence]
+    rules = [TokenRule((t,), hit / every, hit / total) for t, hit, every in items if hit / every >= min_confidence]
+    open_ = [t for t, *_ in items if t not in set(sure)]
+    if max_tokens < 2 or len(open_) < 2:
+        return rules
+    number = known.sparkSession.createDataFrame([(t, k) for k, tokens in enumerate(open_) for t in tokens], "token string, item int")
+    held = each.join(F.broadcast(number), "token").groupBy("row_key", "blocked", "n").agg(F.array_sort(F.collect_set("item")).alias("items")).where(F.size("items") > 1)  # as many rows as frequent tokens
+    held = materialise(held.groupBy("blocked", "items").agg(F.sum("n").alias("n")), "baskets")
+    cut = held.where("blocked").select(F.explode(_baskets(F.col("items"), max_tokens)).alias("items"), "n").select("items", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("copy")).select("items")
+    baskets = cut.count()
+    if not baskets:
+        return rules
+    mined = FPGrowth(itemsCol="items", minSupport=min(1.0, need / baskets * (1 - 1e-9)), minConfidence=0.0).fit(cut).freqItemsets
+    combos = materialise(mined.where(F.size("items").between(2, max_tokens)).select(F.array_sort("items").alias("combo"), F.array_min("items").alias("item")), "combinations")
+    met = held.select("blocked", "n", "items", F.explode("items").alias("item")).join(combos, "item").where(F.size(F.array_except("combo", "items")) == 0)
+    good = met.groupBy("combo").agg(*of()).where((F.col("hit") >= need) & (F.col("hit") / F.col("every") >= min_confidence)).collect()
+    chosen: set[frozenset[int]] = set()
+    for r in sorted(good, key=lambda r: (len(r["combo"]), r["combo"])):
+        if not any(frozenset(part) in chosen for size in range(2, len(r["combo"])) for part in combinations(r["combo"], size)):
+            chosen.add(frozenset(r["combo"]))
+            rules.append(TokenRule(tuple(open_[k] for k in r["combo"]), r["hit"] / r["every"], r["hit"] / total))
+    return sorted(rules, key=lambda r: r.items)
 
 
 def matches(tokens: Column, rules: Sequence[TokenRule]) -> Column:
-    """Whether all tokens of some rule are among the distinct ``tokens``."""
-    index: dict[str, list[int]] = {}
-    for k, rule in enumerate(rules):
-        for token in rule.tokens:
-            index.setdefault(token, []).append(k)
-    if not index:
+    """Whether the distinct ``tokens`` hold one of each item of some rule."""
+    items = {item: k for k, item in enumerate(sorted({i for r in rules for i in r.items}))}
+    if not items:
         return F.lit(False)
-    by_token = F.create_map(*[x for token, ks in sorted(index.items()) for x in (F.lit(token), F.array(*map(F.lit, ks)))])
-    needed = F.array(*[F.lit(len(r.tokens)) for r in rules])
-    hits = F.flatten(F.transform(F.array_intersect(tokens, F.map_keys(by_token)), lambda t: F.element_at(by_token, t)))
-    return F.exists(F.array_distinct(hits), lambda k: F.size(F.filter(hits, lambda x: x == k)) == F.element_at(needed, k + 1))
+    index: dict[int, list[int]] = {}
+    for k, rule in enumerate(rules):
+        for item in rule.items:
+            index.setdefault(items[item], []).append(k)
+    by_token = F.create_map(*[x for item, k in items.items() for token in item for x in (F.lit(token), F.lit(k))])
+    by_item = F.array(*[F.array(*map(F.lit, index[k])) for k in range(len(items))])
+    needed = F.array(*[F.lit(len(r.items)) for r in rules])
+    held = F.array_distinct(F.transform(F.array_intersect(tokens, F.map_keys(by_token)), lambda t: F.element_at(by_token, t)))
+    hits = F.flatten(F.transform(held, lambda k: F.get(by_item, k)))
+    return let(hits, lambda h: F.exists(F.array_distinct(h), lambda k: F.size(F.filter(h, lambda x: x == k)) == F.get(needed, k)))
 
 
 def judge_urls(
-    pages: DataFrame, rules: Sequence[HostRule], *, id_col: str = "page_id", url_col: str = "url", labelled: DataFrame | None = None, min_support: float = 0.01, min_confidence: float = 0.8, max_tokens: int = 2
+    pages: DataFrame, rules: Sequence[HostRule], *, id_col: str = "page_id", url_col: str = "url", labelled: DataFrame | None = None, min_support: float = 0.01, min_confidence: float = 0.8, max_tokens: int = 3
 ) -> DataFrame:
     """One row per input row: its id, host, path, rule, verdict.
 

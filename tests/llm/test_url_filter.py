@@ -1,4 +1,7 @@
-from itertools import combinations
+import time
+from itertools import combinations, product
+
+from pyspark.sql import functions as F
 
 from loomline.llm import queries, url_filter
 
@@ -35,19 +38,19 @@ def test_hosts_paths_and_longest_rule(spark):
 
 def test_mined_rules_are_those_of_counting(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
-    from pyspark.sql import functions as F
-
     fixed = url_filter.fitting_rule(url_filter.url_host(F.col("url")), url_filter.url_path(F.col("url")), RULES)
     table = pages.select(url_filter.url_tokens(F.col("url")).alias("tokens"), fixed["verdict"].alias("verdict"))
     mined = url_filter.mine_rules(table)
     known = [(frozenset(r.tokens), r.verdict == "block") for r in table.collect() if r.verdict]
     want = {}
-    for size in (1, 2):
+    for size in (1, 2, 3):
         for rule in {c for t, _ in known for c in combinations(sorted(t), size)}:
             hit = [b for t, b in known if t.issuperset(rule)]
-            if sum(hit) >= 0.01 * len(known) and sum(hit) / len(hit) >= 0.8:
+            if sum(hit) >= 0.01 * len(known) and sum(hit) / len(hit) >= 0.8 and not any(p in want for n in range(1, size) for p in combinations(rule, n)):
                 want[rule] = sum(hit) / len(hit)
-    assert {r.tokens: round(r.confidence, 9) for r in mined} == {k: round(v, 9) for k, v in want.items()} and mined
+    # the tokens of an item occur in the same rows: each choice of them is a rule
+    got = {tuple(sorted(choice)): round(r.confidence, 9) for r in mined for choice in product(*r.items)}
+    assert got == {k: round(v, 9) for k, v in want.items()} and mined
     judged = {r.page_id: r for r in url_filter.judge_urls(pages, RULES).collect()}
     for p in pages.select("page_id", url_filter.url_tokens(F.col("url")).alias("tokens")).collect():
         if judged[p.page_id].rule is None:
@@ -60,3 +63,35 @@ def test_given_labels_and_nothing_to_mine(spark):
     assert {r.page_id: r.verdict for r in url_filter.judge_urls(pages, [], labelled=labelled).collect()} == {1: "block", 2: "allow"}
     assert {r.verdict for r in url_filter.judge_urls(pages, []).collect()} == {"allow"}
     assert url_filter.judge_urls(frame(spark, []), RULES).count() == 0
+
+
+def test_a_rule_of_three_tokens(spark):
+    """Blocked only where a, b and c meet; two of them, or one, are allowed more often than not."""
+    rows = [("http://x.net/a/b/c", "block")] * 30 + [(f"http://x.net/{p}", "allow") for p in ("a/b", "a/c", "b/c") for _ in range(40)]
+    labelled = spark.createDataFrame(rows, "url string, verdict string")
+    table = labelled.select(url_filter.url_tokens(F.col("url")).alias("tokens"), "verdict")
+    assert [r.items for r in url_filter.mine_rules(table)] == [(("p:a",), ("p:b",), ("p:c",))]
+    assert url_filter.mine_rules(table, max_tokens=2) == []
+    pages = frame(spark, [(1, "http://y.net/c/x/b/a"), (2, "http://y.net/a/b"), (3, "http://y.net/b/c/a?q")])
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(pages, [], labelled=labelled).collect()} == {1: "block", 2: "allow", 3: "block"}
+
+
+def test_repeated_long_urls(spark):
+    """A URL of 40 segments in one row of a hundred, blocked in some and allowed in others, and variants of it that each lack a segment."""
+    long = [f"s{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    rows = [("http://a.net/" + "/".join(long), v) for v in ("block", "block", "allow") for _ in range(40)]
+    rows += [("http://b.net/" + "/".join(long[:k] + long[k + 1 :]), v) for k in range(40) for v in ("block", "allow")]
+    rows += [(f"http://c{k}.net/p{k}", "allow") for k in range(4000)]
+    labelled = spark.createDataFrame(rows, "url string, verdict string")
+    began = time.monotonic()
+    pages = frame(spark, [(1, rows[0][0]), (2, "http://z.net/" + "/".join(long[:5]))])
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(pages, [], labelled=labelled).collect()} == {1: "allow", 2: "allow"}
+    assert time.monotonic() - began < 60
+
+
+def test_long_baskets_keep_every_combination(spark):
+    items = list(range(17))
+    table = spark.createDataFrame([(items,), (items[:12],), ([5],)], "items array<int>")
+    got = [r[0] for r in table.select(url_filter._baskets(F.col("items"), 3)).collect()]
+    assert got[1:] == [[items[:12]], [[5]]] and all(len(b) <= 12 for b in got[0])
+    assert {c for b in got[0] for c in combinations(b, 3)} == set(combinations(items, 3))
