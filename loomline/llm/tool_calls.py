@@ -1,11 +1,12 @@
 """Tool calls of conversations: linked to results, ordered, validated, serialised.
 
 Calls and results are brought to one row for each conversation and identifier,
-so repeats cannot multiply, and hash-joined. Levels come from Kahn's algorithm
-in relational rounds: a call's level is one above the highest level of the
-calls it depends on. Arguments are checked against a schema for each tool.
-Each link is written as JSON with sorted keys. All steps are DataFrame
-operations; no step gathers a conversation in one task.
+so repeats cannot multiply, and hash-joined. A call's level is one above the
+highest level of the calls it depends on, as Kahn's algorithm finds it: within
+one expression for conversations of at most ``TOGETHER`` calls, in relational
+rounds, one for each level, for those that have more. Arguments are checked
+against a schema for each tool. Each link is written as JSON with sorted keys.
+All steps are DataFrame operations; no step gathers a larger conversation.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from loomline.llm.common import discard, materialise
 
 KEY = ["conversation", "call_id"]
+TOGETHER = 32
 #: JSON type -> types that schema_of_variant names.
 TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "object": "^OBJECT.*", "array": "^ARRAY.*"}
 
@@ -31,7 +33,10 @@ def parse_messages(messages: DataFrame, *, conv_col: str = "conv_id", turn_col:
     """The calls and the results written as JSON in messages.
 
     A call stands in ``{"tool_calls": [{"id", "name", "arguments", "depends_on"}]}``,
-    a result is ``{"tool_call_id", "content"}``. Other messages have neither.
+    a result is ``{"tool_call_id", "content"}``. Other messages, null and empty
+    texts and what isn't JSON have neither; texts are parsed whole. A call
+    without an id is left out, a null conversation or turn stays null. Repeated
+    messages give repeated rows, other columns aren't read.
     """
     v = F.try_parse_json(F.when(F.col(text_col).rlike(r"^\s*\{"), F.col(text_col)))
     rows = messages.select(F.col(conv_col).cast("string").alias("conversation"), F.col(turn_col).cast("long").alias("turn"), v.alias("v"))
@@ -83,12 +88,26 @@ def argument_errors(name: Column, arguments: Column, schemas: Mapping[str, Mappi
     return out
 
 
-def call_levels(calls: DataFrame) -> DataFrame:
-    """(conversation, call_id, level) of each call; null where a dependency is missing or part of a circle.
+def _levels_together(calls: DataFrame) -> DataFrame:
+    """Levels of conversations of at most TOGETHER calls, each in one row."""
+    cell = F.struct("call_id", F.array_distinct("depends_on").alias("needs"), F.when(F.size("depends_on") == 0, 0).cast("int").alias("level"))
+    one = calls.groupBy("conversation").agg(F.collect_list(cell).alias("calls"))
 
-    calls has one row for each key, with depends_on. There are as many rounds as
-    levels; each handles only the edges still open.
-    """
+    def settle(acc: Column, _: Column) -> Column:
+        level = lambda need: F.get(F.filter(acc, lambda c: c["call_id"] == need), F.lit(0))["level"]
+
+        def met(c: Column) -> Column:
+            levels = F.transform(c["needs"], level)
+            return F.struct(c["call_id"], c["needs"], F.when(c["level"].isNotNull(), c["level"]).when(F.forall(levels, lambda x: x.isNotNull()), F.array_max(levels) + 1).alias("level"))
+
+        return F.transform(acc, met)
+
+    done = F.aggregate(F.sequence(F.lit(1), F.size("calls")), F.col("calls"), settle)
+    return one.select("conversation", F.explode(done).alias("c")).select("conversation", "c.call_id", "c.level")
+
+
+def _levels_by_rounds(calls: DataFrame) -> DataFrame:
+    """Levels of larger conversations: each round handles the edges still open."""
     edges = calls.select(*KEY, F.explode(F.array_distinct("depends_on")).alias("needs"))
     free = calls.where(F.size("depends_on") == 0).select(*KEY, F.lit(0).alias("level"))
     if edges.isEmpty():
@@ -116,6 +135,18 @@ def call_levels(calls: DataFrame) -> DataFrame:
     return out
 
 
+def call_levels(calls: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """(conversation, call_id, level) of each call; null, or no row, where a dependency is missing or part of a circle.
+
+    calls has one row for each key, with depends_on. A null conversation's calls have none.
+    """
+    sizes = calls.groupBy("conversation").agg((F.count("*") > together).alias("large"))
+    sized = materialise(calls.join(sizes.hint("shuffle_hash"), "conversation").select(*KEY, "depends_on", "large"), "calls")
+    small = _levels_together(sized.where("NOT large"))
+    large = sized.where("large")
+    return small if large.isEmpty() else small.unionByName(_levels_by_rounds(large))
+
+
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str, bool]]]) -> DataFrame:
     """One row for each conversation and identifier: conversation, call_id, status, name, call_turn, result_turn, n_calls, n_results, level, errors, valid, json.
 
@@ -129,7 +160,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str,
     asked = calls.groupBy(*KEY).agg(first("turn", "name", "arguments", "depends_on").alias("c"), F.count("*").alias("n_calls")).select(*KEY, "c.*", "n_calls")
     given = results.groupBy(*KEY).agg(first("turn", "content").alias("r"), F.count("*").alias("n_results")).select(*KEY, F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), "n_results")
     levels = call_levels(asked.select(*KEY, "depends_on"))
-    both = asked.withColumnRenamed("turn", "call_turn").join(levels, KEY, "left").join(given, KEY, "full")
+    both = asked.withColumnRenamed("turn", "call_turn").join(levels.hint("shuffle_hash"), KEY, "left").join(given.hint("shuffle_hash"), KEY, "full")
     status = F.when(F.col("n_calls").isNull(), "no-call").when(F.col("n_results").isNull(), "no-result").when(F.col("result_turn") < F.col("call_turn"), "early-result").otherwise("linked")
     errors = F.when(F.col("n_calls").isNull(), "").otherwise(argument_errors(F.col("name"), F.col("arguments"), schemas))
     out = both.withColumns({"status": status, "errors": errors})

@@ -58,3 +58,23 @@ def test_dialogue_with_gaps(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert tool_calls.link_tool_calls(*tool_calls.dialogue_calls(empty), SCHEMAS).count() == 0
     assert tool_calls.link_tool_calls(*tool_calls.parse_messages(empty), SCHEMAS).count() == 0
+
+
+def test_the_link_is_a_hash_join(spark, small):
+    calls, results = tool_calls.dialogue_calls(spark.read.parquet(f"{small}/conversations.parquet"))
+    out = tool_calls.link_tool_calls(calls, results, SCHEMAS)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [conversation" in plan and "SortMergeJoin" not in plan and "Python" not in plan and "Pandas" not in plan
+
+
+def test_levels_of_large_conversations(spark):
+    """A chain of 10 and a fan of 50 calls, in one row and by rounds; a circle and a missing call have no level."""
+    chain = [("1", f"c{k}", [f"c{k - 1}"] if k else []) for k in range(10)]
+    fan = [("2", "root", [])] + [("2", f"f{k}", ["root"]) for k in range(50)] + [("2", "end", [f"f{k}" for k in range(50)])]
+    bad = [("3", "x", ["y"]), ("3", "y", ["x"]), ("3", "z", ["nowhere", "w"]), ("3", "w", []), ("3", "v", ["w", "w"])]
+    calls = spark.createDataFrame(chain + fan + bad, "conversation string, call_id string, depends_on array<string>")
+    want = {(c, i): k for k, (c, i, _) in enumerate(chain)} | {(c, i): (0 if i == "root" else 2 if i == "end" else 1) for c, i, _ in fan} | {("3", "w"): 0, ("3", "v"): 1}
+    for together in (0, 8, 32, 100):
+        got = {(r.conversation, r.call_id): r.level for r in tool_calls.call_levels(calls, together).collect() if r.level is not None}
+        assert got == want
