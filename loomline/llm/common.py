@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors see: ``spark.checkpoint.dir``. Only a local session may go without, and gets a temporary one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="loomline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,6 +55,14 @@ def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def first_of_each(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row for each key: the one whose columns, as JSON with nulls, come first."""
+    cell = F.struct(*[F.col(c) for c in columns])
+    shown = F.to_json(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)]), {"ignoreNullFields": "false"})
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(cell.alias("row")), shown).alias("first"))
+    return first.select(*keys[:1], *[F.col("first.row")[c].alias(c) for c in columns])
+
+
 def no_text_as_empty(column: str):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -45,7 +45,35 @@ def test_empty(spark):
 def test_merge_refuses_two_lengths():
     import numpy as np
 
-    a = np.array([(b"x" * 32, 1, 1, 1, 5)], exact_dedup.ENTRY)
-    b = np.array([(b"x" * 32, 2, 2, 1, 6)], exact_dedup.ENTRY)
-    with pytest.raises(ValueError):
-        exact_dedup.merge_runs([a, b], "largest")
+    a = np.array([(b"x" * 32, 1, 1, 1, 5, 7)], exact_dedup.ENTRY)
+    for other in ((6, 7), (5, 8)):
+        b = np.array([(b"x" * 32, 2, 2, 1, *other)], exact_dedup.ENTRY)
+        with pytest.raises(ValueError):
+            exact_dedup.merge_runs([a, b], "largest")
+
+
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_runs_are_woven_as_if_sorted(keep):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        parts = []
+        for size in rng.integers(0, 60, 7):
+            part = np.zeros(size, exact_dedup.ENTRY)
+            part["digest"] = [bytes([k]) * 32 for k in rng.integers(1, 40, size)]
+            part["id"], part["row"], part["rows"] = rng.integers(-5, 5, size), rng.permutation(size), 1
+            parts.append(part)
+        got = exact_dedup.merge_runs([exact_dedup._collapse(p, keep) for p in parts], keep)
+        every = np.concatenate(parts)
+        best = max if keep == "largest" else min
+        want = [(d, *best((e["id"], e["row"]) for e in every[every["digest"] == d]), (every["digest"] == d).sum()) for d in sorted(set(every["digest"]))]
+        assert [(e["digest"], e["id"], e["row"], e["rows"]) for e in got] == want
+
+
+def test_ties_that_differ_elsewhere(spark):
+    rows = [(1, "t", "de", "s1", 1), (1, "t", "en", "s0", 1), (1, "t", None, "s2", 1), (1, "t", "de", "s0", None), (2, "u", "en", "s", 1), (2, "u", "en", "s", 1)]
+    for n in (1, 5):
+        for order in (rows, rows[::-1]):
+            out = exact_dedup.keep_one_of_each(documents(spark, order).repartition(n), keep="largest").collect()
+            assert sorted(tuple(r) for r in out) == [(1, "t", "de", "s0", None), (2, "u", "en", "s", 1)]
