@@ -1,8 +1,11 @@
 """WARC archives: a writer for text payloads and a reader that salvages damaged files.
 
 The reader takes a file as a run of WARC records, plain or in gzip members. A
-record passes when its version line, headers, length, trailer and digests hold.
-After a failed check it searches onward from the byte after the failed start for
+record passes when its version line, headers (folded ones too), length, trailer
+and digests hold. Digests are checked by the algorithm they name, in base32 or
+hexadecimal; one of an algorithm that isn't at hand is not. The payload is the
+block, or, of HTTP messages, the body; revisits name the payload of another
+record, so theirs is not checked. After a failed check it searches onward from the byte after the failed start for
 the next version line or gzip member that passes, goes on there, and reports the
 bytes between as a quarantined gap with the reason. Nothing else of a file is
 lost to a damaged record.
@@ -45,19 +48,40 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def _digest_holds(stated: str, data: bytes) -> bool:
+    """Whether ``algorithm:value`` is that of the data; true for an unknown algorithm."""
+    algorithm, colon, value = stated.partition(":")
+    name = algorithm.strip().lower().replace("-", "")
+    if not colon or name not in hashlib.algorithms_available or name.startswith("shake"):
+        return bool(colon)
+    found = hashlib.new(name, data, usedforsecurity=False).digest()
+    value = value.strip()
+    return value.lower() == found.hex() or value.upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=")
+
+
+def _http_body(block: bytes) -> bytes | None:
+    """The body of an HTTP message as it stands; null where it is transfer-encoded, which changes what its digest covers."""
+    head, blank, body = block.partition(b"\r\n\r\n")
+    return None if not blank or b"\ntransfer-encoding:" in head.lower() else body
+
+
 def _record(data: bytes, at: int) -> Found | str:
     """The record at a place of uncompressed data, or why there is none."""
     version = VERSION.match(data, at)
     if not version:
         return "no version line"
-    headers, line = {}, version.end()
+    headers, line, name = {}, version.end(), None
     while (line_end := data.find(b"\r\n", line)) != line:
         if line_end < 0:
             return "headers do not end"
-        name, colon, value = data[line:line_end].partition(b":")
-        if not colon:
-            return "malformed header"
-        headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        if data[line] in b" \t" and name is not None:  # a folded line goes on with the one before
+            headers[name] = f"{headers[name]} {data[line:line_end].decode('utf-8', 'replace').strip()}".strip()
+        else:
+            field_name, colon, value = data[line:line_end].partition(b":")
+            if not colon:
+                return "malformed header"
+            name = field_name.decode("utf-8", "replace").strip().lower()
+            headers[name] = value.decode("utf-8", "replace").strip()
         line = line_end + 2
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
@@ -66,13 +90,17 @@ def _record(data: bytes, at: int) -> Found | str:
     end = body + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
         return "truncated" if end + 4 > len(data) else "no trailer at the stated length"
-    payload = data[body:end]
-    block = headers.get("warc-block-digest")
-    if block is not None and block != f"sha1:{sha1_base32(payload)}":
+    block = data[body:end]
+    if "warc-block-digest" in headers and not _digest_holds(headers["warc-block-digest"], block):
         return "block digest differs"
     if "warc-type" not in headers:
         return "no record type"
-    return Found(at, end + 4, headers=headers, payload=payload)
+    if "warc-payload-digest" in headers and headers["warc-type"] != "revisit" and "warc-segment-number" not in headers:
+        http = headers.get("content-type", "").lower().startswith("application/http")
+        payload = _http_body(block) if http else block
+        if payload is not None and not _digest_holds(headers["warc-payload-digest"], payload):
+            return "payload digest differs"
+    return Found(at, end + 4, headers=headers, payload=block)
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
@@ -129,7 +157,9 @@ def member(record: bytes) -> bytes:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records and gaps of the archives under a path; a gap row has its reason in ``gap`` and null in the record's columns.
 
-    Empty files give no rows. A file is one task's work, so writers bound its size.
+    Empty files give no rows, an empty folder none. Headers a record lacks are
+    null, repeated ones count once, the last; records that repeat each give a row.
+    A file is one task's work, so writers bound its size.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +196,8 @@ def write_archives(
     ones are all responses. Rows that tie on the largest id are all responses, a
     null id is below every other. A null payload is empty. A null URL leaves out
     its header; control characters and spaces in one are percent-encoded.
-    Payloads are text, written as UTF-8.
+    Payloads are text of any length, written as UTF-8. Rows that repeat each give
+    a record, an empty table none; other columns aren't read.
     """
     payload = no_text_as_empty(payload_col)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("bytes"), F.sha1(payload).alias("sha"))

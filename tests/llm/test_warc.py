@@ -105,3 +105,35 @@ def test_a_gap_in_own_archives_raises(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "archive_round_trip", lambda pages: warc.read_archives(pages.sparkSession, str(tmp_path / "broken")))
     with pytest.raises(Exception, match="a gap in an archive just written"):
         queries.op1_warc(spark, str(tmp_path)).collect()
+
+
+def _one(block=b"abc", kind="resource", **headers):
+    lines = [f"{k.replace('_', '-')}: {v}" for k, v in {"WARC_Type": kind, "WARC_Record_ID": "<urn:x>", **headers, "Content_Length": len(block)}.items()]
+    return ("\r\n".join(["WARC/1.0", *lines]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_digests_go_by_their_algorithm():
+    import hashlib
+
+    sha = hashlib.sha1(b"abc").digest()
+    b32 = base64.b32encode(sha).decode()
+    good = [f"sha1:{b32}", f"sha1:{b32.lower()}", f"SHA-1:{sha.hex()}", f"sha256:{hashlib.sha256(b'abc').hexdigest()}", f"md5:{hashlib.md5(b'abc').hexdigest()}", f"md5:{base64.b32encode(hashlib.md5(b'abc').digest()).decode()}", "whirlpool3:zzz"]
+    bad = [f"sha1:{b32[:-1]}A", "sha256:00", "md5:", "nothing"]
+    for name in ("WARC_Block_Digest", "WARC_Payload_Digest"):
+        assert all([x.gap for x in warc.salvage(_one(**{name: d}))] == [None] for d in good)
+        assert all([x.gap for x in warc.salvage(_one(**{name: d}))] == [f"{name.split('_')[1].lower()} digest differs"] for d in bad)
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nabc"
+    http = {"Content_Type": "application/http; msgtype=response"}
+    assert [x.gap for x in warc.salvage(_one(page, "response", WARC_Payload_Digest=good[0], **http))] == [None]
+    assert [x.gap for x in warc.salvage(_one(page + b"d", "response", WARC_Payload_Digest=good[0], **http))] == ["payload digest differs"]
+    chunked = page.replace(b"Content-Type: text/html", b"Transfer-Encoding: chunked")
+    assert [x.gap for x in warc.salvage(_one(chunked + b"d", "response", WARC_Payload_Digest=good[0], **http))] == [None]
+    assert [x.gap for x in warc.salvage(_one(b"", "revisit", WARC_Payload_Digest=good[0]))] == [None]
+
+
+def test_folded_headers():
+    record = _one(WARC_Target_URI="http://a/\r\n b\r\n\tc")
+    (found,) = warc.salvage(record + b"")
+    assert found.gap is None and found.headers["warc-target-uri"] == "http://a/ b c" and found.payload == b"abc"
+    broken = record.replace(b"WARC/1.0\r\n", b"WARC/1.0\r\n folded from nothing\r\n")
+    assert [x.gap for x in warc.salvage(broken)] == ["malformed header"]
