@@ -14,7 +14,8 @@ def _met_anew(least: DataFrame) -> DataFrame:
     Else the join below would run in the aggregate's own stage, where Spark
     cannot split what a hub's edges make one task read.
     """
-    return least.withColumn("a", F.col("a").bitwiseXOR(F.lit(0).cast("long")))
+    a = F.col("a")
+    return least.withColumn("a", F.concat(a, F.lit(b"")) if least.schema["a"].dataType.typeName() == "binary" else a.bitwiseXOR(F.lit(0).cast("long")))
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of edges (a long, b long); the label is the component's least node.
+    """(node, label) of every node of edges (a, b: both long or both binary); the label is the component's least node.
 
     Rounds grow with the logarithm of the longest path. Each is written to the
     shared folder; hubs are only met in joins, which can be split.

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -88,3 +89,52 @@ def test_bounds_hold_for_all_sizes():
             shared = {s for _, s in sides[0]} & {s for _, s in sides[1]}
             needs = [[need for need, sig in ngram_join.agreements(x, 80) if len(shared & set(sig.tolist())) >= need] for x in (a, b)]
             assert needs[0] and needs[1]
+
+
+def test_a_chain_of_weak_agreements(spark):
+    """Each text shares most of its blocks with the next but links with none."""
+    words = [f"v{k}" for k in range(12 * 20_000 + 100)]
+    texts = [" ".join(words[12 * k : 12 * k + 100]) for k in range(20_000)]
+    df = documents(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)])
+    began = time.monotonic()
+    out = ngram_join.ngram_components(df).collect()
+    assert len(out) == 20_000 and all(r.component_id == r.doc_id and r.n_shingles == 96 for r in out)
+    assert time.monotonic() - began < 120
+
+
+def test_groups_of_many_tiles(spark):
+    """Copies of one text and ones that link with few of them or none, in components of more than TOGETHER tiles."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(60)]
+    texts = []
+    for _ in range(150):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4])):
+            t[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    for shift in range(0, 60, 3):  # a chain away from the base
+        texts.append(" ".join([*base[shift:], *(f"c{k}" for k in range(shift))]))
+    rng.shuffle(texts)
+    for pct in (80, 90):
+        want = check(spark, texts, tile=4, pct=pct)
+        assert len({c for _, c in want.values()}) > 1
+
+
+def test_counts_by_entries_equal_counts_by_matrix(monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 90)).astype(np.uint64)) for _ in range(40)]
+    owner, _, lengths = ngram_join._columns(sets)
+    counts = ngram_join._sparse_counts(owner, lengths, 40)
+    for a in range(40):
+        for b in range(40):
+            assert a == b or counts[a, b] == len(np.intersect1d(sets[a], sets[b]))
+    for columns in (7, 4096):
+        got = ngram_join.linked(sets, 50, columns)
+        assert all(got[a, b] == (a != b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 50 * len(np.union1d(sets[a], sets[b]))) for a in range(40) for b in range(40))
+
+
+def test_ties_that_differ_elsewhere(spark):
+    rows = [(1, "a b c d e f", "de", "s1", 1), (1, "a b c d e f", "de", "s0", 2), (1, "a b c d e f", None, "s0", 2), (2, "a b c d e f", "aa", "s", 1)]
+    for n in (1, 4):
+        out = ngram_join.keep_one_of_each(documents(spark, rows[::-1]).repartition(n)).collect()
+        assert [tuple(r) for r in out] == [(1, "a b c d e f", "de", "s0", 2)]
