@@ -12,14 +12,17 @@ node's worst neighbour goes back to that node's block.
 
 Vectors are scaled to a length of at most 1 and get one more component that makes
 it 1, so that the graph links what is near whatever the lengths; a query leaves
-that component out. It starts at its own node and keeps the ``beam`` best nodes met. Each round
-joins those not expanded yet with the graph, whose rows hold the vectors of a
-node's neighbours and of nodes pointing to it in half precision, until none is left. The best are scored again on the
-original vectors in double precision.
-
-Blocks, neighbour lists, beams and messages for a block have fixed bounds, so a
-task's memory does not depend on the table's size. Equal vectors are one node,
-however many rows share it.
+that component out. It starts at its own node and keeps the ``beam`` best nodes met.
+Each round joins the best ``EXPAND`` of those not expanded yet with the graph, whose
+rows hold the vectors of a node's neighbours and of nodes pointing to it in half
+precision, until none is left. The best are scored again on the original vectors in
+double precision.
+
+Blocks, neighbour lists and beams have fixed bounds. What many send to one block (a
+hub's, or that of the longest vectors, which all queries meet) is dealt to copies of
+the block, or thinned in parts, from ``LOAD`` bytes on. Equal vectors are one node,
+however many rows share it. Vectors of each number of components have a graph of
+their own.
 """
 
 from __future__ import annotations
@@ -29,24 +32,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.llm.common import discard, materialise
 
-BITS = 9
+BITS = 8
 BLOCK = 1 << BITS
+EXPAND = 64
+LOAD = 24 << 20
 GRAPH = "nid long, node long, vector binary, ids binary, scores binary, fresh binary"
 MESSAGE = "block long, sender long, kind int, first binary, second binary, third binary"
 
 
 def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v array<double>) of the rows that take part: an id, no null or non-finite component, not zero, of the most frequent length."""
+    """(id, v array<double>, n) of the rows that take part: an id, no null or non-finite component, not zero; n is the number of components."""
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = table.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(fine).distinct()
-    most = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (most["n"] if most else 0))
+    return table.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(fine).distinct().withColumn("n", F.size("v"))
+
+
+def _release() -> None:
+    """Give freed memory back to the system: workers are reused and share a small executor."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own ways
+        pass
 
 
 def _message(rows: list[tuple]) -> pa.RecordBatch:
@@ -200,6 +214,48 @@ def _meet(left: DataFrame, right: DataFrame, what, schema: str) -> DataFrame:
     return left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(what, schema)
 
 
+def _loud(messages: DataFrame, load: int) -> DataFrame:
+    """(block, copies) of the blocks that get more than ``load`` bytes; at most their sum / load rows."""
+    size = F.sum(F.length("first") + F.length("second") + F.length("third"))
+    return messages.groupBy("block").agg(F.ceil(size / load).cast("int").alias("copies")).where("copies > 1")
+
+
+def _copy() -> Column:
+    return F.pmod(F.xxhash64("sender", "first"), F.col("copies")).cast("int").alias("copy")
+
+
+def _meet_dealt(graph: DataFrame, messages: DataFrame, what, schema: str) -> DataFrame:
+    """_meet for what answers each message on its own: a block that gets many is copied, each copy gets a part."""
+    messages = materialise(messages, "messages")
+    loud = materialise(_loud(messages, LOAD), "loud")
+    if loud.isEmpty():
+        return _meet(graph, messages, what, schema)
+    few = _meet(graph, messages.join(loud, "block", "left_anti"), what, schema)
+    names = messages.columns
+    left = graph.join(loud, "block").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(*graph.columns, "copy")
+    right = messages.join(loud, "block").select(*names, _copy())
+    return few.unionByName(left.groupBy("block", "copy").cogroup(right.groupBy("block", "copy")).applyInPandas(lambda key, g, m: what(key, g.drop(columns="copy"), m), schema))
+
+
+def _thinned(messages: DataFrame, k: int, third: list[tuple[str, str]]) -> DataFrame:
+    """Messages of edges (i, j, third with a score s), of which a block that gets many keeps the k best of each node, part by part."""
+    messages = materialise(messages, "messages")
+    loud = materialise(_loud(messages, LOAD), "loud")
+    if loud.isEmpty():
+        return messages
+    kind = np.dtype(third)
+
+    def thin(key, pdf):
+        i, j = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("first", "second"))
+        more = np.frombuffer(b"".join(pdf["third"]), kind)
+        i, j, _, at, _ = _best(i, j, more["s"], np.arange(len(i)), k)
+        return _rows_frame(_to_blocks(i, int(pdf["sender"].iloc[0]), int(pdf["kind"].iloc[0]), i, j, more[at]))
+
+    parts = messages.join(loud, "block").select(*messages.columns, _copy())
+    thin_parts = parts.groupBy("block", "copy").applyInPandas(thin, MESSAGE)
+    return messages.join(loud, "block", "left_anti").unionByName(thin_parts)
+
+
 def _same(values: np.ndarray) -> list[tuple[int, int]]:
     """Begin and end of each run of equal values."""
     edges = np.flatnonzero(np.r_[True, values[1:] != values[:-1], True]) if len(values) else np.empty(0, np.int64)
@@ -291,7 +347,7 @@ def _introduce(k: int, distance: bool):
         ids, x, worst = ids[order], x[order], worst[order]
         known = np.frombuffer(lists["first"].iloc[0], np.int64).reshape(-1, 2 * k)
         new = np.frombuffer(lists["second"].iloc[0], np.uint8).reshape(-1, 2 * k).astype(bool) & (known >= 0)
-        found = []
+        i, j, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
         for begin in range(0, len(known), 64):
             some, fresh = known[begin : begin + 64], new[begin : begin + 64]
             at = np.searchsorted(ids, np.where(some >= 0, some, ids[0]))
@@ -299,9 +355,9 @@ def _introduce(k: int, distance: bool):
             fine = (some >= 0)[:, :, None] & (some >= 0)[:, None, :] & (fresh[:, :, None] | fresh[:, None, :]) & (score > worst[at][:, :, None])
             fine[:, np.arange(2 * k), np.arange(2 * k)] = False
             r, a, b = np.nonzero(fine)
-            found.append((some[r, a], some[r, b], score[r, a, b]))
-        i, j, s = (np.concatenate(c) for c in zip(*found, strict=True))
-        i, j, s, _, _ = _best(i, j, s, np.ones(len(i), np.uint8), k)
+            i, j, s = np.r_[i, some[r, a]], np.r_[j, some[r, b]], np.r_[s, score[r, a, b]]
+            i, j, s, _, _ = _best(i, j, s, np.ones(len(i), np.uint8), k)
+        _release()
         return _rows_frame(_to_blocks(i, int(key[0]), 3, i, j, s))
 
     return introduce
@@ -325,8 +381,8 @@ def _take(k: int):
     return take
 
 
-def build_graph(vectors: DataFrame, count: int, sample: np.ndarray, *, k: int = 32, orders: int = 4, chunk: int = 1024, rounds: int = 4, settled: float = 0.002, distance: bool = False) -> DataFrame:
-    """The graph (GRAPH) of vectors (node long, vector binary of float32) by products or distances; rounds end early when under a share ``settled`` of edges is fresh."""
+def build_graph(vectors: DataFrame, count: int, sample: np.ndarray, *, k: int = 32, orders: int = 4, chunk: int = 1024, rounds: int | None = None, settled: float = 0.002, distance: bool = False) -> DataFrame:
+    """The graph (GRAPH) of vectors (node long, vector binary of float32) by products or distances; rounds end when under a share ``settled`` of edges is fresh, or after ``rounds`` if given."""
     parts = max(1, math.ceil(count / (4 * chunk)))
     bits = min(40, max(1, math.ceil(math.log2(max(2, count / chunk))) + 3))
     rows = vectors.select(F.lit(0).cast("long").alias("nid"), "node", "vector")
@@ -337,12 +393,15 @@ def build_graph(vectors: DataFrame, count: int, sample: np.ndarray, *, k: int =
         first = near if first is None else first.unionByName(near)
     graph = materialise(first.groupBy(_by_block()).applyInPandas(_merge_first(k), GRAPH), "graph")
     discard(numbered)
-    for _ in range(rounds):
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
         own = graph.withColumn("block", F.shiftright("nid", BITS))
         told = graph.select("nid", "ids", "scores", "fresh").mapInArrow(_reversed(k), MESSAGE)
+        told = _thinned(told, k, [("s", "<f4"), ("f", "u1")])
         lists = materialise(_meet(own, told, _gather_lists(k), MESSAGE), "lists")
-        answers = _meet(own, lists.where("kind = 1"), _answer(np.float32), MESSAGE)
-        proposals = _meet(lists.where("kind = 0"), answers, _introduce(k, distance), MESSAGE)
+        answers = _meet_dealt(own, lists.where("kind = 1"), _answer(np.float32), MESSAGE)
+        proposals = _thinned(_meet(lists.where("kind = 0"), answers, _introduce(k, distance), MESSAGE), k, [("s", "<f4")])
         after = materialise(_meet(own, proposals, _take(k), GRAPH), "graph")
         discard(graph, lists)
         graph = after
@@ -433,7 +492,7 @@ BEAM = "nid long, node long, vector binary, ids binary, scores binary, expanded
 
 
 def _expand(beam: int):
-    """Each query's nodes not expanded yet, told to their blocks with the query's vector."""
+    """Each query's best nodes not expanded yet, told to their blocks with the query's vector."""
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = np.dtype([("row", "<i4"), ("u", "<i8")])
@@ -445,7 +504,8 @@ def _expand(beam: int):
                 ids = _stack([c.as_buffer() for c in part.column("ids")], np.int64)
                 scores = _stack([c.as_buffer() for c in part.column("scores")], np.float32)
                 done = _stack([c.as_buffer() for c in part.column("expanded")], np.uint8)
-                row, col = np.nonzero((ids >= 0) & (done == 0))
+                open_ = (ids >= 0) & (done == 0)
+                row, col = np.nonzero(open_ & (np.cumsum(open_, axis=1) <= EXPAND))  # the best come first
                 u = ids[row, col]
                 block = u >> BITS
                 order = np.argsort(block, kind="stable")
@@ -463,7 +523,7 @@ def _expand(beam: int):
     return tell
 
 
-def _score(k: int):
+def _score(k: int, beam: int):
     """Scores of the neighbours of the nodes that queries expand, told to the queries' blocks."""
 
     def score(key, graph, asked):
@@ -488,8 +548,9 @@ def _score(k: int):
                 r, c = np.nonzero(fine)
                 found.append((head["q"][row[r]], near[r, c], s[r, c]))
             q, j, s = (np.concatenate(c) for c in zip(*found, strict=True))
-            q, j, s, _, _ = _best(q, j, s, np.zeros(len(q), np.uint8), 1 << 30)
+            q, j, s, _, _ = _best(q, j, s, np.zeros(len(q), np.uint8), beam)
             out += _to_blocks(q, int(key[0]), 5, q, j, s)
+        _release()
         return _rows_frame(out)
 
     return score
@@ -507,7 +568,18 @@ def _advance(beam: int):
         fresh = np.r_[np.zeros(int(fine.sum()), np.uint8), np.ones(len(more[0]), np.uint8)]
         edges = _best(np.r_[i[fine], more[0]], np.r_[ids.ravel()[fine], more[1]], np.r_[scores.ravel()[fine], more[2]], fresh, beam)
         out = _graph_rows(nids, states["node"].to_numpy(), states["vector"], *edges, beam)
-        out["fresh"] = [(1 - np.frombuffer(x, np.uint8)).tobytes() for x in out["fresh"]]
+        # what was sent out is expanded, as is what was before
+        was = _stack(states["expanded"], np.uint8)
+        open_ = fine.reshape(ids.shape) & (was == 0)
+        waits = open_ & (np.cumsum(open_, axis=1) > EXPAND)
+        waiting = {(int(n), int(u)) for n, u in zip(np.repeat(nids, waits.sum(1)), ids[waits], strict=True)}
+        done = []
+        for n, x, f in zip(nids.tolist(), out["ids"], out["fresh"], strict=True):
+            flags = 1 - np.frombuffer(f, np.uint8)
+            if waiting:
+                flags = flags & np.fromiter(((n, u) not in waiting for u in np.frombuffer(x, np.int64).tolist()), bool, beam)
+            done.append(flags.astype(np.uint8).tobytes())
+        out["fresh"] = done
         return out.rename(columns={"fresh": "expanded"})
 
     return advance
@@ -549,14 +621,14 @@ def search_graph(graph: DataFrame, query_nodes: DataFrame, entry_nodes: list[int
     told = graph.select("nid", "vector", "ids", "scores").mapInArrow(_pointed_at(k), MESSAGE)
     linked = materialise(_meet(own, told, _both_ways(k), "nid long, ids binary, vector binary"), "linked")
     asks = linked.select("nid", "ids").groupBy(_by_block()).applyInPandas(_with_vectors(k), MESSAGE)
-    answers = _meet(own, asks, _answer(np.float32), MESSAGE)
+    answers = _meet_dealt(own, asks, _answer(np.float32), MESSAGE)
     near = materialise(_meet(linked.withColumn("block", F.shiftright("nid", BITS)), answers, _attach(k), "nid long, ids binary, vector binary, vectors binary, sizes binary"), "near")
     discard(linked)
     near_blocks = near.withColumn("block", F.shiftright("nid", BITS))
     states = materialise(graph.join(query_nodes, "node", "left_semi").select("nid", "node", "vector").mapInArrow(first, BEAM), "beams")
     while True:
         told = states.mapInArrow(_expand(beam), MESSAGE)
-        scored = _meet(near_blocks, told, _score(2 * k), MESSAGE)
+        scored = _meet_dealt(near_blocks, told, _score(2 * k, beam), MESSAGE)
         after = materialise(_meet(states.withColumn("block", F.shiftright("nid", BITS)), scored, _advance(beam), BEAM), "beams")
         discard(states)
         states = after
@@ -576,23 +648,31 @@ def search_graph(graph: DataFrame, query_nodes: DataFrame, entry_nodes: list[int
 def nearest(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, top: int = 20, k: int = 32, orders: int = 4, rounds: int | None = None, beam: int | None = None, sample_rows: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every`` the ``top`` nearest other rows found.
 
-    Rows without an id, and vectors that are null, zero, of another length than
-    most or hold null or non-finite components, take no part. Repeated rows
-    count once. Ties go to the smaller id; equal vectors are all candidates. With
-    fewer candidates than ``top`` all found are given; empty tables give no rows.
-    ``sample_rows`` vectors choose the hyperplanes; every vector is indexed. Unless
-    given, ``rounds`` and ``beam`` grow with the table. The graph is one of distances
-    between vectors divided by the length of the longest of their band, so that a few
-    long ones don't flatten the others; all of a beam is scored exactly.
+    Rows without an id, and vectors that are null, zero or hold null or non-finite
+    components, take no part; vectors are compared with those of as many
+    components, one number after the other. Repeated rows count once, rows that
+    share an id with different vectors are candidates each. Ties go to the smaller
+    id; equal vectors are all candidates. With fewer candidates than ``top`` all
+    found are given; empty tables give no rows. Other columns, whatever their
+    names, aren't read. ``sample_rows`` vectors choose the hyperplanes; every
+    vector is indexed. Unless given, ``rounds`` go on until the graph is settled and
+    ``beam`` grows with the logarithm of the table. The graph is one of distances
+    between vectors divided by the length of the longest of their band, so that a
+    few long ones don't flatten the others; all of a beam is scored exactly.
     """
-    valid = materialise(valid_vectors(table, id_col, vector_col), "vectors")
+    every_length = materialise(valid_vectors(table, id_col, vector_col), "vectors")
+    out = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    how = {"top": top, "every": every, "k": k, "orders": orders, "rounds": rounds, "beam": beam, "sample_rows": sample_rows}
+    for r in every_length.groupBy("n").count().where("count > 1").orderBy("n").collect():  # a table's embeddings have few lengths
+        out = out.unionByName(_nearest_of_length(every_length.where(F.col("n") == r["n"]).select("id", "v"), **how))
+    return out
+
+
+def _nearest_of_length(valid: DataFrame, *, top: int, every: int, k: int, orders: int, rounds: int | None, beam: int | None, sample_rows: int) -> DataFrame:
+    """nearest of (id, v) with equally many components."""
     nodes = materialise(valid.groupBy("v").agg(F.min("id").alias("node")), "nodes")
     count, all_rows = nodes.count(), valid.count()
-    empty = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not count:
-        return empty
-    beam = beam or max(256, math.ceil(256 * math.sqrt(count / 10_000)))
-    rounds = 4 + max(0, math.ceil(math.log2(count / 8192))) if rounds is None else rounds
+    beam = beam or 256 + 32 * max(0, math.ceil(math.log2(count / 10_000)))
     same = nodes.select("node", F.col("node").alias("id")) if count == all_rows else valid.join(nodes, "v").select("node", "id")
     # rows that share a vector: the least ids are all that can be among the nearest
     if count != all_rows:

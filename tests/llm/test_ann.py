@@ -91,3 +91,27 @@ def test_many_near_copies(spark):
     x = rng.normal(size=(3000, 16))
     x[:2500] = x[0] + 1e-4 * rng.normal(size=(2500, 16))
     assert mean_recall(spark, x) > 0.95
+
+
+def test_every_length_has_its_neighbours(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=16 if k % 3 else 5).tolist()) for k in range(600)] + [(1000, [1.0]), (1020, [])]
+    out = found(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=16, orders=2, beam=96))
+    hits = []
+    for n in (16, 5):
+        ids = [i for i, v in rows if len(v) == n]
+        for q, near in brute(ids, np.array([v for _, v in rows if len(v) == n])).items():
+            hits.append(len({i for i, _ in out[q]} & {i for i, _ in near}))
+            assert all(len(rows[i][1]) == n for i, _ in out[q])
+    assert len(hits) == 30 and np.mean(hits) > 19 and 1000 not in out
+
+
+def test_blocks_that_many_send_to_are_dealt_out(spark, monkeypatch):
+    """With a load of a few kilobytes every block is copied and thinned; a long vector is met by all queries."""
+    monkeypatch.setattr(ann, "LOAD", 20_000)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 12))
+    x[7] *= 1000
+    out = found(ann.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), k=16, orders=2, rounds=3, beam=96))
+    want = brute(list(range(1500)), x)
+    assert np.mean([len({i for i, _ in out[q]} & {i for i, _ in w}) for q, w in want.items()]) > 18.5
