@@ -156,14 +156,14 @@ def _runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Give nodes their numbers, block by block."""
-    from pyspark import TaskContext
-
-    for k, run in enumerate(_runs(batches, BLOCK)):
-        block = TaskContext.get().partitionId() << 24 | k
-        nid = (block << BITS) + np.arange(run.num_rows)
-        yield from run.set_column(0, "nid", pa.array(nid)).select(["nid", "node", "vector"]).to_batches()
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (nid, node, vector) numbered in their order, so that blocks are full whatever the number of partitions."""
+    placed = materialise(rows.withColumn("at", F.monotonically_increasing_id()).select("node", "vector", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("pos")), "placed")
+    sizes = placed.groupBy("part").agg(F.count("*").alias("rows"))  # a row for each partition
+    offsets = sizes.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("offset"))
+    out = materialise(placed.join(F.broadcast(offsets), "part").select((F.col("offset") + F.col("pos")).alias("nid"), "node", "vector"), "numbered")
+    discard(placed)
+    return out
 
 
 def _likeness(v: np.ndarray, distance: bool) -> np.ndarray:
@@ -386,7 +386,7 @@ def build_graph(vectors: DataFrame, count: int, sample: np.ndarray, *, k: int =
     parts = max(1, math.ceil(count / (4 * chunk)))
     bits = min(40, max(1, math.ceil(math.log2(max(2, count / chunk))) + 3))
     rows = vectors.select(F.lit(0).cast("long").alias("nid"), "node", "vector")
-    numbered = materialise(_ordered(rows, Order(sample, bits, 0), parts).mapInArrow(_number, "nid long, node long, vector binary"), "numbered")
+    numbered = _numbered(_ordered(rows, Order(sample, bits, 0), parts))
     first = None
     for seed in range(orders):
         near = _ordered(numbered, Order(sample, bits, seed), parts).select("nid", "node", "vector").mapInArrow(_compare_runs(k, chunk, distance), "nid long, node long, vector binary, ids binary, scores binary")
@@ -685,7 +685,7 @@ def _nearest_of_length(valid: DataFrame, *, top: int, every: int, k: int, orders
     sample = np.array([r["v"] for r in nodes.orderBy(F.xxhash64("node"), "node").limit(sample_rows).collect()], np.float64)
     largest = F.array_max(F.transform("v", F.abs))
     length = F.log2(largest) + F.log2(F.aggregate(F.transform("v", lambda a: a / largest), F.lit(0.0), lambda acc, a: acc + a * a)) / 2  # of any finite vector
-    lengths = nodes.select("node", length.alias("length"))
+    lengths = materialise(nodes.select("node", length.alias("length")), "lengths")
     median, top_length = lengths.agg(F.percentile_approx("length", 0.5, 10_000), F.max("length")).first()
     bulk = lengths.where(F.col("length") <= median + 3).agg(F.max("length")).first()[0]  # the longest of at most eight times the median
     entries = [r["node"] for r in lengths.where(F.col("length") > bulk).orderBy(F.desc("length"), "node").limit(min(32, beam - 1)).collect()]
