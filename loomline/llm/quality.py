@@ -7,8 +7,9 @@ the two sizes tells which class the text resembles. It is normalised twice: by
 the larger size, averaged over the blocks, and, summed, by the text's bytes; nothing
 else of a text is looked at. A logistic fit on these differences turns them into a
 calibrated score. The labelled texts are
-halved: either half's dictionaries are calibrated on the other, which they have
-not seen, and the two scores are averaged.
+dealt to ``FOLDS`` folds: each fold leaves one set of dictionaries unseen, the
+differences of all folds together fit the calibration, and the scores by each set
+of dictionaries are averaged.
 
 Learning takes at most ``sample_rows`` texts of each class, and no further ones
 once ``sample_bytes`` bytes are reached. Every text is scored, whole.
@@ -29,6 +30,9 @@ from pyspark.sql import types as T
 from loomline.llm.common import hold_memory, no_text_as_empty
 
 
+FOLDS = 3
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
@@ -45,8 +49,8 @@ def _engine(dictionary: bytes, level: int):
 
 
 @dataclass
-class Half:
-    """The dictionaries of one half of the labelled texts and their calibration on the other."""
+class Fold:
+    """The dictionaries of all folds but one, and the calibration."""
 
     good: bytes
     bad: bytes
@@ -102,16 +106,16 @@ class Half:
 
 @dataclass
 class QualityModel:
-    """Both halves, small enough to go with every task (four dictionaries of ``dictionary_bytes``); without any, every score is the share of good texts."""
+    """Small enough to go with every task (2 * FOLDS dictionaries of ``dictionary_bytes``); without folds, every score is the share of good texts."""
 
     share: float
-    halves: list[Half] = field(default_factory=list)
+    folds: list[Fold] = field(default_factory=list)
 
     def score(self, texts: Sequence[str]) -> np.ndarray:
         """Probability that a text is good."""
-        if not self.halves:
+        if not self.folds:
             return np.full(len(texts), self.share)
-        return np.mean([h.probability(texts) for h in self.halves], axis=0)
+        return np.mean([f.probability(texts) for f in self.folds], axis=0)
 
 
 def _dictionary(texts: list[bytes], size: int, piece: int) -> bytes:
@@ -121,18 +125,21 @@ def _dictionary(texts: list[bytes], size: int, piece: int) -> bytes:
         return b"\n".join(texts)[-size:]
 
 
-def fit(good: list[str], bad: list[str], share_good: float, *, dictionary_bytes: int = 65_536, piece: int = 256, blocks: Sequence[int] = (256, 1024, 4096), level: int = 3) -> QualityModel:
-    """Learn from texts of each class. With under two of either, every score is the share."""
+def fit(good: list[str], bad: list[str], share_good: float, *, dictionary_bytes: int = 112_640, piece: int = 256, blocks: Sequence[int] = (256, 1024, 4096), level: int = 3) -> QualityModel:
+    """Learn from texts of each class. With fewer of either than two for each fold, every score is the share."""
     share = min(max(share_good, 1e-3), 1 - 1e-3)
     model = QualityModel(share)
-    if len(good) < 2 or len(bad) < 2:
+    if min(len(good), len(bad)) < 2 * FOLDS:
         return model
-    for k in (0, 1):
-        half = Half(*(_dictionary([t.encode("utf-8", "surrogatepass") for t in x[k::2]], dictionary_bytes, piece) for x in (good, bad)), tuple(blocks), level)
-        unseen = [x[1 - k :: 2] for x in (good, bad)]
-        y = np.r_[np.ones(len(unseen[0])), np.zeros(len(unseen[1]))]
-        half.calibrate(half.differences([*unseen[0], *unseen[1]]), y, np.log(share / (1 - share)))
-        model.halves.append(half)
+    parts = [[t.encode("utf-8", "surrogatepass") for t in x] for x in (good, bad)]
+    unseen, labels = [], []
+    for k in range(FOLDS):
+        seen = [[t for i, t in enumerate(x) if i % FOLDS != k] for x in parts]
+        model.folds.append(Fold(*(_dictionary(x, dictionary_bytes, piece) for x in seen), tuple(blocks), level))
+        unseen.append(model.folds[-1].differences([*good[k::FOLDS], *bad[k::FOLDS]]))
+        labels += [1.0] * len(good[k::FOLDS]) + [0.0] * len(bad[k::FOLDS])
+    for one in model.folds:
+        one.calibrate(np.concatenate(unseen), np.array(labels), np.log(share / (1 - share)))
     return model
 
 

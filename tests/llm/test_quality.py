@@ -4,6 +4,7 @@ import numpy as np
 
 from loomline.llm import quality, queries
 from tests.llm.cases import DOCUMENTS, documents, with_clashes
+from tests.llm.plain import quality_score
 
 
 def test_held_out_accuracy(spark):
@@ -36,3 +37,38 @@ def test_labels_with_gaps(spark):
     assert np.allclose(quality.fit_table(docs, labels).score(["x", ""]), 0.5)
     some = spark.createDataFrame([(k, 1) for k in range(30)], "doc_id long, quality int")
     assert quality.fit_table(docs, some).score(["x"])[0] > 0.99
+
+
+def test_scores_against_plain_python(spark, small):
+    """Every row of op5_quality, its fold and decision, from the model's dictionaries and weights."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    model = quality.fit_table(docs, labels)
+    assert len(model.folds) == quality.FOLDS
+    text = {r.doc_id: r.text for r in docs.collect()}
+    out = queries.op5_quality(spark, small).collect()
+    assert sorted(r.doc_id for r in out) == sorted(text)
+    for r in out:
+        want = quality_score(model, text[r.doc_id])
+        assert abs(r.score - want) < 1e-9 and r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_held_out_labels_and_other_columns_teach_nothing(spark, small):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    from pyspark.sql import functions as F
+
+    held = quality.fold(F.col("doc_id")) == 0
+    flipped = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
+    other = docs.withColumns({"lang": F.lit("x"), "source": F.lit("y"), "text": F.when(held, F.reverse("text")).otherwise(F.col("text"))})
+    probe = [r.text or "" for r in docs.limit(50).collect()]
+    assert (quality.fit_table(docs, labels).score(probe) == quality.fit_table(other, flipped).score(probe)).all()
+
+
+def test_long_labelled_texts_teach(spark):
+    long = "%%% ### " * 20_000
+    rows = [(k, "plain words in a row " * 9 + str(k), "en", "s", 1) for k in range(60)] + [(100 + k, long + str(k), "en", "s", 1) for k in range(60)]
+    labels = spark.createDataFrame([(r[0], int(r[0] < 100)) for r in rows], "doc_id long, quality int")
+    model = quality.fit_table(documents(spark, rows), labels)
+    assert model.score([long])[0] < 0.3 < model.score([rows[0][1]])[0]
+    bounded = quality.fit_table(documents(spark, rows), labels, sample_bytes=1)  # one text of each class: too few
+    assert not bounded.folds
