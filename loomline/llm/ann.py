@@ -41,6 +41,7 @@ BITS = 8
 BLOCK = 1 << BITS
 EXPAND = 64
 LOAD = 24 << 20
+PROPOSED = 12
 GRAPH = "nid long, node long, vector binary, ids binary, scores binary, fresh binary"
 MESSAGE = "block long, sender long, kind int, first binary, second binary, third binary"
 
@@ -209,9 +210,19 @@ def _by_block(nid="nid"):
     return F.shiftright(nid, BITS).alias("block")
 
 
+def _released(what):
+    """what, after the memory of the group before is given back."""
+
+    def run(key, left, right):
+        _release()
+        return what(key, left, right)
+
+    return run
+
+
 def _meet(left: DataFrame, right: DataFrame, what, schema: str) -> DataFrame:
     """Join the two sides' rows of each block; both have a column block."""
-    return left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(what, schema)
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(_released(what), schema)
 
 
 def _loud(messages: DataFrame, load: int) -> DataFrame:
@@ -234,7 +245,7 @@ def _meet_dealt(graph: DataFrame, messages: DataFrame, what, schema: str) -> Dat
     names = messages.columns
     left = graph.join(loud, "block").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(*graph.columns, "copy")
     right = messages.join(loud, "block").select(*names, _copy())
-    return few.unionByName(left.groupBy("block", "copy").cogroup(right.groupBy("block", "copy")).applyInPandas(lambda key, g, m: what(key, g.drop(columns="copy"), m), schema))
+    return few.unionByName(left.groupBy("block", "copy").cogroup(right.groupBy("block", "copy")).applyInPandas(_released(lambda key, g, m: what(key, g.drop(columns="copy"), m)), schema))
 
 
 def _thinned(messages: DataFrame, k: int, third: list[tuple[str, str]]) -> DataFrame:
@@ -335,7 +346,7 @@ def _answer(dtype):
 
 
 def _introduce(k: int, distance: bool):
-    """Within each list, pairs with a fresh node that are nearer than the worst neighbour of either."""
+    """Within each list, pairs with a fresh node that are nearer than the worst neighbour of either; of a block's the PROPOSED best go to each node, which hears from many blocks."""
 
     def introduce(key, lists, answers):
         if not len(lists) or not len(answers):
@@ -348,16 +359,15 @@ def _introduce(k: int, distance: bool):
         known = np.frombuffer(lists["first"].iloc[0], np.int64).reshape(-1, 2 * k)
         new = np.frombuffer(lists["second"].iloc[0], np.uint8).reshape(-1, 2 * k).astype(bool) & (known >= 0)
         i, j, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
-        for begin in range(0, len(known), 64):
-            some, fresh = known[begin : begin + 64], new[begin : begin + 64]
+        for begin in range(0, len(known), 32):
+            some, fresh = known[begin : begin + 32], new[begin : begin + 32]
             at = np.searchsorted(ids, np.where(some >= 0, some, ids[0]))
             score = _likeness(x[at], distance)
             fine = (some >= 0)[:, :, None] & (some >= 0)[:, None, :] & (fresh[:, :, None] | fresh[:, None, :]) & (score > worst[at][:, :, None])
             fine[:, np.arange(2 * k), np.arange(2 * k)] = False
             r, a, b = np.nonzero(fine)
             i, j, s = np.r_[i, some[r, a]], np.r_[j, some[r, b]], np.r_[s, score[r, a, b]]
-            i, j, s, _, _ = _best(i, j, s, np.ones(len(i), np.uint8), k)
-        _release()
+            i, j, s, _, _ = _best(i, j, s, np.ones(len(i), np.uint8), PROPOSED)
         return _rows_frame(_to_blocks(i, int(key[0]), 3, i, j, s))
 
     return introduce
@@ -550,7 +560,6 @@ def _score(k: int, beam: int):
             q, j, s = (np.concatenate(c) for c in zip(*found, strict=True))
             q, j, s, _, _ = _best(q, j, s, np.zeros(len(q), np.uint8), beam)
             out += _to_blocks(q, int(key[0]), 5, q, j, s)
-        _release()
         return _rows_frame(out)
 
     return score
