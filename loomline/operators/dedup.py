@@ -5,7 +5,8 @@ keys; duplicates register nothing. That is the first maximal independent set in
 row order, and is found in rounds: a row falls if a kept row before it holds one
 of its keys, and is kept if no row before it that holds one of its keys is kept
 or open. Keys are aggregated to their first kept and first open row, so a key
-that many rows hold costs its rows once a round, never their pairs.
+that many rows hold costs its rows once a round, never their pairs. A round reads
+only what is still open and the kept rows of its keys.
 """
 
 from __future__ import annotations
@@ -38,15 +39,22 @@ def ordered_dedup(rows: DataFrame, *, order_col: str = "seq", keys_col: str = "k
     rows = rows.select(F.col(order_col).cast("long").alias("seq"), batch.alias("batch"), F.col(keys_col).alias("keys"))
     holds = settle(rows.select("seq", "batch", F.explode("keys").alias("k")).select("seq", "batch", "k.priority", "k.type", "k.value"))
     on = ["batch", "type", "value"]
-    state = settle(rows.select("seq", F.when(F.size("keys") == 0, "unique").alias("status")))
+    state = rows.where(F.size("keys") == 0).select("seq", F.lit("unique").alias("status"))
+    open_, kept = holds, None
     while True:
-        placed = holds.join(state, "seq")
-        first = placed.groupBy(*on).agg(F.min(F.when(F.col("status") == "unique", F.col("seq"))).alias("kept"), F.min(F.when(F.col("status").isNull(), F.col("seq"))).alias("open"))
-        seen = placed.where("status IS NULL").join(first, on).groupBy("seq").agg(F.bool_or(F.coalesce(F.col("kept") < F.col("seq"), F.lit(False))).alias("falls"), F.bool_and(F.coalesce(F.col("kept") > F.col("seq"), F.lit(True)) & (F.col("open") == F.col("seq"))).alias("stays"))
-        judged = seen.select("seq", F.when(F.col("falls"), "duplicate").when(F.col("stays"), "unique").alias("now"))
-        state = settle(state.join(judged, "seq", "left").select("seq", F.coalesce("status", "now").alias("status")))
-        if state.where("status IS NULL").isEmpty():
+        first = open_.groupBy(*on).agg(F.min("seq").alias("open"))
+        first = first.withColumn("kept", F.lit(None).cast("long")) if kept is None else first.join(kept, on, "left")
+        seen = open_.join(first, on).groupBy("seq").agg(F.bool_or(F.coalesce(F.col("kept") < F.col("seq"), F.lit(False))).alias("falls"), F.bool_and(F.coalesce(F.col("kept") > F.col("seq"), F.lit(True)) & (F.col("open") == F.col("seq"))).alias("stays"))
+        judged = settle(seen.where("falls OR stays").select("seq", F.when(F.col("falls"), "duplicate").otherwise("unique").alias("status")))
+        state = state.unionByName(judged)
+        now = open_.join(judged.where("status = 'unique'"), "seq", "left_semi").groupBy(*on).agg(F.min("seq").alias("kept"))
+        left = settle(open_.join(judged, "seq", "left_anti"))
+        if left.isEmpty():
             break
+        both = now if kept is None else now.unionByName(kept).groupBy(*on).agg(F.min("kept").alias("kept"))
+        kept = settle(both.join(left.select(*on).distinct(), on, "left_semi"))
+        open_ = left
+    state = settle(state)
     placed = holds.join(state, "seq")
     kept = placed.where("status = 'unique'").groupBy(*on).agg(F.min("seq").alias("original"))
     met = placed.where("status = 'duplicate'").join(kept, on).where("original < seq")

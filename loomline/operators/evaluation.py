@@ -99,6 +99,12 @@ def best_zero_false_merge(sweep: DataFrame, *order: Column) -> DataFrame:
     return sweep.where("fp = 0 AND tp > 0").orderBy(F.desc("recall"), F.desc("f1"), *order).limit(1)
 
 
+def extreme_pairs(pairs: DataFrame, expected: str, signal: str, same: bool, most: int, *order: str) -> DataFrame:
+    """The pairs that a signal tells apart worst: the least similar that belong together, or the most similar that don't; ties go by ``order``."""
+    by = F.col(signal).asc() if same else F.col(signal).desc()
+    return pairs.where(F.col(expected) == same).orderBy(by, *order).limit(most)
+
+
 def stage_accuracy(results: DataFrame, stage: str = "stage", applicable: str = "applicable", correct: str = "correct") -> DataFrame:
     """(stage, evaluated, correct, accuracy); accuracy is 1 where nothing was evaluated."""
     counts = results.groupBy(stage).agg(F.count_if(F.col(applicable)).alias("evaluated"), F.count_if(F.col(applicable) & F.col(correct)).alias("correct"))
@@ -114,3 +120,9 @@ def confusion(rows: DataFrame, expected: str, predicted: str) -> DataFrame:
 def regression_gate(accuracy: DataFrame, minimum: float = 1.0) -> DataFrame:
     """One row: passed if every stage reaches the minimum and nothing failed."""
     return accuracy.agg((F.min("accuracy") >= minimum).alias("reached"), F.sum(F.col("evaluated") - F.col("correct")).alias("failures")).select((F.col("reached") & (F.col("failures") == 0)).alias("passed"), "failures")
+
+
+def release_gate(measured: DataFrame, published: DataFrame, on: str = "metric", value: str = "value") -> DataFrame:
+    """(metric, measured, published, passed) of every metric of either side; one that a side lacks, or that differs, fails."""
+    both = measured.select(on, F.col(value).alias("measured")).join(published.select(on, F.col(value).alias("published")), on, "full")
+    return both.select(on, "measured", "published", F.coalesce(F.col("measured") == F.col("published"), F.lit(False)).alias("passed"))

@@ -9,7 +9,7 @@ from loomline.functions.similarity import token_jaccard, token_order
 from loomline.functions.text import title_tokens
 from loomline.operators import evaluation, research
 from loomline.plans.common import table
-from loomline.plans.story import PAIRS, vector_pairs
+from loomline.plans.story import PAIRS, THRESHOLD, vector_pairs
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,27 @@ def best_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_zero_false_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.best_zero_false_merge(semantic_threshold_sweep(spark, sf_dir), F.desc("threshold"))
+    """Of a sweep in which pairs at or above the match threshold belong together as well, so that some threshold has no false merge."""
+    curated = _coarse(spark, sf_dir).withColumn("expected_same", F.col("expected_same") | (F.col("similarity") >= THRESHOLD))
+    return evaluation.best_zero_false_merge(_rounded(evaluation.threshold_sweep(curated, "expected_same", "similarity")), F.desc("threshold"))
+
+
+def informative_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sweep of the weighted Jaccard over its observed values and 0."""
+    pairs = weighted_jaccard(spark, sf_dir).select(F.round("weighted_jaccard", 3).alias("weighted_jaccard"), ((F.col("left_item_id") + F.col("right_item_id")) % 2 == 0).alias("expected_same"))
+    return _rounded(evaluation.threshold_sweep(pairs, "expected_same", "weighted_jaccard", with_zero=True))
+
+
+def extreme_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five least similar pairs of one label and the five most similar of two, by cosine; the same by weighted Jaccard for benchmark items."""
+    semantic = vector_pairs(spark, sf_dir).select(F.lit("semantic").alias("signal"), F.col("left_vec_id").alias("left_id"), F.col("right_vec_id").alias("right_id"), "expected_same", F.col("similarity").alias("value"))
+    lexical = weighted_jaccard(spark, sf_dir).select(F.lit("informative").alias("signal"), F.col("left_item_id").alias("left_id"), F.col("right_item_id").alias("right_id"), ((F.col("left_item_id") + F.col("right_item_id")) % 2 == 0).alias("expected_same"), F.round("weighted_jaccard", 3).alias("value"))
+    out = None
+    for rows in (semantic, lexical):
+        for same in (True, False):
+            some = evaluation.extreme_pairs(rows, "expected_same", "value", same, 5, "left_id", "right_id")
+            out = some if out is None else out.unionByName(some)
+    return out
 
 
 def most_similar_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +122,7 @@ def search_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = p.where("page_id % 10 = 0").select("q", F.col("url").alias("first_url"))
     rows = p.join(first, "q", "left")
     url = F.when(F.col("page_id") % 7 == 0, None).when(F.col("page_id") % 11 == 0, F.col("first_url")).otherwise(F.col("url"))
-    articles = rows.select(F.col("q").alias("query_id"), F.col("page_id").alias("pos"), url.alias("url"), F.lit(" A  title ").alias("title"), F.lit("P").alias("publisher"), F.lit("2024-01-02T03:04:05Z").alias("published"), F.substring("html", 1, 40).alias("summary"))
+    articles = rows.select(F.col("q").alias("query_id"), F.col("page_id").alias("pos"), url.alias("url"), F.lit(" A  title ").alias("title"), F.lit("P").alias("publisher"), F.lit("2024-01-02T03:04:05Z").alias("published"), F.col("html").alias("summary"))
     from loomline.functions.urls import normal_forms
 
     out = p.where("page_id % 10 = 1").select(F.col("q").alias("query_id"), normal_forms(F.col("url"))["canonical_url"].alias("canonical_url"))
@@ -153,21 +173,25 @@ def lease_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "pairwise_lexical": pairwise_lexical, "token_order_lcs": token_order_lcs, "token_idf": token_idf, "weighted_jaccard": weighted_jaccard, "distinctive_jaccard": distinctive_jaccard, "labelled_summary": labelled_summary,
     "semantic_threshold_sweep": semantic_threshold_sweep, "lexical_threshold_grid": lexical_threshold_grid, "distinctive_sweep": distinctive_sweep, "best_f1": best_f1, "best_zero_false_merge": best_zero_false_merge,
+    "informative_threshold_sweep": informative_threshold_sweep, "extreme_pairs": extreme_pairs,
     "most_similar_negatives": most_similar_negatives, "confusion_labels": confusion_labels, "search_candidates": search_candidates, "related_exclusion": related_exclusion, "budget_accounting": budget_accounting,
     "research_outcome": research_outcomes, "lease_times": lease_times, "lease_state": lease_state,
 }
 
-TOKENS = r"regexp_extract_all(lower(substr(text, 1, {})), '[\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*')"
-TITLES = f"""t AS (SELECT item_id, item_id // 10 AS scenario, {TOKENS.format(200)} AS tokens FROM benchmark),
+TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*')"
+TITLES = f"""t AS (SELECT item_id, item_id // 10 AS scenario, {TOKENS} AS tokens FROM benchmark),
 p AS (SELECT a.scenario, a.item_id AS left_item_id, b.item_id AS right_item_id, list_distinct(a.tokens) AS l, list_distinct(b.tokens) AS r FROM t a JOIN t b ON a.scenario = b.scenario AND a.item_id < b.item_id),
 df AS (SELECT token, count(*) AS df FROM (SELECT item_id, unnest(list_distinct(tokens)) AS token FROM t) GROUP BY 1),
 each AS (SELECT left_item_id, right_item_id, token, list_contains(l, token) AND list_contains(r, token) AS both_have FROM (SELECT *, unnest(list_distinct(l || r)) AS token FROM p))"""
 RATES = """round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS "precision", round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall,
   round(CASE WHEN tp = 0 THEN 0 ELSE 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) END, 6) AS f1, round(CASE WHEN fp + tn = 0 THEN 0 ELSE fp / (fp + tn) END, 6) AS false_merge_rate, round(CASE WHEN tp + fn = 0 THEN 0 ELSE fn / (tp + fn) END, 6) AS false_split_rate"""
-SWEEP = f"""{PAIRS}, c AS (SELECT expected_same, round(similarity, 3) AS similarity FROM pairs), h AS (SELECT DISTINCT similarity AS threshold FROM c),
+SWEEP = f"""{PAIRS}, c AS (SELECT expected_same, round(similarity, 3) + 0.0 AS similarity FROM pairs), h AS (SELECT DISTINCT similarity AS threshold FROM c),
 n AS (SELECT threshold, count(*) FILTER (similarity >= threshold AND expected_same) AS tp, count(*) FILTER (similarity >= threshold AND NOT expected_same) AS fp,
   count(*) FILTER (similarity < threshold AND NOT expected_same) AS tn, count(*) FILTER (similarity < threshold AND expected_same) AS fn FROM h, c GROUP BY 1),
 sweep AS (SELECT *, {RATES} FROM n)"""
+CURATED = SWEEP.replace("SELECT expected_same, round(similarity, 3) + 0.0 AS similarity FROM pairs", f"SELECT expected_same OR round(similarity, 3) >= {THRESHOLD} AS expected_same, round(similarity, 3) + 0.0 AS similarity FROM pairs")
+WEIGHTED = f"""{TITLES}, n0 AS (SELECT count(*) AS n FROM t), w AS (SELECT token, ln((n + 1) / (df + 1)) + 1 AS idf FROM df, n0),
+wj AS (SELECT left_item_id, right_item_id, round(coalesce(sum(idf) FILTER (both_have), 0) / sum(idf), 6) AS weighted_jaccard FROM each JOIN w USING (token) GROUP BY ALL)"""
 DISTINCTIVE = f"""{TITLES}, cut AS (SELECT DISTINCT df AS cutoff FROM df),
 g AS (SELECT p.left_item_id, p.right_item_id, cutoff, count(*) FILTER (df <= cutoff AND both_have) AS shared, count(*) FILTER (df <= cutoff) AS every
   FROM p JOIN each e ON p.left_item_id = e.left_item_id AND p.right_item_id = e.right_item_id JOIN df USING (token), cut GROUP BY ALL),
@@ -180,7 +204,7 @@ r AS (SELECT f.run_id, coalesce(m, all_m) AS model_calls, coalesce(t, all_t) AS
 
 SQL = {
     "pairwise_lexical": f"WITH {TITLES} SELECT scenario, left_item_id, right_item_id, round(CASE WHEN len(l) = 0 OR len(r) = 0 THEN 0 ELSE len(list_intersect(l, r)) / len(list_distinct(l || r)) END, 6) AS jaccard, abs(left_item_id - right_item_id) * 60000 AS time_distance_ms FROM p",
-    "token_idf": f"WITH d AS (SELECT doc_id, {TOKENS.format(120)} AS tokens FROM documents), n AS (SELECT count(*) AS n FROM d), f AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(tokens)) AS token FROM d) GROUP BY 1) SELECT token, df, round(ln((n + 1) / (df + 1)) + 1, 6) AS idf FROM f, n",
+    "token_idf": f"WITH d AS (SELECT doc_id, {TOKENS} AS tokens FROM documents), n AS (SELECT count(*) AS n FROM d), f AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(tokens)) AS token FROM d) GROUP BY 1) SELECT token, df, round(ln((n + 1) / (df + 1)) + 1, 6) AS idf FROM f, n",
     "weighted_jaccard": f"WITH {TITLES}, n AS (SELECT count(*) AS n FROM t), w AS (SELECT token, ln((n + 1) / (df + 1)) + 1 AS idf FROM df, n) SELECT left_item_id, right_item_id, round(coalesce(sum(idf) FILTER (both_have), 0) / sum(idf), 6) AS weighted_jaccard FROM each JOIN w USING (token) GROUP BY ALL",
     "distinctive_jaccard": f"WITH {DISTINCTIVE} SELECT * FROM dj",
     "distinctive_sweep": f"""WITH {DISTINCTIVE}, e AS (SELECT *, (left_item_id + right_item_id) % 2 = 0 AS same FROM dj), h AS (SELECT DISTINCT cutoff, distinctive_jaccard AS threshold FROM e UNION SELECT DISTINCT cutoff, 0 FROM e),
@@ -195,7 +219,13 @@ n AS (SELECT first_threshold, second_threshold, count(*) FILTER (x >= first_thre
   count(*) FILTER (NOT (x >= first_threshold AND y >= second_threshold) AND NOT same) AS tn, count(*) FILTER (NOT (x >= first_threshold AND y >= second_threshold) AND same) AS fn FROM a, b, c GROUP BY ALL)
 SELECT *, {RATES} FROM n""",
     "best_f1": f"WITH {SWEEP} SELECT * FROM sweep ORDER BY f1 DESC, false_merge_rate, recall DESC, threshold LIMIT 1",
-    "best_zero_false_merge": f"WITH {SWEEP} SELECT * FROM sweep WHERE fp = 0 AND tp > 0 ORDER BY recall DESC, f1 DESC, threshold DESC LIMIT 1",
+    "best_zero_false_merge": f"WITH {CURATED} SELECT * FROM sweep WHERE fp = 0 AND tp > 0 ORDER BY recall DESC, f1 DESC, threshold DESC LIMIT 1",
+    "informative_threshold_sweep": f"""WITH {WEIGHTED}, c AS (SELECT round(weighted_jaccard, 3) AS x, (left_item_id + right_item_id) % 2 = 0 AS same FROM wj), h AS (SELECT x AS threshold FROM c UNION SELECT 0),
+n AS (SELECT threshold, count(*) FILTER (x >= threshold AND same) AS tp, count(*) FILTER (x >= threshold AND NOT same) AS fp, count(*) FILTER (x < threshold AND NOT same) AS tn, count(*) FILTER (x < threshold AND same) AS fn FROM h, c GROUP BY 1)
+SELECT *, {RATES} FROM n""",
+    "extreme_pairs": f"""WITH {PAIRS}, {WEIGHTED}, x AS (SELECT 'semantic' AS signal, left_vec_id AS left_id, right_vec_id AS right_id, expected_same, similarity AS value FROM pairs
+  UNION ALL SELECT 'informative', left_item_id, right_item_id, (left_item_id + right_item_id) % 2 = 0, round(weighted_jaccard, 3) FROM wj)
+SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY signal, expected_same ORDER BY CASE WHEN expected_same THEN value ELSE -value END, left_id, right_id) <= 5""",
     "most_similar_negatives": f"WITH {PAIRS} SELECT * FROM pairs WHERE NOT expected_same ORDER BY similarity DESC, left_vec_id, right_vec_id LIMIT 5",
     "confusion_labels": f"""WITH n AS (SELECT count(*) FILTER (quality = 1 AND n_chars >= 500) AS tp, count(*) FILTER (quality <> 1 AND n_chars >= 500) AS fp, count(*) FILTER (quality <> 1 AND n_chars < 500) AS tn, count(*) FILTER (quality = 1 AND n_chars < 500) AS fn FROM documents JOIN labels USING (doc_id))
 SELECT *, {RATES} FROM n""",

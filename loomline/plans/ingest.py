@@ -85,7 +85,7 @@ def gnews_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("  $"), F.substring("text", 1, 230), F.lit("$\t"))
+    raw = F.concat(F.lit("  $"), F.col("text"), F.lit("$\t"))
     return table(spark, sf_dir, "benchmark").select("item_id", feeds.search_query(raw).alias("query"))
 
 
@@ -106,7 +106,8 @@ def freshness_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    keys = dedup.article_keys(F.col("source"), F.when(F.length("text") > 0, F.substring("text", 1, 8)), F.md5("text"), F.col("source"), F.substring("text", -10, 10))
+    lines = F.split("text", "\n")  # whole lines: the first names a document within its source, the last is its title
+    keys = dedup.article_keys(F.col("source"), F.when(F.length("text") > 0, F.element_at(lines, 1)), F.md5("text"), F.col("source"), F.element_at(lines, -1))
     return docs.select("doc_id", keys.alias("keys"))
 
 
@@ -209,20 +210,20 @@ UNION ALL SELECT page_id, 'invalid-xml', NULL, NULL, NULL, NULL, NULL, NULL, NUL
 WITH p AS (SELECT page_id, url, page_id % 4 AS k FROM pages)
 SELECT page_id, NULL AS error, k > 2 AS truncated, pos, CAST(page_id AS VARCHAR) AS external_id, url, CASE WHEN page_id % 2 = 0 THEN 'd' END AS summary, 'S' AS publisher_name FROM p, (VALUES (0), (1)) v(pos) WHERE k > 1
 UNION ALL SELECT page_id, CASE k WHEN 0 THEN 'invalid-json' ELSE 'invalid-response' END, false, NULL, NULL, NULL, NULL, NULL FROM p WHERE k < 2""",
-    "search_queries": f"WITH q AS (SELECT item_id, trim(regexp_replace(replace('  $' || substr(text, 1, 230) || '$' || chr(9), '$', ' '), '{WS}', ' ', 'g')) AS q FROM benchmark) SELECT item_id, CASE WHEN length(q) BETWEEN 1 AND 200 THEN q END AS query FROM q",
+    "search_queries": f"WITH q AS (SELECT item_id, trim(regexp_replace(replace('  $' || text || '$' || chr(9), '$', ' '), '{WS}', ' ', 'g')) AS q FROM benchmark) SELECT item_id, CASE WHEN length(q) BETWEEN 1 AND 200 THEN q END AS query FROM q",
     "freshness_classes": f"""
 WITH e AS (SELECT event_id, event_type, {NOW_MS} - epoch_us(ts) // 1000 AS age FROM events)
 SELECT event_id, event_type <> 'error' AND ({FRESH}) = 'fresh' AS accepted, CASE WHEN event_type = 'error' THEN 'missing-published-at' ELSE {FRESH} END AS classification,
   CASE WHEN event_type <> 'error' THEN 'published-at' END AS timestamp_basis, CASE WHEN event_type <> 'error' THEN age END AS age_ms FROM e""",
     "freshness_counts": f"WITH e AS (SELECT event_type, {NOW_MS} - epoch_us(ts) // 1000 AS age FROM events) SELECT {FRESH} AS classification, CASE WHEN event_type = 'error' THEN 'discovered-at' ELSE 'published-at' END AS timestamp_basis, count(*) AS articles FROM e GROUP BY ALL",
     "dedup_keys": r"""
-WITH d AS (SELECT doc_id, lower(source) AS s, text, lower(trim(regexp_replace(substr(text, 1, 8), '\s+', ' ', 'g'))) AS x, lower(trim(regexp_replace(substr(text, -10, 10), '\s+', ' ', 'g'))) AS t FROM documents)
+WITH d AS (SELECT doc_id, lower(source) AS s, text, lower(trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g'))) AS x, lower(trim(regexp_replace(string_split(text, chr(10))[-1], '\s+', ' ', 'g'))) AS t FROM documents)
 SELECT doc_id, 0 AS priority, 'source-external-id' AS type, md5(s || ':' || x) AS value_md5 FROM d WHERE length(text) > 0
 UNION ALL SELECT doc_id, 1, 'canonical-url', md5(md5(text)) FROM d
 UNION ALL SELECT doc_id, 2, 'publisher-title', md5(s || ':' || t) FROM d""",
     "ordered_dedup": r"""
 WITH RECURSIVE k AS (
-  SELECT doc_id, ['source-external-id', 'canonical-url', 'publisher-title'] AS types, [lower(source) || ':' || lower(trim(regexp_replace(substr(text, 1, 8), '\s+', ' ', 'g'))), md5(text), lower(source) || ':' || lower(trim(regexp_replace(substr(text, -10, 10), '\s+', ' ', 'g')))] AS vals FROM documents
+  SELECT doc_id, ['source-external-id', 'canonical-url', 'publisher-title'] AS types, [lower(source) || ':' || lower(trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g'))), md5(text), lower(source) || ':' || lower(trim(regexp_replace(string_split(text, chr(10))[-1], '\s+', ' ', 'g')))] AS vals FROM documents
 ), d AS (
   SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k, types, vals, [hash(types[i] || ':' || vals[i]) FOR i IN range(1, 4)] AS keys FROM k
 ), fold AS (
@@ -261,5 +262,5 @@ WITH e AS (SELECT event_type, CAST(round(value * 100) AS BIGINT) / 400 AS s FROM
 SELECT event_type, le, count(*) FILTER (s <= bound) AS count, count(*) AS total, round(sum(s), 4) AS sum_seconds FROM e, b GROUP BY ALL""",
     "evaluation_accuracy": """
 SELECT 'case-' || page_id % 10 AS stage, count(*) AS evaluated, count(*) FILTER (page_id % 30 <> 8) AS correct, count(*) FILTER (page_id % 30 <> 8) / count(*) AS accuracy FROM pages GROUP BY 1""",
-    "title_tokens": r"SELECT doc_id, array_to_string(regexp_extract_all(lower(substr(text, 1, 120)), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*'), '|') AS tokens, CASE WHEN doc_id % 17 <> 0 THEN 1704067200000 + doc_id * 600000 END AS at_ms FROM documents",
+    "title_tokens": r"SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*'), '|') AS tokens, CASE WHEN doc_id % 17 <> 0 THEN 1704067200000 + doc_id * 600000 END AS at_ms FROM documents",
 }

@@ -37,11 +37,11 @@ def candidate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 25).alias("scenario"), F.col("embedding").cast("array<double>").alias("v")).withColumn("norm", norm(F.col("v")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 50).alias("scenario"), F.col("embedding").cast("array<double>").alias("v")).withColumn("norm", norm(F.col("v")))
 
 
 def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a scenario with their cosine and whether they are of one label."""
+    """Pairs of a scenario (fifty vectors, so that pairs grow with the table, not with its square) with their cosine and whether they are of one label."""
     pairs = evaluation.scenario_pairs(_vectors(spark, sf_dir), "scenario", "vec_id", "label", "v", "norm")
     sim = cosine(F.col("left_v"), F.col("right_v"), F.col("left_norm"), F.col("right_norm"))
     return pairs.select("scenario", "left_vec_id", "right_vec_id", (F.col("left_label") == F.col("right_label")).alias("expected_same"), F.round(sim, 6).alias("similarity"))
@@ -79,10 +79,15 @@ def story_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def story_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violations of the clustered tables; there are none."""
-    clustered = _clustered(spark, sf_dir)
-    stories, memberships = clustering.story_tables(clustered, clustered.select("article_id", F.lit("t").alias("title")))
-    return integrity.story_violations(stories, memberships)
+    """Violations of story tables made from orders, an order being an article of its customer's story, with some damage of every kind."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")).cast("long").alias("at"))
+    spans = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("seed"), F.min("at").alias("first"), F.max("at").alias("last"))
+    stories = spans.select(F.concat(F.lit("s"), cust.cast("string")).alias("story_id"), (F.col("seed") + F.when(cust % 170 == 6, 1).otherwise(0)).alias("seed_article_id"), F.col("first").alias("first_ms"), F.when(cust % 150 == 5, F.col("first") - 1).otherwise(F.col("last")).alias("last_ms"))
+    kind = F.when((key == F.col("seed")) | (key % 500 == 2), "SEED").otherwise("MATCHED")
+    rows = o.join(spans.select("o_custkey", "seed"), "o_custkey").select(key.alias("article_id"), cust, F.when(key % 700 == 3, F.concat(F.lit("lost"), key.cast("string"))).otherwise(F.concat(F.lit("s"), cust.cast("string"))).alias("story_id"), kind.alias("kind"), F.when(kind == "MATCHED", F.when(key % 900 == 4, 2.0).otherwise(0.5)).alias("score"))
+    rows = rows.where(~((F.col("kind") == "SEED") & (cust % 190 == 7))).drop("o_custkey")
+    return integrity.story_violations(stories, rows.unionByName(rows.where("article_id % 1000 = 1")))
 
 
 def recent_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +145,7 @@ QUERIES = {
 
 ARTICLES = "a AS (SELECT event_id AS article_id, CASE WHEN event_id % 17 <> 0 THEN epoch_us(ts) // 1000 END AS at_ms FROM events WHERE event_type = 'signup')"
 DISTANCE = "CASE WHEN at_ms < first_ms THEN first_ms - at_ms WHEN at_ms > last_ms THEN at_ms - last_ms ELSE 0 END"
-PAIRS = """v AS (SELECT vec_id, label, vec_id % 25 AS scenario, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+PAIRS = """v AS (SELECT vec_id, label, vec_id // 50 AS scenario, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 pairs AS (SELECT a.scenario, a.vec_id AS left_vec_id, b.vec_id AS right_vec_id, a.label = b.label AS expected_same, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
   FROM v a JOIN v b ON a.scenario = b.scenario AND a.vec_id < b.vec_id)"""
 
@@ -157,12 +162,23 @@ SELECT article_id, CASE WHEN far IS NULL THEN 'time-unknown' WHEN far = 0 THEN '
     "cosine_pairs": f"WITH {PAIRS} SELECT * FROM pairs",
     "match_decisions": f"WITH {PAIRS} SELECT left_vec_id, right_vec_id, CASE WHEN similarity >= {THRESHOLD} THEN 'match' ELSE 'no-match' END AS decision, greatest(0.0, similarity) AS score, CASE WHEN similarity >= {THRESHOLD} THEN 'semantic-similarity-at-or-above-v1-threshold' ELSE 'semantic-similarity-below-v1-threshold' END AS reason FROM pairs",
     "cluster_assignment": f"""
-WITH {PAIRS}, g AS (SELECT right_vec_id AS article_id, count(*) AS considered, count(*) FILTER (similarity >= {THRESHOLD}) AS matching, string_agg(printf('%06d', left_vec_id), ',' ORDER BY left_vec_id) FILTER (similarity >= {THRESHOLD}) AS ids FROM pairs WHERE left_vec_id < 100 GROUP BY 1),
+WITH {PAIRS}, g AS (SELECT right_vec_id AS article_id, count(*) AS considered, count(*) FILTER (similarity >= {THRESHOLD}) AS matching, string_agg(printf('%06d', left_vec_id), ',' ORDER BY left_vec_id) FILTER (similarity >= {THRESHOLD}) AS ids FROM pairs GROUP BY 1),
 r AS (SELECT v.vec_id AS article_id, coalesce(considered, 0) AS considered, coalesce(matching, 0) AS matching, ids FROM v LEFT JOIN g ON g.article_id = v.vec_id)
 SELECT article_id, CASE WHEN matching = 1 THEN 'assign-existing-story' ELSE 'seed-new-story' END AS kind,
   CASE WHEN considered = 0 THEN 'no-candidates' WHEN matching = 0 THEN 'no-matching-candidates' WHEN matching > 1 THEN 'ambiguous-matching-candidates' END AS reason,
   CASE WHEN matching = 1 THEN ids END AS story_id, considered, matching, CASE WHEN matching > 1 THEN ids ELSE '' END AS matching_ids FROM r""",
-    "story_integrity": "SELECT '' AS rule, '' AS key WHERE false",
+    "story_integrity": """
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS d, min(o_orderkey) OVER (PARTITION BY o_custkey) AS seed FROM orders),
+s AS (SELECT 's' || c AS story_id, min(k) + CASE WHEN c % 170 = 6 THEN 1 ELSE 0 END AS seed_article, min(d) AS first_ms, CASE WHEN c % 150 = 5 THEN min(d) - 1 ELSE max(d) END AS last_ms FROM o GROUP BY c),
+r AS (SELECT k, CASE WHEN k % 700 = 3 THEN 'lost' || k ELSE 's' || c END AS story_id, CASE WHEN k = seed OR k % 500 = 2 THEN 'SEED' ELSE 'MATCHED' END AS kind, k % 900 = 4 AS strange FROM o WHERE NOT ((k = seed OR k % 500 = 2) AND c % 190 = 7)),
+m AS (SELECT * FROM r UNION ALL SELECT * FROM r WHERE k % 1000 = 1)
+SELECT 'one-story-per-article' AS rule, CAST(k AS VARCHAR) AS key FROM m GROUP BY k HAVING count(*) > 1
+UNION ALL SELECT 'one-seed-per-story', story_id FROM m WHERE kind = 'SEED' GROUP BY story_id HAVING count(*) > 1
+UNION ALL SELECT 'membership-of-a-story', story_id FROM m WHERE story_id NOT IN (SELECT story_id FROM s)
+UNION ALL SELECT 'story-has-a-seed', story_id FROM s WHERE story_id NOT IN (SELECT story_id FROM m WHERE kind = 'SEED')
+UNION ALL SELECT 'seed-is-the-storys', m.story_id FROM m JOIN s USING (story_id) WHERE kind = 'SEED' AND k <> seed_article
+UNION ALL SELECT 'score-in-unit-interval', CAST(k AS VARCHAR) FROM m WHERE kind = 'MATCHED' AND strange
+UNION ALL SELECT 'interval-ordered', story_id FROM s WHERE first_ms > last_ms""",
     "recent_top_k": "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS published_at, o_orderdate AS last_seen_at, o_totalprice FROM orders ORDER BY 2 DESC NULLS LAST, 3 DESC, 1 LIMIT 100",
     "list_with_member_count": "SELECT c_custkey, c_name, count(o_orderkey) AS members FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL",
     "recent_stories": "SELECT c_custkey, c_name, count(o_orderkey) AS members, min(o_orderdate) AS created_at, max(o_orderdate) AS last_published_at FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL ORDER BY 5 DESC NULLS LAST, 4 DESC, 1 LIMIT 25",

@@ -86,7 +86,7 @@ def test_every_earlier_vector_of_a_scenario_is_a_seed(spark, tmp_path):
     length = {k: math.sqrt(sum(a * a for a in v)) for k, v in vectors.items()}
     want = {}
     for j, w in vectors.items():
-        seeds = [i for i in vectors if i < j and i % 25 == j % 25]
+        seeds = [i for i in vectors if i < j and i // 50 == j // 50]
         match = [f"{i:06d}" for i in seeds if round(sum(a * b for a, b in zip(vectors[i], w, strict=True)) / (length[i] * length[j]), 6) >= story.THRESHOLD]
         kind = "assign-existing-story" if len(match) == 1 else "seed-new-story"
         reason = "no-candidates" if not seeds else "no-matching-candidates" if not match else "ambiguous-matching-candidates" if len(match) > 1 else None
