@@ -54,12 +54,14 @@ def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _release() -> None:
-    """Give freed memory back to the system: workers are reused and share a small executor."""
+    """Give freed memory back to the system, large arrays as soon as they go: workers are reused and share a small executor."""
     import ctypes
 
     pa.default_memory_pool().release_unused()
     try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
     except (OSError, AttributeError):  # another C library keeps its own ways
         pass
 
