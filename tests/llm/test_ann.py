@@ -115,3 +115,20 @@ def test_blocks_that_many_send_to_are_dealt_out(spark, monkeypatch):
     out = found(ann.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), k=16, orders=2, rounds=3, beam=96))
     want = brute(list(range(1500)), x)
     assert np.mean([len({i for i, _ in out[q]} & {i for i, _ in w}) for q, w in want.items()]) > 18.5
+
+
+def test_recall_on_the_table_itself(spark):
+    """op8_ann on all of sf0.1's embeddings against brute force."""
+    from loomline.llm import queries
+
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    ids, x = table["vec_id"].tolist(), np.stack(table["embedding"]).astype(np.float64)
+    out = found(queries.op8_ann(spark, "/root/testdata/sf0.1"))
+    place = {i: k for k, i in enumerate(ids)}
+    hits = []
+    for q in [i for i in ids if i % 20 == 0]:
+        s = x @ x[place[q]]
+        s[place[q]] = -np.inf
+        near = np.argsort(-s, kind="stable")[:20]
+        hits.append(len({i for i, _ in out[q]} & {ids[k] for k in near}) / 20)
+    assert len(out) == len(hits) and np.mean(hits) > 0.97
