@@ -243,5 +243,24 @@ SELECT url AS canonical_url, coalesce(known, 'tool_' || page_id // 10 || '_' ||
     "budget_accounting": f"WITH {BUDGET} SELECT * FROM r",
     "research_outcome": f"""WITH {BUDGET} SELECT run_id, CASE WHEN stop_reason IS NOT NULL THEN 'partial' WHEN run_id % 2 = 0 AND run_id % 3 > 0 THEN 'complete' WHEN run_id % 3 > 0 THEN 'partial' ELSE 'insufficient-sources' END AS outcome,
   CASE WHEN stop_reason IS NOT NULL THEN stop_reason WHEN run_id % 2 = 0 AND run_id % 3 > 0 THEN 'criteria-satisfied' ELSE 'no-useful-results' END AS stop_reason FROM r""",
+    "lease_state": """
+WITH RECURSIVE e AS (
+  SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' ELSE 'claim' END AS kind,
+    epoch_us(ts) // 1000 AS at_ms, 'w' || event_id // 50 % 3 AS worker, event_type AS said FROM events
+), runs AS (
+  SELECT DISTINCT user_id AS run_id, 0::BIGINT AS k, NULL::VARCHAR AS status, NULL::VARCHAR AS token, NULL::BIGINT AS lease_ms, NULL::BIGINT AS started_ms, NULL::BIGINT AS ended_ms, NULL::VARCHAR AS result,
+    0::BIGINT AS claims, 0::BIGINT AS conflicts, 0::BIGINT AS replays, 0::BIGINT AS held FROM events
+  UNION ALL
+  SELECT run_id, k, CASE what WHEN 'created' THEN 'PENDING' WHEN 'claimed' THEN 'RUNNING' WHEN 'ended' THEN final ELSE status END, CASE WHEN what = 'claimed' THEN worker ELSE token END,
+    CASE what WHEN 'claimed' THEN at_ms + 7200000 WHEN 'ended' THEN NULL ELSE lease_ms END, CASE WHEN what = 'claimed' THEN coalesce(started_ms, at_ms) ELSE started_ms END, CASE WHEN what = 'ended' THEN at_ms ELSE ended_ms END, CASE WHEN what = 'ended' THEN said ELSE result END,
+    claims + (what = 'claimed')::BIGINT, conflicts + (what = 'conflict')::BIGINT, replays + (what = 'replayed')::BIGINT, held + (what = 'held')::BIGINT
+  FROM (
+    SELECT *, CASE WHEN kind = 'create' THEN CASE WHEN status IS NULL THEN 'created' ELSE 'replayed' END WHEN status IS NULL THEN 'missing'
+      WHEN kind = 'claim' THEN CASE WHEN status = 'PENDING' OR (status = 'RUNNING' AND lease_ms <= at_ms) THEN 'claimed' WHEN status = 'RUNNING' THEN 'held' ELSE 'terminal' END
+      WHEN status = 'RUNNING' AND token = worker THEN 'ended' WHEN status = final AND token = worker AND result = said THEN 'replayed' ELSE 'conflict' END AS what
+    FROM (SELECT e.k, e.kind, e.at_ms, e.worker, e.said, CASE e.kind WHEN 'complete' THEN 'COMPLETED' ELSE 'FAILED' END AS final, r.* EXCLUDE (k) FROM runs r JOIN e ON e.run_id = r.run_id AND e.k = r.k + 1)
+  )
+)
+SELECT * EXCLUDE (k) FROM runs QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY k DESC) = 1""",
     "lease_times": "SELECT event_id, event_id * 1000 + user_id * 100 + 30000 AS lease_ms, greatest(event_id * 1010, event_id * 1000 + user_id * 100 + 30000) + 1000 AS retry_ms FROM events",
 }

@@ -11,6 +11,7 @@ from loomline.plans.common import at_ms, table
 
 WINDOW_MS = 600_000
 THRESHOLD = 0.35
+DAY_MS = 86_400_000
 
 
 def _ms(column: str):
@@ -64,7 +65,7 @@ def cluster_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     articles = v.select(F.col("vec_id").alias("seq"), F.concat(F.lit("a"), F.col("vec_id").cast("string")).alias("article_id"), at_ms(F.col("vec_id")).alias("at_ms"), F.col("embedding").cast("array<double>").alias("vector"))
-    return clustering.cluster(articles, 86_400_000, threshold=THRESHOLD)
+    return clustering.cluster(articles, DAY_MS, threshold=THRESHOLD)
 
 
 def story_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,8 +149,32 @@ DISTANCE = "CASE WHEN at_ms < first_ms THEN first_ms - at_ms WHEN at_ms > last_m
 PAIRS = """v AS (SELECT vec_id, label, vec_id // 50 AS scenario, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 pairs AS (SELECT a.scenario, a.vec_id AS left_vec_id, b.vec_id AS right_vec_id, a.label = b.label AS expected_same, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
   FROM v a JOIN v b ON a.scenario = b.scenario AND a.vec_id < b.vec_id)"""
+#: The clustering as a recursion over the arrival order: the stories so far, with their seed and interval, meet the next article.
+FOLD = f"""v AS (SELECT vec_id AS seq, row_number() OVER (ORDER BY vec_id) AS k, CASE WHEN vec_id % 17 <> 0 THEN 1704067200000 + vec_id * 600000 END AS at_ms, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+near AS MATERIALIZED (SELECT a.seq AS seed, b.seq, list_cosine_similarity(a.v, b.v) AS score FROM v a JOIN v b ON a.k < b.k WHERE list_cosine_similarity(a.v, b.v) >= {THRESHOLD}),
+alike AS MATERIALIZED (SELECT v.k, v.seq, v.at_ms, coalesce(list(near.seed) FILTER (near.seed IS NOT NULL), []) AS seeds FROM v LEFT JOIN near ON near.seq = v.seq GROUP BY ALL),
+fold AS (
+  SELECT 0::BIGINT AS k, NULL::BIGINT AS seq, NULL::BIGINT AS at_ms, 0::BIGINT AS considered, []::BIGINT[] AS met, []::STRUCT(seed BIGINT, lo BIGINT, hi BIGINT)[] AS stories
+  UNION ALL
+  SELECT k, seq, at_ms, len(inside), met, CASE WHEN len(met) = 1
+    THEN list_transform(stories, lambda s: {{'seed': s.seed, 'lo': CASE WHEN s.seed = met[1] THEN least(s.lo, at_ms) ELSE s.lo END, 'hi': CASE WHEN s.seed = met[1] THEN greatest(s.hi, at_ms) ELSE s.hi END}})
+    ELSE stories || [{{'seed': seq, 'lo': at_ms, 'hi': at_ms}}] END
+  FROM (SELECT *, list_sort(list_transform(list_filter(inside, lambda s: list_contains(seeds, s.seed)), lambda s: s.seed)) AS met
+    FROM (SELECT n.*, f.stories, list_filter(f.stories, lambda s: n.at_ms BETWEEN s.lo - {DAY_MS} AND s.hi + {DAY_MS}) AS inside FROM fold f JOIN alike n ON n.k = f.k + 1))
+),
+placed AS (SELECT seq, 'a' || seq AS article_id, at_ms, considered, met, CASE WHEN len(met) = 1 THEN met[1] ELSE seq END AS story_seq FROM fold WHERE k > 0)"""
 
 SQL = {
+    "story_clustering": f"""
+WITH RECURSIVE {FOLD}
+SELECT p.seq, article_id, CASE WHEN len(met) = 1 THEN 'MATCHED' ELSE 'SEED' END AS kind, story_seq,
+  CASE WHEN len(met) = 1 THEN 'semantic-similarity-at-or-above-v1-threshold' WHEN considered = 0 THEN 'no-candidates' WHEN len(met) = 0 THEN 'no-matching-candidates' ELSE 'ambiguous-matching-candidates' END AS reason,
+  CASE WHEN len(met) = 1 THEN round(greatest(0.0, score), 6) END AS score, considered, len(met) AS matching, CASE WHEN len(met) > 1 THEN array_to_string(met, ',') ELSE '' END AS matching_seqs, at_ms
+FROM placed p LEFT JOIN near ON near.seed = story_seq AND near.seq = p.seq""",
+    "story_tables": f"""
+WITH RECURSIVE {FOLD}
+SELECT substr(sha256('a' || story_seq), 1, 32) AS story_id, 'Title of a' || story_seq AS canonical_title, 'a' || story_seq AS seed_article_id, 'a' || story_seq AS representative_article_id,
+  'story-clustering-v1' AS clustering_version, min(at_ms) AS first_ms, max(at_ms) AS last_ms, count(*) AS members FROM placed GROUP BY story_seq""",
     "candidate_window_join": f"""
 WITH {ARTICLES}, s AS (SELECT user_id || '/' || CAST(ts AS DATE) AS story_id, min(epoch_us(ts) // 1000) AS first_ms, max(epoch_us(ts) // 1000) AS last_ms FROM events WHERE event_type = 'purchase' GROUP BY 1),
 d AS (SELECT article_id, story_id, {DISTANCE} AS far FROM a JOIN s ON at_ms BETWEEN first_ms - {WINDOW_MS} AND last_ms + {WINDOW_MS})
