@@ -32,9 +32,9 @@ def candidate_window_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every article's decisions on all stories, counted by reason."""
     articles, stories = _articles_and_stories(spark, sf_dir, False)
-    out = candidates.candidate_decisions(articles, stories, 3_600_000, include_unknown=True)
-    return out.groupBy("article_id", "reason", "included").agg(F.count("*").alias("stories"), F.min("time_distance_ms").alias("nearest_ms"))
+    return candidates.decision_counts(articles, stories, 3_600_000, include_unknown=True)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,19 @@ def test_candidates_at_the_window_edge(spark):
     assert candidates.candidates(articles, stories, 0).count() == 1
 
 
+@pytest.mark.parametrize("seed,window", [(1, 0), (2, 5), (3, 40)])
+def test_counts_of_decisions_are_those_of_all_pairs(spark, seed, window):
+    rng = random.Random(seed)
+    spans = [sorted((rng.randrange(100), rng.randrange(100))) for _ in range(30)]
+    stories = spark.createDataFrame([*((f"s{k}", *x) for k, x in enumerate(spans)), ("u", None, None), ("v", 3, None)], "story_id string, first_ms long, last_ms long")
+    articles = spark.createDataFrame([*((f"a{k}", rng.randrange(-60, 160)) for k in range(60)), ("x", 7), ("y", 7), ("z", None)], "article_id string, at_ms long")
+    for unknown in (False, True):
+        pairs = candidates.candidate_decisions(articles, stories, window, unknown).groupBy("article_id", "reason", "included").agg(F.count("*"), F.min("time_distance_ms"))
+        assert sorted(map(tuple, candidates.decision_counts(articles, stories, window, unknown).collect()), key=str) == sorted(map(tuple, pairs.collect()), key=str)
+    assert candidates.decision_counts(articles, stories.limit(0), window).count() == 0
+    assert candidates.decision_counts(articles.limit(0), stories, window).count() == 0
+
+
 def plain(rows, vectors, window, threshold, unknown):
     """Every article against every story, one after the other."""
     stories, out = {}, []
