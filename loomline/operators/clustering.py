@@ -4,7 +4,8 @@ An article joins the one story in its time window whose seed it matches; with
 none or several it seeds a story of its own. Arrival order decides, and a
 story's window grows with its members, so the fold is sequential. It is only
 needed within components of articles that match at all: pairs above the
-threshold come from a tiled product, the fold runs in each component on its own,
+threshold come from tiled products of what windows hold, followed as far as
+matches lead, the fold runs in each component on its own,
 and what counts all stories in a window is joined to the result afterwards.
 """
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from loomline.functions.vocabulary import CLUSTERING_VERSION, MATCH_REASON, MATCH_THRESHOLD, NO_MATCH_REASON
 from loomline.operators.graph import components, settle
 
+GROWTH = 3  # more makes fewer rounds, and more products that a growing story doesn't need
+
 
 def match_decision(similarity: Column, threshold: float = MATCH_THRESHOLD) -> Column:
     """struct<decision,score,reason>; what isn't in [-1, 1] raises."""
@@ -42,41 +45,67 @@ def assign(articles: DataFrame, decisions: DataFrame) -> DataFrame:
     return rows.select("article_id", F.when(joins, "assign-existing-story").otherwise("seed-new-story").alias("kind"), reason.alias("reason"), F.when(joins, F.col("ids")[0]).alias("story_id"), "considered", "matching", F.when(F.col("matching") > 1, F.col("ids")).otherwise(F.array().cast("array<string>")).alias("matching_ids"))
 
 
-def _matching_pairs(articles: DataFrame, threshold: float, window_ms: int, include_unknown: bool, tile: int) -> DataFrame:
-    """(a, b, similarity) with a before b, of those that can meet in a window.
+def _multiply(threshold: float):
+    """Products of a group's seeds with its articles, as (a, b, similarity, at_ms of b) for a before b, from the threshold on."""
 
-    Articles whose times are in one run of touching window-wide buckets form an
-    island; no story reaches over the gap between two. An island is cut into
-    tiles, and each two tiles meet in one task.
-    """
-    width = max(1, window_ms)
-    if include_unknown:
-        placed = articles.withColumn("island", F.lit(0))
-    else:
-        placed = articles.where("at_ms IS NOT NULL").withColumn("bucket", F.floor(F.col("at_ms") / width))
-        buckets = placed.select("bucket").distinct()  # as many as windows in the span of time
-        order = Window.orderBy("bucket")
-        gap = (F.col("bucket") - F.lag("bucket").over(order) > 1).cast("int")
-        islands = buckets.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("island", F.sum("gap").over(order)).drop("gap")
-        placed = placed.join(islands, "bucket").drop("bucket")
-    tiles = placed.groupBy("island").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    placed = placed.join(tiles, "island").withColumn("i", F.pmod(F.xxhash64("seq"), F.col("tiles")).cast("int"))
-    other = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least("i", j).alias("one"), F.greatest("i", j).alias("two")))
-    dealt = placed.select("island", "i", "seq", "vector", F.explode(other).alias("p")).select("island", "p.one", "p.two", "i", "seq", "vector")
-
-    def multiply(key, pdf):
-        left, right = pdf[pdf["i"] == key[1]], pdf[pdf["i"] == key[2]]
-        x, y = (np.array(side["vector"].tolist(), np.float64).reshape(len(side), -1) for side in (left, right))
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
+    def multiply(seeds, others):
+        x, y = (np.array(side["vector"].tolist(), np.float64).reshape(len(side), -1) for side in (seeds, others))
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": [], "similarity": [], "at_ms": []})
         x, y = (m / np.linalg.norm(m, axis=1)[:, None] for m in (x, y))
         sims = x @ y.T
-        r, c = np.nonzero(sims >= threshold - 1e-9)
-        a, b = left["seq"].to_numpy()[r], right["seq"].to_numpy()[c]
-        keep = a != b if key[1] != key[2] else a < b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": sims[r, c][keep]})
+        a, b = seeds["seq"].to_numpy(), others["seq"].to_numpy()
+        r, c = np.nonzero((sims >= threshold) & (a[:, None] < b[None, :]))
+        return pd.DataFrame({"a": a[r], "b": b[c], "similarity": sims[r, c], "at_ms": others["at_ms"].array[c]})
+
+    return multiply
 
-    return dealt.groupBy("island", "one", "two").applyInPandas(multiply, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
+
+def _meet(seeds: DataFrame, articles: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """Matches of seeds (bucket, seq, vector) with articles (bucket, seq, at_ms, vector) of the same bucket, in tiles of both."""
+    tiles = lambda df, name: df.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias(name))
+    sizes = tiles(seeds, "parts").join(tiles(articles, "tiles"), "bucket")
+    dealt = lambda df, mine, own, theirs, other: df.join(sizes, "bucket").withColumns({own: F.pmod(F.xxhash64("seq"), F.col(mine)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(theirs) - 1))}).drop("parts", "tiles")
+    left, right = dealt(seeds, "parts", "i", "tiles", "j"), dealt(articles, "tiles", "j", "parts", "i")
+    left = left.select(*[F.col(c).alias(c) for c in ("bucket", "i", "j", "seq", "vector")])  # columns of its own, as both come from one table
+    keys = ["bucket", "i", "j"]
+    return settle(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_multiply(threshold), "a long, b long, similarity double, at_ms long"))
+
+
+def _matching_pairs(articles: DataFrame, threshold: float, window_ms: int, include_unknown: bool, tile: int) -> DataFrame:
+    """(a, b, similarity) with a before b, of all that can meet in a window, and some more.
+
+    All members of a story match its seed, so a seed's story reaches as far as
+    the articles that match the seed lead, a window each. A seed first meets the
+    buckets that its own window touches; while a match leads beyond what it has
+    met, it meets the next buckets on that side, GROWTH times those it has met. So what
+    is multiplied goes with the windows' contents, and only stories that grow are
+    looked at again. Where unknown times take part, all meet all.
+    """
+    if include_unknown:
+        placed = articles.withColumn("bucket", F.lit(0))
+        return _meet(placed.select("bucket", "seq", "vector"), placed, threshold, tile).drop("at_ms")
+    width, at = max(1, window_ms), F.col("at_ms")
+    bucket = lambda ms: F.floor(ms / width)
+    placed = settle(articles.where("at_ms IS NOT NULL").select("seq", "at_ms", "vector", bucket(at).alias("bucket")))
+    used = placed.select("bucket").distinct()
+    # low and high are the buckets met so far, first and last the times reached
+    state = placed.select("seq", at.alias("first"), at.alias("last"), bucket(at - window_ms).alias("low"), bucket(at + window_ms).alias("high"))
+    wanted = state.select("seq", F.explode(F.sequence("low", "high")).alias("bucket"))
+    found = None
+    while True:
+        seeds = wanted.join(used, "bucket").join(placed.select("seq", "vector"), "seq")
+        new = _meet(seeds, placed, threshold, tile)
+        found = new if found is None else found.unionByName(new)
+        ends = new.groupBy(F.col("a").alias("seq")).agg(F.min("at_ms").alias("f"), F.max("at_ms").alias("l"))
+        grown = state.join(ends, "seq").select("seq", "low", "high", F.least("first", "f").alias("first"), F.greatest("last", "l").alias("last"))
+        more, span = {"down": bucket(F.col("first") - window_ms), "up": bucket(F.col("last") + window_ms)}, GROWTH * (F.col("high") - F.col("low") + 1)
+        grown = settle(grown.withColumns(more).where("down < low OR up > high").withColumns({"down": F.when(F.col("down") < F.col("low"), F.least("down", F.col("low") - span)).otherwise(F.col("low")), "up": F.when(F.col("up") > F.col("high"), F.greatest("up", F.col("high") + span)).otherwise(F.col("high"))}))
+        if grown.isEmpty():
+            return found.drop("at_ms")
+        below, above = (F.when(F.col(x) < F.col(y), F.sequence(F.col(x) + int(x == "high"), F.col(y) - int(y == "low"))) for x, y in (("down", "low"), ("high", "up")))
+        wanted = grown.select("seq", F.explode(F.concat(F.coalesce(below, F.array().cast("array<bigint>")), F.coalesce(above, F.array().cast("array<bigint>")))).alias("bucket"))
+        state = grown.select("seq", "first", "last", F.col("down").alias("low"), F.col("up").alias("high"))
 
 
 def fold(rows: list[tuple[int, int | None]], similar: dict[tuple[int, int], float], window_ms: int, include_unknown: bool) -> list[tuple[int, int, float | None, int, list[int]]]:
