@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import ann, bpe, exact_dedup, ngram_join, packing, quality, secret_scan, tool_calls, url_filter, warc
+from loomline.llm import ann, bpe, exact_dedup, merkle, ngram_join, packing, quality, secret_scan, tool_calls, url_filter, warc
 from loomline.llm.common import table
 
 
@@ -79,6 +79,17 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    cells = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claimed = merkle.leaf_digest(*[F.col(c) + 1 if c == "n_chars" else F.col(c) for c in cells])
+    docs = docs.withColumn("claimed", F.when(tampered, claimed))
+    out = merkle.manifest(docs, merkle.leaf_digest(*[F.col(c) for c in cells]), group_col="lang", order_cols=["doc_id"], carry=["claimed"])
+    out = out.withColumn("folded_root", merkle.fold(F.coalesce("claimed", "leaf"), F.col("proof")))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_exact_dedup": op2_exact_dedup,
@@ -90,8 +101,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_secret_scan": op9_secret_scan,
     "op10_ngram_join": op10_ngram_join,
+    "op13_merkle": op13_merkle,
 }
 
+#: The unsigned CRC-32 of a short text, bit by bit.
+CRC32 = """xor(list_reduce([4294967295::UBIGINT] || flatten([[ord(c)::UBIGINT] || [256::UBIGINT FOR i IN range(8)] FOR c IN string_split({0}, '')]),
+  lambda a, x: CASE WHEN x < 256 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END), 4294967295::UBIGINT)"""
+FRAMED = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || {0}, '-')"
+
 SQL: dict[str, str] = {
     "op1_warc": """
 WITH p AS (
@@ -235,5 +252,37 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
        coalesce(owners, '') AS owners, coalesce(repositories, '') AS repositories
 FROM d LEFT JOIN by_row USING (r)
+""",
+    "op13_merkle": f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS grp, n_chars, {" || ".join(FRAMED.format(c) for c in ("doc_id", "source", "lang"))} AS head, {FRAMED.format("text")} AS tail FROM documents
+), e AS (
+  SELECT *, sha256(head || {FRAMED.format("n_chars")} || tail) AS leaf, sha256(head || {FRAMED.format("(n_chars + 1)")} || tail) AS other,
+         coalesce({CRC32.format("CAST(doc_id AS VARCHAR)")} % 7 = 0, false) AS tampered FROM d
+), p AS (
+  SELECT r, doc_id, grp, leaf, CASE WHEN tampered THEN other ELSE leaf END AS claimed, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS place FROM e
+), lv AS (
+  SELECT grp, 0 AS level, list(leaf ORDER BY place) AS nodes FROM p GROUP BY grp
+  UNION ALL SELECT grp, level + 1, [sha256(array_to_string(nodes[2 * k + 1 : 2 * k + 2], '')) FOR k IN range((len(nodes) + 1) // 2)] FROM lv WHERE len(nodes) > 1
+), s AS (
+  SELECT grp, max_by(nodes, level)[1] AS subroot, max(level) AS top FROM lv GROUP BY grp
+), g AS (
+  SELECT *, row_number() OVER (ORDER BY grp) - 1 AS place FROM s
+), tl AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM g
+  UNION ALL SELECT level + 1, [sha256(array_to_string(nodes[2 * k + 1 : 2 * k + 2], '')) FOR k IN range((len(nodes) + 1) // 2)] FROM tl WHERE len(nodes) > 1
+), around AS (
+  SELECT r, lv.level, p.place >> lv.level AS idx, nodes FROM p JOIN lv USING (grp) WHERE len(nodes) > 1
+  UNION ALL SELECT r, top + tl.level, g.place >> tl.level, nodes FROM p JOIN g USING (grp) CROSS JOIN tl WHERE len(nodes) > 1
+), sib AS (
+  SELECT r, level, CASE WHEN idx % 2 = 1 THEN 'L' || nodes[idx] ELSE 'R' || coalesce(nodes[idx + 2], '') END AS x FROM around
+), proofs AS (
+  SELECT r, list(x ORDER BY level) AS xs FROM sib GROUP BY r
+), f AS (
+  SELECT p.*, subroot, (SELECT max_by(nodes, level)[1] FROM tl) AS root, coalesce(xs, []) AS xs FROM p JOIN s USING (grp) LEFT JOIN proofs USING (r)
+), z AS (
+  SELECT *, list_reduce([claimed] || xs, lambda a, x: CASE WHEN x[1] = 'L' THEN sha256(x[2:] || a) ELSE sha256(a || x[2:]) END) AS folded_root FROM f
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string([x[2:] FOR x IN xs], '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM z
 """,
 }
