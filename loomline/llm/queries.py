@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import ann, bpe, exact_dedup, merkle, ngram_join, packing, quality, secret_scan, tool_calls, url_filter, warc
+from loomline.llm import ann, bpe, conversation_repair, exact_dedup, merkle, ngram_join, packing, quality, secret_scan, tool_calls, url_filter, warc
 from loomline.llm.common import table
 
 
@@ -79,6 +79,25 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
 
+def damaged_turns(rows: DataFrame) -> DataFrame:
+    """Conversations as op11 damages them: conv_id, turn, role, text; a null role or text is one space."""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(told("conv_id"), F.lit(":"), told("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(told("text"), "[.!?]", "")).otherwise(told("text"))
+    times = F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1))
+    left = rows.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(told("role")).alias("role"), text.alias("text"), kind.alias("kind"), times.alias("times"))
+    return left.where("kind <> 0").select("conv_id", "turn", "role", "text", F.explode("times").alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    out = conversation_repair.repair(damaged_turns(rows), conversation=F.col("conv_id"), turn=F.col("turn"), role=F.col("role"), text=F.col("text"))
+    every = rows.select("conv_id").distinct().withColumn("conversation", conversation_repair.named(F.col("conv_id")))
+    found = every.join(out.summary, "conversation", "left").join(out.digests(), "conversation", "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select("conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cells = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -101,12 +120,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_secret_scan": op9_secret_scan,
     "op10_ngram_join": op10_ngram_join,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_merkle": op13_merkle,
 }
 
 #: The unsigned CRC-32 of a short text, bit by bit.
 CRC32 = """xor(list_reduce([4294967295::UBIGINT] || flatten([[ord(c)::UBIGINT] || [256::UBIGINT FOR i IN range(8)] FOR c IN string_split({0}, '')]),
   lambda a, x: CASE WHEN x < 256 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END), 4294967295::UBIGINT)"""
+
+
+def _cheapest(*paths: str) -> str:
+    return f"list_sort([{', '.join(paths)}], 'ASC', 'NULLS LAST')[1]"
+
+
+def _edit(state: str, cost: str, initial: str, line: str = "") -> str:
+    """A path {c: cost, a: initials, t: repaired lines} after one more edit; null where the state isn't reached."""
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{initial}', 't': {state}.t{' || chr(10) || ' + line if line else ''}}} END"
+
+
+_KEEP = lambda s, x: f"CASE WHEN fault IS NULL OR fault = 'truncated' THEN CASE WHEN left(role, 1) = '{x}' THEN {_edit(s, 'more', 'K', 'role || chr(58) || text')} END END"
+_REROLE = lambda s, name: f"CASE WHEN fault IS NULL OR fault = 'truncated' THEN {_edit(s, '3 + more', 'R', repr(name + ':') + ' || text')} END"
+_DELETE = lambda s: _edit(s, "4", "D")
+_ASK, _ANSWER = (lambda s: _edit(s, "3", "I", "'user:'")), (lambda s: _edit(s, "3", "I", "'assistant:'"))
+#: A row's keep, rerole and delete for each state of (s?(ua)+)?, then insertions.
+_STEP = ", ".join(
+    f"{_cheapest(*paths)} AS s{k}"
+    for k, paths in enumerate(
+        (
+            [_DELETE("s0")],
+            [_DELETE("s1"), _KEEP("s0", "s")],
+            [_DELETE("s2"), *[f(s, x) for s in ("s0", "s1", "s3") for f, x in ((_KEEP, "u"), (_REROLE, "user"))]],
+            [_DELETE("s3"), _KEEP("s2", "a"), _REROLE("s2", "assistant")],
+        )
+    )
+)
 FRAMED = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || {0}, '-')"
 
 SQL: dict[str, str] = {
@@ -252,6 +299,39 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
        coalesce(owners, '') AS owners, coalesce(repositories, '') AS repositories
 FROM d LEFT JOIN by_row USING (r)
+""",
+    "op11_conversation_repair": rf"""
+WITH RECURSIVE o AS (
+  SELECT coalesce('=' || conv_id, '') AS g, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {CRC32.format("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS k FROM conversations
+), m AS (
+  SELECT g, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM o WHERE k <> 0
+), n AS (
+  SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST, copy) AS nth, lag(role) OVER w AS before
+  FROM m WINDOW w AS (PARTITION BY g ORDER BY turn NULLS FIRST, role, text, copy)
+), r AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+    WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    i > 1 AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS wrong FROM n
+), x AS (
+  SELECT *, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM r
+), f AS (
+  SELECT g, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS s0, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s1,
+         {{'c': 3::BIGINT, 'a': 'I', 't': chr(10) || 'user:'}} AS s2, {{'c': 6::BIGINT, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s3 FROM (SELECT DISTINCT g FROM x)
+  UNION ALL
+  SELECT g, i, s0, s1, s2, {_cheapest("s3", _ANSWER("s2"))} FROM (
+    SELECT g, i, s0, s1, {_cheapest("s2", _ASK("s0"), _ASK("s1"), _ASK("s3"))} AS s2, s3 FROM (
+      SELECT x.g, x.i, {_STEP} FROM f JOIN x ON x.g = f.g AND x.i = f.i + 1))
+), best AS (
+  SELECT f.g, {_cheapest("s0", "s3")} AS w FROM f JOIN (SELECT g, max(i) AS i FROM x GROUP BY g) z ON z.g = f.g AND z.i = f.i
+), c AS (
+  SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (wrong) AS illegal FROM x GROUP BY g
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(w.c, 0) AS cost, coalesce(w.a, '') AS audit, sha256(coalesce(w.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT g, conv_id FROM o) o LEFT JOIN c USING (g) LEFT JOIN best USING (g)
 """,
     "op13_merkle": f"""
 WITH RECURSIVE d AS (
