@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import ann, bpe, conversation_repair, exact_dedup, merkle, ngram_join, packing, quality, secret_scan, tool_calls, url_filter, warc
+from loomline.llm import ann, bpe, conversation_repair, exact_dedup, merkle, ngram_join, packing, quality, secret_scan, substring_dedup, tool_calls, url_filter, warc
 from loomline.llm.common import table
 
 
@@ -98,6 +98,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).documents.drop("n_paths")
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cells = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -121,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_ngram_join": op10_ngram_join,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_merkle": op13_merkle,
 }
 
@@ -332,6 +337,25 @@ WITH RECURSIVE o AS (
 SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
        coalesce(w.c, 0) AS cost, coalesce(w.a, '') AS audit, sha256(coalesce(w.t[2:], '')) AS repaired_sha256
 FROM (SELECT DISTINCT g, conv_id FROM o) o LEFT JOIN c USING (g) LEFT JOIN best USING (g)
+""",
+    "op12_substring_dedup": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), w AS (
+  SELECT r, doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d
+), k AS (
+  SELECT *, CASE WHEN lead(word, 12) OVER t IS NOT NULL THEN concat_ws(' ', word, {", ".join(f"lead(word, {n}) OVER t" for n in range(1, 13))}) END AS said FROM w WINDOW t AS (PARTITION BY r ORDER BY i)
+), s AS (
+  SELECT said, min({{'d': doc_id, 'i': i}}) AS src FROM k WHERE said IS NOT NULL GROUP BY said
+), f AS (
+  SELECT k.r, k.doc_id, k.word, k.i, src, coalesce(src.d < doc_id, false) AS late FROM k LEFT JOIN s USING (said)
+), c AS (
+  SELECT *, max(late) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone,
+         late AND NOT coalesce(lag(late) OVER t AND lag(src.d) OVER t = src.d AND lag(src.i) OVER t + 1 = src.i, false) AS fresh FROM f WINDOW t AS (PARTITION BY r ORDER BY i)
+), g AS (
+  SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (fresh) AS n_spans, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN g USING (r)
 """,
     "op13_merkle": f"""
 WITH RECURSIVE d AS (

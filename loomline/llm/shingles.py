@@ -45,13 +45,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _word_hashes(data: np.ndarray, cuts: np.ndarray, lower: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of texts laid end to end, each followed by a blank, and the number of words of each text."""
     blank = BLANK[data]
     edge = np.diff(blank.astype(np.int8), prepend=1, append=1)
     begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE[LOWER[data]] * _power("up", len(data)), out=sums[1:])
+    np.cumsum(BYTE[lower[data]] * _power("up", len(data)), out=sums[1:])
     words = mix((sums[end] - sums[begin]) * _power("down", len(data))[begin] + (end - begin).astype(np.uint64))
     return words, np.diff(np.searchsorted(begin, cuts), prepend=0)
 
