@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +34,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomline_path = path
     return out
@@ -50,6 +52,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver find the shuffle files that no plan needs any more; else they stay until its next large collection."""
+    for _ in range(2):  # what Python lets go of first can be collected the second time
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
     """A key unique to each row. Only stable once the result is materialised."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -13,10 +13,12 @@ and its first place there.
 3. A group meets its texts again. Windows with an earlier source are removed; those
    whose sources advance in step form spans, and the windows that a document is the
    source of form pieces, with their words.
-4. Pieces are cut where texts branch off or come in, and joined where one leads only
+4. Every span is verified against the words at its source coordinates. Hashes that
+   turn out to be shared by different windows are told to a second run, which names
+   the windows that have them by SHA-256.
+5. Pieces are cut where texts branch off or come in, and joined where one leads only
    to the other and that comes only from the one: nonbranching paths, found by
    pointer jumping in joins.
-5. Every span is verified against the words at its source coordinates.
 """
 
 from __future__ import annotations
@@ -32,18 +34,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.llm import shingles
-from loomline.llm.common import discard, materialise, no_text_as_empty, unused
+from loomline.llm.common import discard, free_shuffles, materialise, no_text_as_empty
 
 WIDTH = 13
-BUCKET_BYTES = 24 << 20  # of text, for a bucket of the hash range
+BUCKET_BYTES = 20 << 20  # of text, for a bucket of the hash range
 GROUP_BYTES, LEAST_SIZE = 8 << 20, 14  # a group's texts; texts below 2**14 bytes are one class
-FLUSH_BYTES = 12 << 20
+FLUSH_BYTES = 6 << 20
+SUSPECTS_MOST = 1 << 24  # hashes that different windows share, as a bound on what is broadcast
 AT_ONCE = 1 << 17  # words hashed at a time
 MISSING = np.iinfo(np.int64).max
 MORE = np.uint32(1 << 31)
 AS_THEY_ARE = np.arange(256, dtype=np.uint8)
-DOC = np.dtype([("size", "<i4"), ("part", "<i8"), ("id", "<i8"), ("mark", "<i8"), ("n", "<i4")])
-SOURCE = np.dtype([("id", "<i8"), ("mark", "<i8"), ("at", "<u4")])
+DOC = np.dtype([("size", "<i4"), ("part", "<i8"), ("id", "<i8"), ("mark", "<i4"), ("n", "<i4")])
+SOURCE = np.dtype([("id", "<i8"), ("mark", "<i4"), ("at", "<u4")])
 ENTRIES = "bucket int, docs binary, hashes binary, places binary"
 ANSWERS = "size int, part long, hashes binary, sources binary"
 
@@ -64,11 +67,29 @@ def _runs(new: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(cuts.tolist(), [*cuts[1:].tolist(), len(new)], strict=True)
 
 
-def window_hashes(texts: list[list[bytes]], width: int, bits: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(text, hashes of its windows in order) of texts as words; a long text comes in parts, in order.
+@dataclass(frozen=True)
+class Naming:
+    """How windows of ``width`` words are named: by a hash of so many bits (fewer than 64 for tests), by SHA-256 where that is one of the suspects (sorted)."""
 
-    ``bits`` below 64 weakens the hash, for tests.
-    """
+    width: int
+    bits: int = 64
+    suspects: object = None  # a broadcast array
+
+    def sure(self, names: np.ndarray, words: list[bytes]) -> np.ndarray:
+        """The names with those of suspects replaced."""
+        known = self.suspects.value if self.suspects is not None else ()
+        if not len(known) or not len(names):
+            return names
+        at = np.minimum(np.searchsorted(known, names), len(known) - 1)
+        out = names.copy()
+        for k in np.flatnonzero(known[at] == names).tolist():
+            out[k] = int.from_bytes(hashlib.sha256(b" ".join(words[k : k + self.width])).digest()[:8], "little")
+        return out
+
+
+def window_hashes(texts: list[list[bytes]], naming: Naming) -> Iterator[tuple[int, np.ndarray]]:
+    """(text, hashes of its windows in order) of texts as words; a long text comes in parts, in order."""
+    width = naming.width
     batch: list[tuple[int, int, int]] = []
 
     def hashed() -> Iterator[tuple[int, np.ndarray]]:
@@ -81,9 +102,9 @@ def window_hashes(texts: list[list[bytes]], width: int, bits: int) -> Iterator[t
             np.cumsum(one * up, out=sums[1:])
             n = len(one) - width + 1
             every = shingles.mix((sums[width:] - sums[:n]) * shingles._power("down", len(one))[:n]) if n > 0 else np.empty(0, np.uint64)
-            if bits < 64:
-                every &= np.uint64((1 << bits) - 1)
-                every = every << np.uint64(64 - bits)
+            if naming.bits < 64:
+                every = (every >> np.uint64(64 - naming.bits)) << np.uint64(64 - naming.bits)
+            every = naming.sure(every, words)
             at = 0
             for k, a, b in batch:
                 yield k, every[at : at + b - a - width + 1]
@@ -104,7 +125,7 @@ def window_hashes(texts: list[list[bytes]], width: int, bits: int) -> Iterator[t
     yield from hashed()
 
 
-def _edges(buckets: int, width: int, bits: int):
+def _edges(buckets: int, naming: Naming):
     """Entries for the buckets, from documents (size, part, id, mark, text) with rows of a group close together."""
 
     def entries(docs: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +133,7 @@ def _edges(buckets: int, width: int, bits: int):
         texts = [d[4].split() for d in docs]
         who, hashes, places = [], [], []
         parts: dict[int, int] = {}
-        for k, h in window_hashes(texts, width, bits):
+        for k, h in window_hashes(texts, naming):
             begin = parts.get(k, 0)
             who.append(np.full(len(h), k, np.uint32))
             hashes.append(h)
@@ -208,8 +229,9 @@ _PIECE = pa.struct([("start", pa.int64()), ("n", pa.int64()), ("words", pa.strin
 _MET = pa.schema([*[(c, pa.int64()) for c in ("doc_id", "mark", "n_words", "n_removed")], ("kept", pa.string()), ("kept_sha256", pa.string()), ("spans", pa.list_(_SPAN)), ("pieces", pa.list_(_PIECE))])
 
 
-def _meet(width: int, bits: int, keep_texts: bool):
+def _meet(naming: Naming, keep_texts: bool):
     """What becomes of a group's documents, given the answers to its edges."""
+    width = naming.width
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         hashes = [np.frombuffer(x.as_py(), np.uint64) for x in answers.column("hashes")]
@@ -221,7 +243,7 @@ def _meet(width: int, bits: int, keep_texts: bool):
         texts = [t.encode("utf-8", "surrogatepass").split() for t in docs.column("text").to_pylist()]
         found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
         begun = [0] * len(texts)
-        for k, h in window_hashes(texts, width, bits):
+        for k, h in window_hashes(texts, naming):
             if len(known):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 hit = np.flatnonzero(known[at] == h)
@@ -323,6 +345,51 @@ class Substrings:
     paths: DataFrame
 
 
+INTERVAL = ["source_id", "source_mark", "source_start", "n"]
+
+
+def _id() -> Column:
+    return F.coalesce("doc_id", F.lit(int(MISSING)))
+
+
+def _slice(words: str, begin: Column, n: Column) -> Column:
+    """n words of a text from one on."""
+    return F.array_join(F.slice(F.split(words, " "), (begin + 1).cast("int"), n.cast("int")), " ")
+
+
+def _found(grouped: DataFrame, buckets: int, naming: Naming, keep_texts: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents as MET, spans, pieces) of the grouped texts; rows that repeat have their spans and pieces once."""
+    entries = grouped.select("size", "part", "doc_id", "mark", "text").mapInArrow(_edges(buckets, naming), ENTRIES)
+    answers = materialise(entries.groupBy("bucket").applyInArrow(_answer, ANSWERS), "edge-sources", "zstd")
+    del entries
+    free_shuffles(grouped.sparkSession)
+    keys = ["size", "part"]
+    met = materialise(grouped.groupBy(*keys).cogroup(answers.groupBy(*keys)).applyInArrow(_meet(naming, keep_texts), MET), "met-texts", "zstd")
+    discard(answers)
+    free_shuffles(grouped.sparkSession)
+    spans = materialise(met.where("size(spans) > 0").select(_id().alias("id"), "doc_id", "mark", F.explode("spans").alias("s")).select("id", "doc_id", "mark", "s.*").distinct(), "spans")
+    pieces = materialise(met.where("size(pieces) > 0").select(_id().alias("id"), "mark", F.explode("pieces").alias("p")).select("id", "mark", "p.*").distinct(), "pieces")
+    return met, spans, pieces
+
+
+def _shared(spans: DataFrame, pieces: DataFrame, naming: Naming) -> np.ndarray:
+    """Hashes of windows in spans whose words aren't those at their source coordinates."""
+    asked = spans.groupBy(*INTERVAL).agg(F.min("digest").alias("digest"), F.max("digest").alias("other"))
+    whole = pieces.select(F.col("id").alias("source_id"), F.col("mark").alias("source_mark"), F.col("start").alias("begin"), F.col("n").alias("size"), "words")
+    within = (F.col("source_start") >= F.col("begin")) & (F.col("source_start") + F.col("n") <= F.col("begin") + F.col("size"))
+    held = asked.join(whole, ["source_id", "source_mark"]).where(within).withColumn("said", _slice("words", F.col("source_start") - F.col("begin"), F.col("n") + naming.width - 1))
+    wrong = held.where((F.col("digest") != F.col("other")) | (F.sha2(F.col("said").cast("binary"), 256) != F.col("digest"))).select("said")
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.encode("utf-8", "surrogatepass").split() for t in batch.column(0).to_pylist()]
+            every = np.concatenate([np.empty(0, np.uint64), *[h for _, h in window_hashes(texts, naming)]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(every).view(np.int64))], ["h"])
+
+    rows = wrong.distinct().mapInArrow(names, "h long").distinct().limit(SUSPECTS_MOST + 1).collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
+
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES, keep_texts: bool = False, bits: int = 64) -> Substrings:
     """Remove each word of a window that also starts in a document with a smaller id.
 
@@ -330,45 +397,37 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     long. A null text has no words. Windows are judged on the input. A null id counts
     as the largest, and rows that share an id remove nothing from each other; whole
     rows that repeat all give the same. An empty table gives no rows. Only the id and
-    the text are read. If two different windows share a hash, their spans fail
-    verification and the job stops; ``bits`` weakens the hash for tests of that.
+    the text are read. ``bits`` weakens the hash, for tests of what happens when
+    different windows share one.
     """
     text = no_text_as_empty(f"`{text_col}`")
-    bytes_ = F.octet_length(text)
-    size = F.greatest(F.lit(LEAST_SIZE), F.ceil(F.log2(bytes_ + 1))).cast("int")
+    size = F.greatest(F.lit(LEAST_SIZE), F.ceil(F.log2(F.octet_length(text) + 1))).cast("int")
     many = F.greatest(F.lit(1), F.floor(F.lit(GROUP_BYTES) / F.pow(F.lit(2.0), size))).cast("long")
-    flat = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), size.alias("size"), F.xxhash64(text).alias("mark"), many.alias("many"), F.monotonically_increasing_id().alias("row"))
-    grouped = materialise(flat.select("size", F.expr("row div many").alias("part"), "doc_id", "mark", "text"), "grouped-texts")
+    flat = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), size.alias("size"), F.hash(text, F.octet_length(text)).cast("long").alias("mark"), many.alias("many"), F.monotonically_increasing_id().alias("row"))
+    grouped = materialise(flat.select("size", F.expr("row div many").alias("part"), "doc_id", "mark", "text"), "grouped-texts", "zstd")
     total = grouped.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, math.ceil(total / bucket_bytes))
-    entries = grouped.select("size", "part", "doc_id", "mark", "text").mapInArrow(_edges(buckets, width, bits), ENTRIES)
-    answers = materialise(entries.groupBy("bucket").applyInArrow(_answer, ANSWERS), "edge-sources")
-    keys = ["size", "part"]
-    met = materialise(grouped.groupBy(*keys).cogroup(answers.groupBy(*keys)).applyInArrow(_meet(width, bits, keep_texts), MET), "met-texts")
-    discard(grouped, answers)
-    doc = F.coalesce("doc_id", F.lit(int(MISSING)))
-    spans = materialise(met.where("size(spans) > 0").select(doc.alias("id"), "doc_id", "mark", F.explode("spans").alias("s")).select("id", "doc_id", "mark", "s.*").distinct(), "spans")
-    pieces = materialise(met.where("size(pieces) > 0").select(doc.alias("id"), "mark", F.explode("pieces").alias("p")).select("id", "mark", "p.*").distinct(), "pieces")
+    buckets, suspects = max(1, math.ceil(total / bucket_bytes)), np.empty(0, np.uint64)
+    while True:
+        naming = Naming(width, bits, docs.sparkSession.sparkContext.broadcast(suspects) if len(suspects) else None)
+        met, spans, pieces = _found(grouped, buckets, naming, keep_texts)
+        shared = _shared(spans, pieces, naming)
+        if not len(shared):
+            break
+        if len(suspects) + len(shared) > SUSPECTS_MOST:
+            raise ValueError("more windows share a hash than can be told to all tasks")
+        suspects = np.union1d(suspects, shared)
+        discard(met, spans, pieces)
+    discard(grouped)
     parts = materialise(_paths(spans, pieces.select("id", "mark", "start", "n")), "paths")
-    interval = ["source_id", "source_mark", "source_start", "n"]
-    asked = spans.groupBy(*interval).agg(F.min("digest").alias("digest"), F.max("digest").alias("other"))
-    whole = pieces.select(F.col("id").alias("source_id"), F.col("mark").alias("source_mark"), F.col("start").alias("begin"), F.col("n").alias("size"), "words")
-    within = (F.col("source_start") >= F.col("begin")) & (F.col("source_start") + F.col("n") <= F.col("begin") + F.col("size"))
-    cut = F.slice(F.split("words", " "), (F.col("source_start") - F.col("begin") + 1).cast("int"), (F.col("n") + width - 1).cast("int"))
-    same = F.sha2(F.array_join(cut, " ").cast("binary"), 256)
-    held = asked.join(whole, ["source_id", "source_mark"]).where(within)
-    wrong = F.lit("windows that differ share a hash")
-    verified = held.withColumn("verified", F.when((F.col("digest") == F.col("other")) & (same == F.col("digest")), True).otherwise(F.raise_error(wrong).cast("boolean"))).where("verified").select(*interval)
     on = parts.select(F.col("id").alias("source_id"), F.col("mark").alias("source_mark"), F.col("start").alias("begin"), F.col("n").alias("size"), "path")
     meets = (F.col("begin") < F.col("source_start") + F.col("n")) & (F.col("begin") + F.col("size") > F.col("source_start"))
-    routed = verified.join(on, ["source_id", "source_mark"]).where(meets).groupBy(*interval).agg(F.array_sort(F.collect_set("path")).alias("paths"))
-    routed = materialise(spans.join(routed, interval, "left").withColumn("paths", F.when(F.col("paths").isNotNull(), F.col("paths")).otherwise(F.raise_error(wrong).cast("array<string>"))), "routed-spans")
+    routed = spans.select(*INTERVAL).distinct().join(on, ["source_id", "source_mark"]).where(meets).groupBy(*INTERVAL).agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    routed = materialise(spans.join(routed, INTERVAL), "routed-spans")
     counts = routed.groupBy("id", "mark").agg(F.count("*").alias("n_spans"), F.size(F.array_distinct(F.flatten(F.collect_list("paths")))).cast("long").alias("n_paths"))
-    named = unused(docs.select(f"`{id_col}`"), "n_words")[0]
-    shown = met.withColumn("id", doc).join(counts, ["id", "mark"], "left")
-    documents = shown.select(F.col("doc_id").alias(id_col), F.col("n_words").alias(named), "n_removed", "kept_sha256", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_spans", "n_paths")], *(["kept"] if keep_texts else []))
-    words = F.slice(F.split("p.words", " "), (F.col("q.start") - F.col("p.start") + 1).cast("int"), (F.col("q.n") + width - 1).cast("int"))
+    shown = met.withColumn("id", _id()).join(counts, ["id", "mark"], "left")
+    documents = shown.select(F.col("doc_id").alias(id_col), "n_words", "n_removed", "kept_sha256", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_spans", "n_paths")], *(["kept"] if keep_texts else []))
+    q, p = parts.alias("q"), pieces.alias("p")
     lies = (F.col("q.id") == F.col("p.id")) & (F.col("q.mark") == F.col("p.mark")) & (F.col("q.start") >= F.col("p.start")) & (F.col("q.start") < F.col("p.start") + F.col("p.n"))
-    paths = parts.alias("q").join(pieces.alias("p"), lies).select("q.path", "q.place", F.col("q.id").alias("source_id"), F.col("q.start").alias("source_start"), (F.col("q.n") + width - 1).alias("n_words"), F.array_join(words, " ").alias("words"))
+    paths = q.join(p, lies).select("q.path", "q.place", F.col("q.id").alias("source_id"), F.col("q.start").alias("source_start"), (F.col("q.n") + width - 1).alias("n_words"), _slice("p.words", F.col("q.start") - F.col("p.start"), F.col("q.n") + width - 1).alias("words"))
     found = routed.select(F.col("doc_id").alias(id_col), "start", (F.col("n") + width - 1).alias("n_words"), "source_id", "source_start", "paths")
     return Substrings(documents, found, paths)
