@@ -5,10 +5,15 @@ record passes when its version line, headers (folded ones too), length, trailer
 and digests hold. Digests are checked by the algorithm they name, in base32 or
 hexadecimal; one of an algorithm that isn't at hand is not. The payload is the
 block, or, of HTTP messages, the body; revisits name the payload of another
-record, so theirs is not checked. After a failed check it searches onward from the byte after the failed start for
-the next version line or gzip member that passes, goes on there, and reports the
-bytes between as a quarantined gap with the reason. Nothing else of a file is
-lost to a damaged record.
+record, so theirs is not checked. After a failed check it searches onward from the
+byte after the failed start for the next version line or gzip member that passes,
+goes on there, and reports the bytes between as a quarantined gap with the reason.
+Nothing else of a file is lost to a damaged record.
+
+A gzip member is inflated in steps. What came out before an error is read as any
+other content, so a file that is one damaged member gives the records before the
+damage; its rest is a gap from the last byte that could be inflated. Gaps inside a
+member have their place in the member's content, besides the member's own.
 """
 
 from __future__ import annotations
@@ -30,18 +35,37 @@ MEMBER = b"\x1f\x8b\x08"
 START = re.compile(rb"WARC/[0-9]\.[0-9]\r\n|\x1f\x8b\x08")
 VERSION = re.compile(rb"WARC/[0-9]\.[0-9]\r\n")
 
-RECORDS = "archive string, start long, length long, gap string, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, full_length long, payload binary"
+STEP = 1 << 16
+#: Bytes of content that are inflated of one member; what is beyond is a gap.
+MEMBER_BYTES = 1 << 30
+#: Digits of the largest length that is taken for one.
+DIGITS = 18
+
+RECORDS = "archive string, start long, length long, inner_start long, inner_length long, gap string, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, full_length long, payload binary"
 
 
 @dataclass
 class Found:
-    """A record at [start, end) of its file, or, with a gap reason, bytes set aside."""
+    """A record at [start, end) of its file, or, with a gap reason, bytes set aside; inner: the place in a member's content."""
 
     start: int
     end: int
     gap: str | None = None
     headers: dict[str, str] = field(default_factory=dict)
     payload: bytes | None = None
+    inner: tuple[int, int] | None = None
+
+    @property
+    def full_length(self) -> int | None:
+        """As stated for revisits, else that of the payload."""
+        if self.gap is not None:
+            return None
+        stated = self.headers.get("x-full-payload-length", "")
+        return int(stated) if _is_length(stated) else len(self.payload or b"")
+
+
+def _is_length(text: str) -> bool:
+    return text.isascii() and text.isdigit() and len(text) <= DIGITS
 
 
 def sha1_base32(data: bytes) -> str:
@@ -84,7 +108,7 @@ def _record(data: bytes, at: int) -> Found | str:
             headers[name] = value.decode("utf-8", "replace").strip()
         line = line_end + 2
     length = headers.get("content-length", "")
-    if not (length.isascii() and length.isdigit()):
+    if not _is_length(length):
         return "no content length"
     body = line + 2
     end = body + int(length)
@@ -103,48 +127,59 @@ def _record(data: bytes, at: int) -> Found | str:
     return Found(at, end + 4, headers=headers, payload=block)
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """The content and end of the gzip member at a place, or why there is none."""
-    engine = zlib.decompressobj(31)
-    try:
-        content = engine.decompress(memoryview(data)[at:])
-    except zlib.error:
-        return "corrupt member"
-    return (content, len(data) - len(engine.unused_data)) if engine.eof else "truncated member"
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """The content of the gzip member at a place, where it ends in the file, and what cut it short.
 
+    Of a damaged member: what came out before the error, and the byte after the
+    last one that was taken in.
+    """
+    engine, out, pos = zlib.decompressobj(31), [], at
+    step, size = STEP, 0
+    while not engine.eof and pos < len(data):
+        if size > MEMBER_BYTES:
+            return b"".join(out), pos, "member too large"
+        before = engine.copy()
+        try:
+            out.append(engine.decompress(data[pos : pos + step]))
+        except zlib.error:
+            if step == 1:
+                return b"".join(out), pos, "corrupt member"
+            engine, step = before, max(1, step // 16)  # the same bytes again, in shorter steps
+            continue
+        pos = min(pos + step, len(data)) - len(engine.unused_data)
+        size += len(out[-1])
+    return b"".join(out), pos, None if engine.eof else "truncated member"
 
-def _at(data: bytes, at: int) -> list[Found] | str:
-    """The records that begin at a place: one, or those of a gzip member."""
+
+def _at(data: bytes, at: int) -> tuple[list[Found], int, str | None]:
+    """The records that begin at a place (one, or those of a gzip member), where they end, and, if there is none or the rest is lost, why."""
     if not data.startswith(MEMBER, at):
         found = _record(data, at)
-        return found if isinstance(found, str) else [found]
-    member = _member(data, at)
-    if isinstance(member, str):
-        return member
-    content, end = member
+        return ([], at, found) if isinstance(found, str) else ([found], found.end, None)
+    content, end, why = _inflate(data, at)
     inside = list(salvage(content, nested=True))
     if not any(x.gap is None for x in inside):
-        return "member without a record"
-    return [Found(at, end, x.gap and f"in member: {x.gap}", x.headers, x.payload) for x in inside]
+        return [], at, why or "member without a record"
+    return [Found(at, end, x.gap and f"in member: {x.gap}", x.headers, x.payload, (x.start, x.end)) for x in inside], end, why
 
 
 def salvage(data: bytes, nested: bool = False) -> Iterator[Found]:
     """Every record of a file in order, and the gaps between them."""
     at, bad, why = 0, None, ""
     while at < len(data):
-        found = _at(data, at) if not (nested and data.startswith(MEMBER, at)) else "nested member"
-        if isinstance(found, str):
-            if bad is None:
-                bad, why = at, found
-            following = START.search(data, at + 1)
-            at = following.start() if following else len(data)
-            continue
-        if bad is not None:
+        found, end, wrong = _at(data, at) if not (nested and data.startswith(MEMBER, at)) else ([], at, "nested member")
+        if found and bad is not None:
             yield Found(bad, at, why)
             bad = None
         yield from found
-        at = found[-1].end
-    if bad is not None:
+        if wrong is None:
+            at = end
+            continue
+        if bad is None:
+            bad, why = end, wrong
+        following = START.search(data, max(end, at + 1))
+        at = following.start() if following else len(data)
+    if bad is not None:  # of no bytes where a member only lacks its end
         yield Found(bad, len(data), why)
 
 
@@ -157,19 +192,24 @@ def member(record: bytes) -> bytes:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records and gaps of the archives under a path; a gap row has its reason in ``gap`` and null in the record's columns.
 
+    start and length are the place in the file, for what a gzip member holds that of
+    the member (or of what could be inflated of it), and inner_start and inner_length
+    the place in the member's content. Lengths that are no number of at most 18
+    digits count as missing. Of a member no more than MEMBER_BYTES are inflated.
     Empty files give no rows, an empty folder none. Headers a record lacks are
     null, repeated ones count once, the last; records that repeat each give a row.
     A file is one task's work, so writers bound its size.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("archive", pa.string()), *((n, pa.int64()) for n in ("start", "length")), *((n, pa.string()) for n in ("gap", "record_type", "record_id", "target_uri", "refers_to", "payload_digest")), ("full_length", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("archive", pa.string()), *((n, pa.int64()) for n in ("start", "length", "inner_start", "inner_length")), *((n, pa.string()) for n in ("gap", "record_type", "record_id", "target_uri", "refers_to", "payload_digest")), ("full_length", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
             for archive, content in zip(batch.column(0), batch.column(1), strict=True):
                 out, size = [], 0
                 for x in salvage(content.as_py() or b""):
                     h = x.headers.get
-                    out.append((archive.as_py(), x.start, x.end - x.start, x.gap, h("warc-type"), h("warc-record-id"), h("warc-target-uri"), h("warc-refers-to"), h("warc-payload-digest"), int(h("x-full-payload-length") or len(x.payload or b"")) if x.gap is None else None, x.payload))
+                    begin, end = x.inner or (None, None)
+                    out.append((archive.as_py(), x.start, x.end - x.start, begin, None if end is None else end - begin, x.gap, h("warc-type"), h("warc-record-id"), h("warc-target-uri"), h("warc-refers-to"), h("warc-payload-digest"), x.full_length, x.payload))
                     size += len(x.payload or b"")
                     if size > 4 << 20 or len(out) >= 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema, strict=True)], schema=schema)
@@ -241,7 +281,12 @@ def write_archives(
 
 
 def archive_round_trip(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_from_bytes: int = 0) -> DataFrame:
-    """Write the pages to archives in the shared folder and read those back: one row per record, or per gap (none, unless a file was damaged)."""
+    """Write the pages to archives in the shared folder and read those back: one row per record, or per gap (none, unless a file was damaged).
+
+    Null payloads count as empty, empty ones are alike as any others; null ids,
+    repeated rows and ties are as ``write_archives`` has them, payloads and URLs of
+    any length are kept whole. An empty table gives no rows.
+    """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_archives(pages, path, id_col=id_col, url_col=url_col, payload_col=payload_col, revisit_from_bytes=revisit_from_bytes)

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 
 import pytest
 
@@ -35,6 +36,11 @@ def test_later_records_survive_damage_and_gaps_are_logged():
             broken = bytearray(whole)
             broken[at] ^= 0xFF
             out = found(bytes(broken))
+            if wrap is warc.member and at == starts[3] - 5:  # only the member's checksum: the record's own digest holds
+                assert [o[3] for o in out if o[0] is None] == [f"<urn:page:{k}>" for k in range(5)]
+                ((begin, end),) = [(o[1], o[2]) for o in out if o[0]]
+                assert at - 4 <= begin <= at and end == starts[3]
+                continue
             assert [o[3] for o in out if o[0] is None] == [f"<urn:page:{k}>" for k in (0, 1, 3, 4)]
             assert [(o[1], o[2]) for o in out if o[0]] == [(starts[2], starts[3])]
         # bytes lost, bytes put in, the file cut short
@@ -42,8 +48,87 @@ def test_later_records_survive_damage_and_gaps_are_logged():
         assert [o[3] for o in out if o[0] is None] == [f"<urn:page:{k}>" for k in (0, 2, 3, 4)]
         out = found(parts[0] + b"junk WARC/1.1\r\njunk" + b"".join(parts[1:]))
         assert len([o for o in out if o[0] is None]) == 5 and [(o[1], o[2]) for o in out if o[0]] == [(starts[1], starts[1] + 19)]
-        out = found(whole[:-9])
-        assert len([o for o in out if o[0] is None]) == 4 and out[-1][0] and out[-1][2] == len(whole) - 9
+        for lost, left in ((9, 4), (60, 4)) if wrap is bytes else ((9, 5), (60, 4)):  # nine bytes of a member are its checksum and an empty end
+            out = found(whole[:-lost])
+            assert len([o for o in out if o[0] is None]) == left and out[-1][0] and out[-1][2] == len(whole) - lost
+
+
+def noise(n: int, seed: int) -> bytes:
+    return random.Random(seed).randbytes(n)
+
+
+def test_what_a_damaged_member_held_before_the_damage():
+    """Fifty records in one member, a byte of it flipped or the file cut: those before come out, the rest is a gap from the place of the damage."""
+    parts = [record(k, noise(300, k)) for k in range(50)]
+    starts = [sum(map(len, parts[:k])) for k in range(51)]
+    whole = warc.member(b"".join(parts))
+    after = record(99, b"after")
+    for at in (len(whole) // 2, len(whole) * 9 // 10, len(whole) - 3):
+        broken = bytearray(whole + after)
+        broken[at] ^= 0x55
+        out = list(warc.salvage(bytes(broken)))
+        good = [x for x in out if x.gap is None]
+        kept = [int(x.headers["warc-record-id"][10:-1]) for x in good[:-1]]  # after the damage, too, where the stream could be read on
+        before = 50 * at // len(whole) - 3
+        assert kept[:before] == list(range(before)) and kept == sorted(set(kept))
+        assert good[-1].payload == b"after" and good[-1].start == len(whole)
+        assert [x.inner for x in good[:-1]] == [(starts[k], starts[k + 1]) for k in kept]
+        rest = [x for x in out if x.gap and x.inner is None]
+        assert [(x.gap, x.end) for x in rest] == [("corrupt member", len(whole))] and at - 40 <= rest[0].start <= len(whole)
+    cut = list(warc.salvage(whole[: len(whole) * 9 // 10]))
+    assert 42 <= sum(x.gap is None for x in cut) <= 46 and all(x.end == len(whole) * 9 // 10 for x in cut)
+
+
+def test_gaps_inside_a_member_have_their_own_place():
+    parts = [record(0, b"first"), record(1, b"second").replace(b"second", b"2econd"), record(2, b"third")]
+    out = list(warc.salvage(record(9, b"x") + warc.member(b"".join(parts))))
+    inner = [(x.gap, x.inner) for x in out[1:]]
+    a, b = len(parts[0]), len(parts[0] + parts[1])
+    assert inner == [(None, (0, a)), ("in member: block digest differs", (a, b)), (None, (b, b + len(parts[2])))] and len({(x.start, x.end) for x in out[1:]}) == 1
+
+
+def test_absurd_lengths_are_gaps(spark, tmp_path):
+    bad = [record(0, b"a").replace(b"Content-Length: 1", b"Content-Length: " + n) for n in (b"9" * 5000, b"-1", b"1e3", "\u0661".encode(), b"", b"9" * 18)]
+    stated = record(1, b"ab").replace(b"Content-Length", b"X-Full-Payload-Length: " + b"9" * 5000 + b"\r\nX-Other: \xff\r\nContent-Length")
+    (tmp_path / "a.warc").write_bytes(b"".join(bad) + stated + warc.member(stated))
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    assert [(r.record_id, r.full_length, r.inner_start) for r in rows if r.gap is None] == [("<urn:page:1>", 2, None), ("<urn:page:1>", 2, 0)]
+    assert sum(r.length for r in rows if r.gap) == sum(map(len, bad))
+
+
+def test_members_are_inflated_within_a_bound(monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1 << 20)
+    bomb = warc.member(record(0, b"a") + b"\x00" * (200 << 20))
+    out = found(bomb + record(1, b"b"))
+    assert [o[3] for o in out if o[0] is None] == ["<urn:page:0>", "<urn:page:1>"] and "member too large" in {o[0] for o in out}
+
+
+def test_two_thousand_random_damages():
+    pick = random.Random(4)
+    bodies = [noise(pick.randint(0, 120), k) if k % 2 else b"text " * pick.randint(0, 40) for k in range(12)]
+    forms = [b"".join(record(k, b) for k, b in enumerate(bodies)), b"".join(warc.member(record(k, b)) for k, b in enumerate(bodies)), warc.member(b"".join(record(k, b) for k, b in enumerate(bodies)))]
+    for _ in range(2000):
+        data = bytearray(pick.choice(forms))
+        for _ in range(pick.randint(1, 4)):
+            at = pick.randrange(len(data))
+            what = pick.randrange(4)
+            if what == 0:
+                data[at] = pick.randrange(256)
+            elif what == 1:
+                del data[at : at + pick.randint(1, 60)]
+            elif what == 2:
+                data[at:at] = noise(pick.randint(1, 30), at)
+            else:
+                data[at:at] = pick.choice([b"\x1f\x8b\x08", b"WARC/1.1\r\n", b"\r\n\r\n", b"Content-Length: 99999999999999999999\r\n"])
+            data = data or bytearray(b"x")
+        end = 0
+        for x in warc.salvage(bytes(data)):  # what is found covers the file in order
+            if x.inner is None or x.start >= end:
+                assert x.start == end
+                end = x.end
+            if x.gap is None:
+                assert x.payload in bodies or "warc-block-digest" not in x.headers
+        assert end == len(data)
 
 
 def test_stated_lengths_that_lie():
