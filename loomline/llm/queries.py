@@ -182,7 +182,7 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """,
     "op4_url_filter": r"""
-WITH u AS (
+WITH RECURSIVE u AS (
   SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url FROM pages
 ), h AS (
   SELECT r, page_id, url,
@@ -210,25 +210,18 @@ WITH u AS (
   SELECT count(*) AS urls FROM v WHERE fixed IS NOT NULL
 ), singles AS (
   SELECT token, count(*) FILTER (fixed = 'block') AS blocked, count(*) AS every FROM t WHERE fixed IS NOT NULL GROUP BY token
-), one AS (
-  SELECT token FROM singles, n WHERE blocked >= ceil(0.01 * urls) AND blocked / every >= 0.8
-), frequent AS (
-  SELECT t.* FROM t JOIN singles s USING (token), n WHERE fixed IS NOT NULL AND s.blocked >= ceil(0.01 * urls) AND token NOT IN (FROM one)
-), pairs AS (
-  SELECT a.token AS a, b.token AS b, count(*) FILTER (a.fixed = 'block') AS blocked, count(*) AS every
-  FROM frequent a JOIN frequent b ON a.r = b.r AND a.token < b.token GROUP BY ALL
-), two AS (
-  SELECT a, b FROM pairs, n WHERE blocked >= ceil(0.01 * urls) AND blocked / every >= 0.8
-), left_over AS (
-  SELECT a, b FROM pairs, n WHERE blocked >= ceil(0.01 * urls) AND blocked / every < 0.8
-), triples AS (
-  SELECT p.a, p.b, z.token AS c, count(*) FILTER (x.fixed = 'block') AS blocked, count(*) AS every
-  FROM left_over p JOIN frequent x ON x.token = p.a JOIN frequent y ON y.token = p.b AND y.r = x.r JOIN frequent z ON z.r = x.r AND z.token > p.b GROUP BY ALL
-), three AS (
-  SELECT a, b, c FROM triples t, n WHERE blocked >= ceil(0.01 * urls) AND blocked / every >= 0.8
-  AND NOT EXISTS (SELECT 1 FROM two WHERE two.b = t.c AND two.a IN (t.a, t.b))
+), labelled AS (
+  SELECT r, any_value(fixed) AS fixed, list(token) AS tokens FROM t JOIN singles USING (token), n WHERE fixed IS NOT NULL AND blocked >= ceil(0.01 * urls) AND blocked / every < 0.8 GROUP BY r
+), grown AS (
+  SELECT [token] AS items, blocked, every FROM singles, n WHERE blocked >= ceil(0.01 * urls)
+  UNION ALL
+  SELECT items, blocked, every FROM (
+    SELECT list_append(g.items, x.token) AS items, count(*) FILTER (fixed = 'block') AS blocked, count(*) AS every
+    FROM grown g JOIN labelled l ON list_has_all(l.tokens, g.items), unnest(l.tokens) AS x(token)
+    WHERE g.blocked / g.every < 0.8 AND x.token > g.items[-1] GROUP BY 1), n
+  WHERE blocked >= ceil(0.01 * urls)
 ), rules AS (
-  SELECT row_number() OVER () AS k, items FROM (SELECT [token] AS items FROM one UNION ALL SELECT [a, b] FROM two UNION ALL SELECT [a, b, c] FROM three)
+  SELECT row_number() OVER () AS k, items FROM grown WHERE blocked / every >= 0.8
 ), hit AS (
   SELECT DISTINCT t.r FROM t JOIN (SELECT k, len(items) AS needed, unnest(items) AS token FROM rules) USING (token) GROUP BY t.r, k, needed HAVING count(*) = needed
 )

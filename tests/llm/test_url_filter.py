@@ -1,6 +1,8 @@
+import random
 import time
 from itertools import combinations, product
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomline.llm import queries, url_filter
@@ -76,6 +78,45 @@ def test_a_rule_of_three_tokens(spark):
     assert {r.page_id: r.verdict for r in url_filter.judge_urls(pages, [], labelled=labelled).collect()} == {1: "block", 2: "allow", 3: "block"}
 
 
+@pytest.mark.parametrize("n", [4, 6, 13])
+def test_longer_rules(spark, n):
+    """Blocked only where n tokens meet: any n - 1 of them are allowed more often than not."""
+    parts = [f"p{chr(97 + k)}" for k in range(n)]
+    rows = [("http://x.net/" + "/".join(parts), "block")] * 30 + [("http://x.net/" + "/".join(parts[:k] + parts[k + 1 :]), "allow") for k in range(n) for _ in range(9)]
+    labelled = spark.createDataFrame(rows, "url string, verdict string")
+    table = labelled.select(url_filter.url_tokens(F.col("url")).alias("tokens"), "verdict")
+    assert [r.items for r in url_filter.mine_rules(table)] == [tuple((f"p:{p}",) for p in parts)]
+    assert url_filter.mine_rules(table, max_tokens=n - 1) == []
+    pages = frame(spark, [(1, "http://y.net/x/" + "/".join(parts[::-1])), (2, "http://y.net/" + "/".join(parts[1:])), (3, rows[0][0])])
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(pages, [], labelled=labelled).collect()} == {1: "block", 2: "allow", 3: "block"}
+
+
+def test_random_rules_against_all_subsets(spark):
+    pick = random.Random(3)
+    tokens = [f"t{k}" for k in range(9)]
+    rows = []
+    for _ in range(250):
+        held = sorted(pick.sample(tokens, pick.randint(0, 8)))
+        rows.append((held, None if pick.random() < 0.05 else "block" if {"t0", "t1", "t2", "t3"} <= set(held) or pick.random() < 0.25 else "allow"))
+    known = [(frozenset(t), v == "block") for t, v in rows if v]
+    want = {}
+    for size in range(1, 10):
+        for rule in map(frozenset, combinations(tokens, size)):
+            hit = [b for t, b in known if rule <= t]
+            if sum(hit) >= 0.02 * len(known) and sum(hit) / len(hit) >= 0.7 and not any(w < rule for w in want):
+                want[rule] = sum(hit) / len(hit)
+    mined = url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), min_support=0.02, min_confidence=0.7)
+    got = {frozenset(c): r.confidence for r in mined for c in product(*r.items)}
+    assert got == want and max(map(len, want)) >= 4
+
+
+def test_many_rules_match_by_a_table(spark):
+    rules = [url_filter.TokenRule(((f"p:a{k}", f"p:alias{k}"), (f"p:b{k}",)), 1.0, 0.1) for k in range(3000)]
+    urls = spark.createDataFrame([("u1", ["p:a7", "p:b7"]), ("u2", ["p:a7", "p:b8"]), ("u3", ["p:alias2999", "x", "p:b2999"]), ("u4", ["p:a1", "p:alias1"]), ("u5", [])], "url string, tokens array<string>")
+    for few in (10, 100_000):
+        assert {r.url for r in url_filter.matching(urls, rules, broadcast_rows=few).collect()} == {"u1", "u3"}
+
+
 def test_repeated_long_urls(spark):
     """A URL of 40 segments in one row of a hundred, blocked in some and allowed in others, and variants of it that each lack a segment."""
     long = [f"s{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
