@@ -7,6 +7,10 @@ needed within components of articles that match at all: pairs above the
 threshold come from tiled products of what windows hold, followed as far as
 matches lead, the fold runs in each component on its own,
 and what counts all stories in a window is joined to the result afterwards.
+
+Articles may come in batches. Of what is stored a batch needs each story's seed
+and interval, and only of stories that its times can reach; those start the fold
+of the components that they match into, and only stories with new members change.
 """
 
 from __future__ import annotations
@@ -72,8 +76,8 @@ def _meet(seeds: DataFrame, articles: DataFrame, threshold: float, tile: int) ->
     return settle(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_multiply(threshold), "a long, b long, similarity double, at_ms long"))
 
 
-def _matching_pairs(articles: DataFrame, threshold: float, window_ms: int, include_unknown: bool, tile: int) -> DataFrame:
-    """(a, b, similarity) with a before b, of all that can meet in a window, and some more.
+def _matching_pairs(articles: DataFrame, seeds: DataFrame, threshold: float, window_ms: int, include_unknown: bool, tile: int) -> DataFrame:
+    """(a, b, similarity) of seeds (seq, first_ms, last_ms, vector) before articles, of all that can meet in a window, and some more.
 
     All members of a story match its seed, so a seed's story reaches as far as
     the articles that match the seed lead, a window each. A seed first meets the
@@ -83,19 +87,17 @@ def _matching_pairs(articles: DataFrame, threshold: float, window_ms: int, inclu
     looked at again. Where unknown times take part, all meet all.
     """
     if include_unknown:
-        placed = articles.withColumn("bucket", F.lit(0))
-        return _meet(placed.select("bucket", "seq", "vector"), placed, threshold, tile).drop("at_ms")
-    width, at = max(1, window_ms), F.col("at_ms")
+        return _meet(seeds.select(F.lit(0).alias("bucket"), "seq", "vector"), articles.withColumn("bucket", F.lit(0)), threshold, tile).drop("at_ms")
+    width = max(1, window_ms)
     bucket = lambda ms: F.floor(ms / width)
-    placed = settle(articles.where("at_ms IS NOT NULL").select("seq", "at_ms", "vector", bucket(at).alias("bucket")))
+    placed = settle(articles.where("at_ms IS NOT NULL").select("seq", "at_ms", "vector", bucket(F.col("at_ms")).alias("bucket")))
     used = placed.select("bucket").distinct()
     # low and high are the buckets met so far, first and last the times reached
-    state = placed.select("seq", at.alias("first"), at.alias("last"), bucket(at - window_ms).alias("low"), bucket(at + window_ms).alias("high"))
+    state = settle(seeds.where("first_ms IS NOT NULL").select("seq", F.col("first_ms").alias("first"), F.col("last_ms").alias("last"), bucket(F.col("first_ms") - window_ms).alias("low"), bucket(F.col("last_ms") + window_ms).alias("high")))
     wanted = state.select("seq", F.explode(F.sequence("low", "high")).alias("bucket"))
     found = None
     while True:
-        seeds = wanted.join(used, "bucket").join(placed.select("seq", "vector"), "seq")
-        new = _meet(seeds, placed, threshold, tile)
+        new = _meet(wanted.join(used, "bucket").join(seeds.select("seq", "vector"), "seq"), placed, threshold, tile)
         found = new if found is None else found.unionByName(new)
         ends = new.groupBy(F.col("a").alias("seq")).agg(F.min("at_ms").alias("f"), F.max("at_ms").alias("l"))
         grown = state.join(ends, "seq").select("seq", "low", "high", F.least("first", "f").alias("first"), F.greatest("last", "l").alias("last"))
@@ -108,9 +110,9 @@ def _matching_pairs(articles: DataFrame, threshold: float, window_ms: int, inclu
         state = grown.select("seq", "first", "last", F.col("down").alias("low"), F.col("up").alias("high"))
 
 
-def fold(rows: list[tuple[int, int | None]], similar: dict[tuple[int, int], float], window_ms: int, include_unknown: bool) -> list[tuple[int, int, float | None, int, list[int]]]:
-    """(seq, story seed's seq, score, matching, matching seeds) for rows (seq, at_ms) in arrival order."""
-    stories: dict[int, list] = {}
+def fold(rows: list[tuple[int, int | None]], similar: dict[tuple[int, int], float], window_ms: int, include_unknown: bool, stored: dict[int, list] | None = None) -> list[tuple[int, int, float | None, int, list[int]]]:
+    """(seq, story seed's seq, score, matching, matching seeds) for rows (seq, at_ms) in arrival order; stored: the intervals of stories that are there."""
+    stories: dict[int, list] = dict(stored or {})
     out = []
     for seq, at in rows:
         matches = []
@@ -133,46 +135,87 @@ def fold(rows: list[tuple[int, int | None]], similar: dict[tuple[int, int], floa
     return out
 
 
-def cluster(articles: DataFrame, window_ms: int, *, threshold: float = MATCH_THRESHOLD, include_unknown: bool = False, tile: int = 1024) -> DataFrame:
+def cluster(articles: DataFrame, window_ms: int, *, threshold: float = MATCH_THRESHOLD, include_unknown: bool = False, tile: int = 1024, stories: DataFrame | None = None) -> DataFrame:
     """One row per article: seq, article_id, kind SEED|MATCHED, story_seq, reason, score, considered, matching, matching_seqs, at_ms.
 
     articles: seq (arrival, distinct long), article_id, at_ms (null: unknown),
     vector. A story is named by its seed's seq; story_id of it is a hash of the
     seed's article id, so that a rerun gives the same. A component is folded in
-    one task.
+    one task. stories: those of earlier batches, as ``story_state`` has them; all
+    articles come after all of their members.
     """
     articles = settle(articles.select("seq", "article_id", F.col("at_ms").cast("long").alias("at_ms"), "vector"))
-    pairs = settle(_matching_pairs(articles, threshold, window_ms, include_unknown, tile))
+    seeds = articles.select("seq", F.col("at_ms").alias("first_ms"), F.col("at_ms").alias("last_ms"), "vector")
+    old = None
+    if stories is not None:
+        old = settle(_in_reach(stories, articles, window_ms, include_unknown).select(F.col("story_seq").alias("seq"), "first_ms", "last_ms", "vector"))
+        seeds = old.unionByName(seeds)
+    pairs = settle(_matching_pairs(articles, seeds, threshold, window_ms, include_unknown, tile))
     touched = components(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), pairs)
-    members = settle(articles.select("seq", "at_ms").join(touched.withColumnRenamed("node", "seq"), "seq").select("component", "seq", "at_ms"))
+    rows = articles.select("seq", "at_ms", F.col("at_ms").alias("last_ms"), F.lit(False).alias("stored"))
+    if old is not None:
+        rows = rows.unionByName(old.select("seq", F.col("first_ms").alias("at_ms"), "last_ms", F.lit(True).alias("stored")))
+    members = settle(rows.join(touched.withColumnRenamed("node", "seq"), "seq").select("component", "seq", "at_ms", "last_ms", "stored"))
     of_pairs = settle(pairs.join(touched.withColumnRenamed("node", "a"), "a").select("component", "a", "b", "similarity"))
 
     def run(key, rows, edges):
         rows = rows.sort_values("seq")
-        times = [None if pd.isna(t) else int(t) for t in rows["at_ms"]]
+        ms = lambda times: [None if pd.isna(t) else int(t) for t in times]
+        before = rows[rows["stored"]]
+        stored = {s: [f, t] for s, f, t in zip(before["seq"].tolist(), ms(before["at_ms"]), ms(before["last_ms"]), strict=True)}
+        rows = rows[~rows["stored"]]
+        times = ms(rows["at_ms"])
         similar = dict(zip(zip(edges["a"].tolist(), edges["b"].tolist(), strict=True), edges["similarity"].tolist(), strict=True))
-        return pd.DataFrame(fold(list(zip(rows["seq"].tolist(), times, strict=True)), similar, window_ms, include_unknown), columns=["seq", "story_seq", "score", "matching", "matching_seqs"])
+        return pd.DataFrame(fold(list(zip(rows["seq"].tolist(), times, strict=True)), similar, window_ms, include_unknown, stored), columns=["seq", "story_seq", "score", "matching", "matching_seqs"])
 
     folded = settle(members.groupBy("component").cogroup(of_pairs.groupBy("component")).applyInPandas(run, "seq long, story_seq long, score double, matching long, matching_seqs array<long>"))
     placed = articles.select("seq", "article_id", "at_ms").join(folded, "seq", "left")
     placed = settle(placed.withColumns({"story_seq": F.coalesce("story_seq", "seq"), "matching": F.coalesce("matching", F.lit(0)), "matching_seqs": F.coalesce("matching_seqs", F.array().cast("array<long>"))}))
-    considered = _considered(placed, window_ms, include_unknown)
+    considered = _considered(placed, old, window_ms, include_unknown)
     out = placed.join(considered, "seq", "left").withColumn("considered", F.coalesce("considered", F.lit(0)))
     seeded = F.col("story_seq") == F.col("seq")
     reason = F.when(~seeded, MATCH_REASON).when(F.col("considered") == 0, "no-candidates").when(F.col("matching") == 0, "no-matching-candidates").otherwise("ambiguous-matching-candidates")
     return out.select("seq", "article_id", F.when(seeded, "SEED").otherwise("MATCHED").alias("kind"), "story_seq", reason.alias("reason"), "score", "considered", "matching", "matching_seqs", "at_ms")
 
 
-def _considered(placed: DataFrame, window_ms: int, include_unknown: bool) -> DataFrame:
+def _in_reach(stories: DataFrame, articles: DataFrame, window_ms: int, include_unknown: bool) -> DataFrame:
+    """The stored stories whose intervals a batch's times can reach; a story beyond it gets no member, so it can't come into reach later."""
+    if include_unknown:
+        return stories
+    low, high = articles.agg(F.min("at_ms"), F.max("at_ms")).first()
+    if low is None:
+        return stories.limit(0)
+    return stories.where((F.col("last_ms") >= low - window_ms) & (F.col("first_ms") <= high + window_ms))
+
+
+def story_state(clustered: DataFrame, articles: DataFrame, stories: DataFrame | None = None) -> DataFrame:
+    """(story_seq, article_id, first_ms, last_ms, members, vector) of the stories that a batch seeded or gave members; stories: the ones before."""
+    spans = clustered.groupBy("story_seq").agg(F.min("at_ms").alias("f"), F.max("at_ms").alias("l"), F.count("*").alias("n"))
+    new = spans.join(articles.select(F.col("seq").alias("story_seq"), "article_id", "vector"), "story_seq").select("story_seq", "article_id", F.col("f").alias("first_ms"), F.col("l").alias("last_ms"), F.col("n").alias("members"), "vector")
+    if stories is None:
+        return new
+    grown = stories.join(spans, "story_seq").select("story_seq", "article_id", F.least("first_ms", "f").alias("first_ms"), F.greatest("last_ms", "l").alias("last_ms"), (F.col("members") + F.col("n")).alias("members"), "vector")
+    return new.unionByName(grown)
+
+
+def _considered(placed: DataFrame, old: DataFrame | None, window_ms: int, include_unknown: bool) -> DataFrame:
     """(seq, considered): how many stories were in an article's window when it came.
 
     A story's interval has a version for each member, valid for the articles
-    from the one after it to the next member. Versions and articles meet on time
-    buckets.
+    from the one after it to the next member; that of a stored story is its first
+    version. Of neighbouring versions that are equal one is kept, so that a member
+    that doesn't move the interval costs nothing. Versions and articles meet on
+    time buckets.
     """
     by_story = Window.partitionBy("story_seq").orderBy("seq")
     so_far = by_story.rowsBetween(Window.unboundedPreceding, 0)
-    versions = placed.select("story_seq", F.col("seq").alias("since"), F.lead("seq").over(by_story).alias("until"), F.min("at_ms").over(so_far).alias("first_ms"), F.max("at_ms").over(so_far).alias("last_ms"))
+    told = placed.select("story_seq", "seq", F.col("at_ms").alias("f"), F.col("at_ms").alias("l"))
+    if old is not None:
+        told = told.unionByName(old.select(F.col("seq").alias("story_seq"), "seq", F.col("first_ms").alias("f"), F.col("last_ms").alias("l")))
+    every = told.select("story_seq", "seq", F.min("f").over(so_far).alias("first_ms"), F.max("l").over(so_far).alias("last_ms"))
+    before = lambda c: F.lag(c).over(by_story)
+    moved = every.withColumn("moved", before("seq").isNull() | ~before("first_ms").eqNullSafe(F.col("first_ms")) | ~before("last_ms").eqNullSafe(F.col("last_ms"))).where("moved")
+    versions = moved.select("story_seq", F.col("seq").alias("since"), F.lead("seq").over(by_story).alias("until"), "first_ms", "last_ms")
     a = placed.select("seq", "at_ms")
     valid = (F.col("since") < F.col("seq")) & (F.col("until").isNull() | (F.col("seq") <= F.col("until")))
     width = max(1, window_ms)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions.similarity import cosine, norm
 from loomline.operators import candidates, clustering, evaluation, integrity, readmodels
+from loomline.operators.graph import settle
 from loomline.plans.common import at_ms, table
 
 WINDOW_MS = 600_000
@@ -73,6 +74,23 @@ def story_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"score": F.round("score", 6), "matching_seqs": F.array_join(F.col("matching_seqs").cast("array<string>"), ",")})
 
 
+def story_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clustering in four batches of arrivals, each with the stories that the ones before left."""
+    v = table(spark, sf_dir, "embeddings")
+    articles = settle(v.select(F.col("vec_id").alias("seq"), F.concat(F.lit("a"), F.col("vec_id").cast("string")).alias("article_id"), at_ms(F.col("vec_id")).alias("at_ms"), F.col("embedding").cast("array<double>").alias("vector")))
+    ends = articles.agg(F.min("seq"), F.max("seq")).first()
+    low, high = ends[0] or 0, ends[1] or 0
+    cuts = [low + (high + 1 - low) * k // 4 for k in range(5)]
+    out, stories = None, None
+    for begin, end in zip(cuts, cuts[1:], strict=False):
+        batch = articles.where((F.col("seq") >= begin) & (F.col("seq") < end))
+        rows = settle(clustering.cluster(batch, DAY_MS, threshold=THRESHOLD, stories=stories))
+        changed = clustering.story_state(rows, batch, stories)
+        stories = settle(changed if stories is None else stories.join(changed, "story_seq", "left_anti").unionByName(changed))
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumns({"score": F.round("score", 6), "matching_seqs": F.array_join(F.col("matching_seqs").cast("array<string>"), ",")})
+
+
 def story_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     clustered = _clustered(spark, sf_dir)
     stories, _ = clustering.story_tables(clustered, clustered.select("article_id", F.concat(F.lit("Title of "), F.col("article_id")).alias("title")))
@@ -140,7 +158,7 @@ def enum_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "candidate_window_join": candidate_window_join, "candidate_decisions": candidate_decisions, "cosine_pairs": vector_pairs, "match_decisions": match_decisions, "cluster_assignment": cluster_assignment,
-    "story_clustering": story_clustering, "story_tables": story_tables, "story_integrity": story_integrity, "recent_top_k": recent_top_k, "list_with_member_count": list_with_member_count, "recent_stories": recent_stories,
+    "story_clustering": story_clustering, "story_batches": story_batches, "story_tables": story_tables, "story_integrity": story_integrity, "recent_top_k": recent_top_k, "list_with_member_count": list_with_member_count, "recent_stories": recent_stories,
     "detail_join": detail_join, "latest_per_key": latest_per_key, "integrity_violations": integrity_violations, "json_canonical": json_canonical, "enum_names": enum_names,
 }
 
@@ -221,3 +239,4 @@ UNION ALL SELECT 'price-above-1000', CAST(o_orderkey AS VARCHAR) FROM orders WHE
     "json_canonical": """SELECT event_id, '{"props":' || replace(props, ' ', '') || ',"z":{"a":"' || event_type || '","b":1}}' AS canonical FROM events""",
     "enum_names": "SELECT event_id, 'CRITERIA_' || upper(event_type) AS stored, 'criteria-' || event_type AS shown FROM events",
 }
+SQL["story_batches"] = SQL["story_clustering"]  # however the arrivals are cut

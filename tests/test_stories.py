@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.operators import candidates, clustering, evaluation, integrity, metrics, readmodels, research
+from loomline.operators.graph import settle
 
 HOUR = 3_600_000
 
@@ -70,6 +71,29 @@ def test_clustering_is_the_sequential_fold(spark, seed, unknown, tile):
     assert integrity.story_violations(stories, broken).count() > 0
 
 
+@pytest.mark.parametrize("seed,unknown,cuts", [(1, False, [20, 21, 50]), (5, False, [1, 35]), (3, True, [30])])
+def test_any_cut_into_batches_gives_the_same(spark, seed, unknown, cuts):
+    rng = random.Random(seed)
+    vectors = np.random.default_rng(seed).normal(size=(70, 3))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    rows = [(k, None if rng.random() < 0.15 else rng.randrange(0, 40 * HOUR)) for k in range(70)]
+    df = spark.createDataFrame([(k, f"a{k}", at, vectors[k].tolist()) for k, at in rows], "seq long, article_id string, at_ms long, vector array<double>")
+    got, stories = [], None
+    for begin, end in zip([0, *cuts], [*cuts, 70], strict=True):
+        batch = df.where((F.col("seq") >= begin) & (F.col("seq") < end))
+        out = settle(clustering.cluster(batch, 3 * HOUR, threshold=0.8, include_unknown=unknown, stories=stories))
+        got += [(r.seq, r.kind, r.story_seq, r.considered, r.matching, list(r.matching_seqs)) for r in out.collect()]
+        changed = clustering.story_state(out, batch, stories)
+        assert {r.story_seq for r in changed.collect()} == {r.story_seq for r in out.collect()}
+        stories = settle(changed if stories is None else stories.join(changed, "story_seq", "left_anti").unionByName(changed))
+    assert sorted(got) == plain(rows, vectors, 3 * HOUR, 0.8, unknown)
+    ends = {}
+    for seq, _, story, *_ in got:
+        ends.setdefault(story, []).append(dict(rows)[seq])
+    known = lambda times: [t for t in times if t is not None]
+    assert {r.story_seq: (r.first_ms, r.last_ms, r.members) for r in stories.collect()} == {s: (min(known(t), default=None), max(known(t), default=None), len(t)) for s, t in ends.items()}
+
+
 #: Pair, same story, similarity. Fixed values of the labelled corpus.
 PAIRS = [
     ("launch-a/launch-b", True, 0.9612596698126078), ("launch-a/launch-c", True, 0.8453712585852343), ("launch-b/launch-c", True, 0.8325554391135136), ("acquisition-a/acquisition-b", True, 0.8569538750437123),
