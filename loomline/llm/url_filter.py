@@ -224,7 +224,7 @@ def judge_urls(
     if mined:
         others = judged.where("fixed IS NULL AND url IS NOT NULL").select("url").distinct()
         hits = matching(others.withColumn("tokens", url_tokens(F.col("url"))), mined).select(F.col("url").alias("hit"))
-        judged = judged.join(hits, F.when(F.col("fixed").isNull(), F.col("url")) == F.col("hit"), "left")
+        judged = judged.join(hits, judged["url"] == hits["hit"], "left")  # URLs that a fixed rule judges have no hit
     else:
         judged = judged.withColumn("hit", F.lit(None).cast("string"))
     method = F.when(F.col("hit").isNotNull(), "block").otherwise("allow")
