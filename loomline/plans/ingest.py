@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions.text import bounded_page_text, content_type, normalize_text, title_tokens
 from loomline.functions.urls import normal_forms, url_safety
-from loomline.operators import articles, dedup, evaluation, freshness, metrics, normalize, research
+from loomline.operators import articles, dedup, evaluation, freshness, metrics, normalize, persistence, research
+from loomline.operators.graph import shared_folder
 from loomline.plans.common import at_ms, table
 from loomline.sources import feeds
+from loomline.sources.buckets import BucketTable
 
 NOW_MS = 1_705_363_200_000  # 2024-01-16T00:00:00Z
 POLICY = freshness.FreshnessPolicy(max_age_ms=7 * 86_400_000, max_future_skew_ms=86_400_000)
@@ -126,6 +130,29 @@ def article_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("canonical_url", F.unix_millis("first_discovered_at").alias("first_ms"), F.unix_millis("last_seen_at").alias("last_ms"), "first_seq", "last_seq", "value", "props")
 
 
+def bucket_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table merged by buckets, in three batches of two writers."""
+    events = table(spark, sf_dir, "events").select(F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("canonical_url"), F.date_trunc("hour", "ts").alias("discovered_at"), F.col("event_id").alias("seq"), "value", "props")
+    ends = events.agg(F.min("seq"), F.max("seq")).first()
+    low, high = ends[0] or 0, ends[1] or 0
+    merged = BucketTable(spark, f"{shared_folder(spark)}/loomline-steps/articles-{uuid.uuid4().hex}", "canonical_url", 8)
+    for k in range(3):
+        batch = events.where((F.col("seq") >= low + (high + 1 - low) * k // 3) & (F.col("seq") < low + (high + 1 - low) * (k + 1) // 3))
+        merged.merge(lambda _, rows=batch: rows, lambda rows, current: articles.upsert(rows, current, payload=["value", "props"]), writer=f"w{k % 2}", batch=k)
+    return merged.read().select("canonical_url", F.unix_millis("first_discovered_at").alias("first_ms"), F.unix_millis("last_seen_at").alias("last_ms"), "first_seq", "last_seq", "value", "props")
+
+
+def seed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' stories added by one writer, then by another that has some in common, a few of them with another title."""
+    c = F.col("o_custkey")
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("seed_article_id"))
+    story = rows.select(c, F.concat(F.lit("s"), c.cast("string")).alias("story_id"), "seed_article_id", F.lit("t").alias("canonical_title"), F.lit("v1").alias("clustering_version"))
+    stories = BucketTable(spark, f"{shared_folder(spark)}/loomline-steps/stories-{uuid.uuid4().hex}", "story_id", 8)
+    persistence.commit_seeds(stories, story.where("o_custkey % 3 < 2").drop("o_custkey"), writer="a", batch=0)
+    later = story.where("o_custkey % 3 > 0").withColumn("canonical_title", F.when(c % 5 == 2, "other").otherwise("t")).drop("o_custkey")
+    return persistence.commit_seeds(stories, later, writer="b", batch=0).withColumn("differs", F.array_join("differs", ","))
+
+
 def upsert_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same table in two batches, the later events first: older retries lower the first time and overwrite nothing."""
     events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("canonical_url"), F.col("ts").cast("timestamp").alias("discovered_at"), F.col("event_id").alias("seq"), "event_type", "value")
@@ -171,7 +198,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "normalize_text": norm_text, "canonical_url": canonical_url, "page_text": page_text, "url_safety": url_safety_classes, "content_types": content_types, "normalization_outcomes": normalization_outcomes,
     "feed_articles": feed_articles, "gnews_articles": gnews_articles, "search_queries": search_queries, "freshness_classes": freshness_classes, "freshness_counts": freshness_counts, "dedup_keys": dedup_keys,
-    "ordered_dedup": ordered_dedup, "article_upsert": article_upsert, "upsert_incremental": upsert_incremental, "failure_classification": failure_classes, "discovery_counters": discovery_counters,
+    "ordered_dedup": ordered_dedup, "article_upsert": article_upsert, "bucket_upsert": bucket_upsert, "seed_commits": seed_commits, "upsert_incremental": upsert_incremental, "failure_classification": failure_classes, "discovery_counters": discovery_counters,
     "duration_histogram": duration_histogram, "evaluation_accuracy": evaluation_accuracy, "title_tokens": tokens,
 }
 
@@ -264,3 +291,7 @@ SELECT event_type, le, count(*) FILTER (s <= bound) AS count, count(*) AS total,
 SELECT 'case-' || page_id % 10 AS stage, count(*) AS evaluated, count(*) FILTER (page_id % 30 <> 8) AS correct, count(*) FILTER (page_id % 30 <> 8) / count(*) AS accuracy FROM pages GROUP BY 1""",
     "title_tokens": r"SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*'), '|') AS tokens, CASE WHEN doc_id % 17 <> 0 THEN 1704067200000 + doc_id * 600000 END AS at_ms FROM documents",
 }
+SQL["bucket_upsert"] = SQL["article_upsert"]  # whatever the batches and writers
+SQL["seed_commits"] = """
+SELECT 's' || o_custkey AS story_id, CASE WHEN o_custkey % 3 = 2 THEN 'new' WHEN o_custkey % 5 = 2 THEN 'conflict' ELSE 'replayed' END AS outcome,
+  CASE WHEN o_custkey % 3 = 1 AND o_custkey % 5 = 2 THEN 'title' ELSE '' END AS differs FROM orders WHERE o_custkey % 3 > 0 GROUP BY o_custkey"""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomline.operators import articles, dedup, freshness, normalize
+from loomline.sources.buckets import BucketTable
 from loomline.sources.tables import Table
 
 PAYLOAD = ["title", "url", "source_id", "source_name", "source_type", "publisher_name", "publisher_id", "external_id", "published_at", "author", "summary", "category", "metadata"]
@@ -47,6 +48,22 @@ def discover(raw: DataFrame, now_ms: int, policy: freshness.FreshnessPolicy = fr
     return Outcome(unique, judged.where("status = 'duplicate'"), rejects.select("seq", "reject_reason").unionByName(stale), counts)
 
 
+def merge_into(table: BucketTable, now: Callable[[], int], policy: freshness.FreshnessPolicy = freshness.FreshnessPolicy(), *, writer: str = "discovery") -> Callable[[DataFrame, int], None]:
+    """As ``merge_batch``, into a table by buckets of the URL: what is written goes with the batch, several streams may write, each by a name of its own."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            clock, last = now(), batch.agg(F.max("seq")).first()[0]
+            found = lambda version: discover(batch.withColumn("seq", F.col("seq") + version.facts.get("next_seq", 0)), clock, policy).articles.withColumn("batch_id", F.lit(batch_id))
+            ahead = lambda version: {"next_seq": version.facts.get("next_seq", 0) + (0 if last is None else last + 1)}
+            table.merge(found, lambda rows, current: articles.upsert(rows, current, payload=[*PAYLOAD, "batch_id"]), writer=writer, batch=batch_id, facts=ahead)
+        finally:
+            batch.unpersist()
+
+    return run
+
+
 def merge_batch(table: Table, now: Callable[[], int], policy: freshness.FreshnessPolicy = freshness.FreshnessPolicy()) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that upserts a batch's unique articles; the clock is read once a batch."""
 
@@ -66,7 +83,7 @@ def merge_batch(table: Table, now: Callable[[], int], policy: freshness.Freshnes
     return run
 
 
-def start(landed: DataFrame, table: Table, checkpoint: str, now: Callable[[], int], *, job_col: str = "job_id", time_col: str = "fetched_at", retry_window: str = "1 day", **trigger) -> StreamingQuery:
+def start(landed: DataFrame, table: Table | BucketTable, checkpoint: str, now: Callable[[], int], *, job_col: str = "job_id", time_col: str = "fetched_at", retry_window: str = "1 day", **trigger) -> StreamingQuery:
     """Run discovery over a stream of raw rows; a job id seen within the window is not handled again."""
     once = landed.withWatermark(time_col, retry_window).dropDuplicatesWithinWatermark([job_col, "seq"])
-    return once.writeStream.foreachBatch(merge_batch(table, now)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return once.writeStream.foreachBatch((merge_into if isinstance(table, BucketTable) else merge_batch)(table, now)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
