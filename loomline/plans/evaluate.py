@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions.similarity import token_jaccard, token_order
 from loomline.functions.text import title_tokens
 from loomline.operators import evaluation, research
+from loomline.operators.graph import shared_folder
 from loomline.plans.common import table
 from loomline.plans.story import PAIRS, THRESHOLD, vector_pairs
+from loomline.streaming import leases
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,14 +164,38 @@ def lease_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", lease.alias("lease_ms"), research.retry_at(F.col("event_id") * 1010, lease).alias("retry_ms"))
 
 
-def lease_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _run_events(e: DataFrame) -> DataFrame:
     """Each user's events as the events of a research run."""
-    e = table(spark, sf_dir, "events")
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     kind = F.expr("CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' ELSE 'claim' END")
     token = F.concat(F.lit("w"), (F.floor(F.col("event_id") / 50) % 3).cast("string"))
     rows = e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("pos"), kind.alias("kind"), ms.alias("at_ms"), token.alias("token"), (ms + 7_200_000).alias("lease_ms"), F.when(kind == "create", "r").otherwise(F.col("event_type")).alias("result"))
-    return research.lease_states(rows)
+    return rows
+
+
+def lease_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return research.lease_states(_run_events(table(spark, sf_dir, "events")))
+
+
+def lease_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events as a stream with a state for each run: the last state of each and what came of its events."""
+    stored = table(spark, sf_dir, "events")
+    folder = f"{shared_folder(spark)}/loomline-steps/leases-{uuid.uuid4().hex}"
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        # as a pattern, since a stream takes a path without one for a folder
+        stream = _run_events(spark.readStream.schema(stored.schema).parquet(f"{sf_dir}/events.parque[t]")).withColumn("at", F.timestamp_millis("at_ms"))
+        steps = leases.lease_steps(stream, retention_ms=1000 * 365 * 86_400_000)
+        write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/steps/{number}")
+        steps.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    told = spark.read.parquet(f"{folder}/steps/*").where("pos IS NOT NULL")
+    names = ("status", "token", "lease_ms", "started_ms", "ended_ms", "result")
+    last = told.groupBy("run_id").agg(F.max_by(F.struct(*names), "pos").alias("s"), *[F.count_if(F.col("what") == what).alias(name) for name, what in (("claims", "claimed"), ("conflicts", "conflict"), ("replays", "replayed"), ("held", "held"))])
+    return last.select("run_id", "s.*", "claims", "conflicts", "replays", "held")
 
 
 QUERIES = {
@@ -175,7 +203,7 @@ QUERIES = {
     "semantic_threshold_sweep": semantic_threshold_sweep, "lexical_threshold_grid": lexical_threshold_grid, "distinctive_sweep": distinctive_sweep, "best_f1": best_f1, "best_zero_false_merge": best_zero_false_merge,
     "informative_threshold_sweep": informative_threshold_sweep, "extreme_pairs": extreme_pairs,
     "most_similar_negatives": most_similar_negatives, "confusion_labels": confusion_labels, "search_candidates": search_candidates, "related_exclusion": related_exclusion, "budget_accounting": budget_accounting,
-    "research_outcome": research_outcomes, "lease_times": lease_times, "lease_state": lease_state,
+    "research_outcome": research_outcomes, "lease_times": lease_times, "lease_state": lease_state, "lease_stream": lease_stream,
 }
 
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*')"
@@ -264,3 +292,4 @@ WITH RECURSIVE e AS (
 SELECT * EXCLUDE (k) FROM runs QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY k DESC) = 1""",
     "lease_times": "SELECT event_id, event_id * 1000 + user_id * 100 + 30000 AS lease_ms, greatest(event_id * 1010, event_id * 1000 + user_id * 100 + 30000) + 1000 AS retry_ms FROM events",
 }
+SQL["lease_stream"] = SQL["lease_state"]
