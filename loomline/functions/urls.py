@@ -2,8 +2,8 @@
 
 Covered: scheme, credentials, host case, IDNA, IPv4 and bracketed IPv6 hosts,
 default ports, dot segments, percent-encoding and form serialisation of the
-query. Not covered: IPv4 written in octal or hexadecimal parts, and the full
-UTS 46 mapping table (Python's idna codec is used).
+query. IPv4 may be written in decimal, octal or hexadecimal numbers, one to four of
+them. Not covered: the full UTS 46 mapping table (Python's idna codec is used).
 """
 
 from __future__ import annotations
@@ -28,6 +28,26 @@ def _encode(text: str, keep: str) -> str:
     return "".join(c if "!" <= c <= "~" and c not in keep else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in text)
 
 
+#: Hosts whose last label is a number are addresses, or nothing.
+NUMERIC = re.compile(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$")
+
+
+def _ipv4(host: str) -> str | None:
+    """The address in four decimal parts; the last number given fills what is left of the 32 bits."""
+    parts = host.removesuffix(".").split(".")
+    numbers = []
+    for part in parts:
+        hexadecimal, octal = part.startswith("0x"), len(part) > 1 and part.startswith("0")
+        digits, base = (part[2:] or "0", 16) if hexadecimal else (part, 8 if octal else 10)
+        if not re.fullmatch("[0-9a-f]+" if base == 16 else "[0-7]+" if base == 8 else "[0-9]+", digits) or len(digits.lstrip("0")) > 11:
+            return None
+        numbers.append(int(digits, base))
+    if len(numbers) > 4 or any(n > 255 for n in numbers[:-1]) or numbers[-1] >= 256 ** (5 - len(numbers)):
+        return None
+    value = numbers[-1] + sum(n << 8 * (3 - k) for k, n in enumerate(numbers[:-1]))
+    return str(ipaddress.IPv4Address(value))
+
+
 def _host(raw: str) -> str | None:
     if raw.startswith("["):
         try:
@@ -41,13 +61,7 @@ def _host(raw: str) -> str | None:
         return None
     if not host or FORBIDDEN.search(host):
         return None
-    last = host.rstrip(".").rsplit(".", 1)[-1]
-    if last.isdigit():
-        try:
-            return str(ipaddress.IPv4Address(host.rstrip(".")))
-        except ValueError:
-            return None
-    return host
+    return _ipv4(host) if NUMERIC.search(host) else host
 
 
 def _path(raw: str) -> str:
@@ -169,8 +183,26 @@ def public_address(address: Column) -> Column:
     return F.when(v4, ~blocked).when(v6, _public_ipv6(F.when(v6, address))).otherwise(False)
 
 
+def _as_address(host: Column) -> Column:
+    """A host that ends in a number as an address of four decimal parts, empty if it is none; other hosts as they are."""
+    parts = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
+    known = F.forall(parts, lambda p: p.rlike(r"^(0x0*[0-9a-f]{0,11}|0+[0-7]{0,11}|[1-9][0-9]{0,10})$"))
+    value = lambda p: F.when(p.startswith("0x"), F.conv(F.concat(F.lit("0"), F.substring(p, 3, 99)), 16, 10)).when(p.startswith("0"), F.conv(p, 8, 10)).otherwise(p).cast("long")
+    numbers = F.transform(F.when(known, parts).otherwise(F.array().cast("array<string>")), value)
+    n = F.size(numbers)
+    last, before = F.element_at(numbers, -1), F.slice(numbers, 1, F.greatest(n - 1, F.lit(0)))
+    fits = n.between(1, 4) & F.forall(before, lambda x: x <= 255) & (last < F.pow(F.lit(256), 5 - n))
+    total = last + F.aggregate(F.transform(before, lambda x, k: x * F.pow(F.lit(256), 3 - k).cast("long")), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    four = F.array_join(F.transform(F.array(*[F.lit(256**k) for k in (3, 2, 1, 0)]), lambda w: (F.floor(total / w) % 256).cast("string")), ".")
+    return F.when(~host.rlike(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$"), host).when((n > 0) & fits, four).otherwise("")
+
+
 def url_safety(url: Column) -> Column:
-    """blocked, or public for an address, or lookup for a name whose addresses have to be known first."""
-    host = host_of(url)
+    """blocked, or public for an address, or lookup for a name whose addresses have to be known first.
+
+    Addresses may be written in decimal, octal or hexadecimal numbers, one to four of
+    them; a host that ends in a number but is no address is blocked.
+    """
+    host = _as_address(host_of(url))
     address = host.rlike(r"^[0-9.]+$") | host.contains(":")
     return F.when(url.isNull() | (host == "") | blocked_host(host), "blocked").when(address, F.when(public_address(host), "public").otherwise("blocked")).otherwise("lookup")

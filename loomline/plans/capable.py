@@ -26,7 +26,8 @@ def search_capability(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fetch_capability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events ask for pages by source id in ten runs; some pages failed to load."""
     e, p = table(spark, sf_dir, "events"), table(spark, sf_dir, "pages")
-    requests = e.select((F.col("user_id") % 10).alias("run_id"), F.col("event_id").alias("call_id"), F.concat(F.lit("src_"), (F.col("event_id") % 300).cast("string")).alias("source_id"))
+    n = p.agg(F.max("page_id") + 1).first()[0] or 1  # every page is asked for where there are events enough
+    requests = e.select((F.col("user_id") % 10).alias("run_id"), F.col("event_id").alias("call_id"), F.concat(F.lit("src_"), (F.col("event_id") % n).cast("string")).alias("source_id"))
     catalog = p.select((F.col("page_id") % 10).alias("run_id"), F.concat(F.lit("src_"), F.col("page_id").cast("string")).alias("source_id"), "url")
     one = p.where("page_id % 9 <> 4").groupBy("url").agg(F.min_by("html", "page_id").alias("html"), F.min("page_id").alias("page_id"))
     k = F.col("page_id") % 8
@@ -120,7 +121,7 @@ h AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY page_id) - 1 AS pos F
 SELECT h.q AS query_id, pos, coalesce(known, 'tool_' || h.q || '_' || pos) AS source_id, known IS NOT NULL AS reused, 'A title ' || page_id AS title, 'P' AS publisher_name, '2024-01-02T03:04:05.000Z' AS published_at, 'an excerpt' AS excerpt
 FROM h LEFT JOIN c ON c.q = h.q AND c.u = h.u WHERE pos < 5""",
     "fetch_capability": f"""
-WITH r AS (SELECT user_id % 10 AS run_id, event_id AS call_id, event_id % 300 AS page_id FROM events),
+WITH r AS (SELECT user_id % 10 AS run_id, event_id AS call_id, event_id % (SELECT coalesce(max(page_id) + 1, 1) FROM pages) AS page_id FROM events),
 f AS (SELECT url, arg_min(html, page_id) AS html, min(page_id) AS k FROM pages WHERE page_id % 9 <> 4 GROUP BY 1), t AS (SELECT url, k, {PAGE} AS t FROM f),
 x AS (SELECT r.run_id, r.call_id, r.page_id, t.t, t.k, CASE WHEN p.url IS NULL THEN 'unknown-source' WHEN t.k IS NULL THEN 'unavailable' WHEN k % 8 = 1 THEN 'timeout' WHEN k % 8 = 2 THEN 'rate-limited' WHEN k % 8 = 3 THEN 'tool-failed' WHEN t = '' THEN 'unsupported-content' END AS code
   FROM r LEFT JOIN pages p ON p.page_id = r.page_id AND p.page_id % 10 = r.run_id LEFT JOIN t ON t.url = p.url)

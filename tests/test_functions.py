@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,38 @@ def test_url_safety(spark):
     assert one(spark, urls.url_safety, *cases) == list(cases.values())
 
 
+#: Hosts and the addresses they stand for, "" where they are none.
+ADDRESSES = {
+    "0x7f.1": "127.0.0.1", "0x7F.0x0.0x0.0x1": "127.0.0.1", "017700000001": "127.0.0.1", "2130706433": "127.0.0.1", "127.1": "127.0.0.1", "10.1.257": "10.1.1.1", "0x": "0.0.0.0", "0": "0.0.0.0", "8.8.8.8.": "8.8.8.8",
+    "134744072": "8.8.8.8", "0x08.0x08.0x0808": "8.8.8.8", "010.8.8.8": "8.8.8.8", "08.1.1.1": "", "1.2.3.4.5": "", "256.1.1.1": "", "1.2.3.256": "", "4294967296": "", "4294967295": "255.255.255.255", "a.1": "", "1..2": "", "0xg": "0xg", "1.0x0000000000000001": "1.0.0.1",
+}
+
+
+def test_numbers_as_addresses(spark):
+    got = one(spark, urls.normal_forms, *[f"http://{h}/x" for h in ADDRESSES])
+    assert [g.url for g in got] == [f"http://{a}/x" if a else None for a in ADDRESSES.values()]
+    native = one(spark, lambda c: urls._as_address(F.lower(c)), *ADDRESSES)
+    assert native == list(ADDRESSES.values())
+    safety = dict(zip(ADDRESSES, one(spark, urls.url_safety, *[f"http://{h}/" for h in ADDRESSES]), strict=True))
+    assert safety["0x7f.1"] == safety["2130706433"] == safety["08.1.1.1"] == "blocked" and safety["134744072"] == safety["010.8.8.8"] == "public" and safety["0xg"] == "lookup"
+
+
+def test_subsequences_by_bits():
+    pick = random.Random(1)
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for k, y in enumerate(b, 1):
+                last, row[k] = row[k], last + 1 if x == y else max(row[k], row[k - 1])
+        return row[-1]
+
+    for _ in range(300):
+        a, b = ([f"t{pick.randrange(6)}" for _ in range(pick.randrange(0, 90))] for _ in range(2))
+        assert similarity.lcs_length(a, b) == plain(a, b) == similarity.lcs_length(b, a)
+
+
 def test_dates(spark):
     cases = {"2024-01-02T03:04:05Z": 1704164645000, "2024-01-02T03:04:05.678+01:00": 1704161045678, "2024-01-02": 1704153600000, "Tue, 02 Jan 2024 03:04:05 GMT": 1704164645000, "2 Jan 2024 03:04:05 -0100": 1704168245000, "nonsense": None, "2024-13-01": None}
     assert one(spark, lambda c: dates.millis(dates.parse_date(c)), *cases) == list(cases.values())
