@@ -231,10 +231,11 @@ def encoder(path: str, pattern: str) -> Encoder:
 def encode_table(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: its id, ids binary (little-endian unsigned 32-bit), decoded binary.
 
-    A null text is empty and has no ids. Repeated rows are encoded each; an empty
-    table gives no rows; other columns aren't read.
+    A null text is empty and has no ids. Texts of any length are encoded whole,
+    repeated rows each; an empty table gives no rows; other columns aren't read, and
+    the id may have any name.
     """
-    return _over_texts(docs, path, pattern, id_col, text_col, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids binary, decoded binary", lambda ids, decoded: (ids, decoded), [pa.binary(), pa.binary()])
+    return _over_texts(docs, path, pattern, id_col, text_col, "ids binary, decoded binary", lambda ids, decoded: (ids, decoded), [pa.binary(), pa.binary()])
 
 
 def digest_table(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,11 +245,13 @@ def digest_table(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc
         numbers = np.frombuffer(ids, "<u4").tolist()
         return len(numbers), hashlib.sha256(" ".join(map(str, numbers)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
-    return _over_texts(docs, path, pattern, id_col, text_col, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", digests, [pa.int64(), pa.string(), pa.string()])
+    return _over_texts(docs, path, pattern, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", digests, [pa.int64(), pa.string(), pa.string()])
 
 
-def _over_texts(docs, path, pattern, id_col, text_col, schema, make, types):
-    names = [x.split()[0] for x in schema.split(", ")]
+def _over_texts(docs, path, pattern, id_col, text_col, columns, make, types):
+    quoted = f"`{id_col.replace('`', '``')}`"  # any name of a column
+    names = [id_col, *(x.split()[0] for x in columns.split(", "))]
+    schema = f"{quoted} {docs.schema[id_col].dataType.simpleString()}, {columns}"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = encoder(path, pattern)
@@ -259,4 +262,4 @@ def _over_texts(docs, path, pattern, id_col, text_col, schema, make, types):
                 made = [make(ids, engine.decode(ids)) for ids in engine.encode_batch(texts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*made), types, strict=True))], names)
 
-    return docs.select(id_col, text_col).mapInArrow(rows, schema)
+    return docs.select(quoted, f"`{text_col.replace('`', '``')}`").mapInArrow(rows, schema)

@@ -52,3 +52,9 @@ def test_tables(spark, small):
         want = LIBRARY.encode_ordinary(texts[r.doc_id])
         assert r.n_tokens == len(want) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_ids_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b", "x"), (None, None, "y")], "`doc id.x` long, `the text` string, ids string")
+    out = bpe.digest_table(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, id_col="doc id.x", text_col="the text")
+    assert out.columns[0] == "doc id.x" and {(r[0], r.n_tokens) for r in out.collect()} == {(1, 2), (None, 0)}
