@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from collections.abc import Callable
 from urllib.parse import quote_plus, unquote_plus
 
 import pandas as pd
@@ -172,29 +173,50 @@ def _public_ipv6(addresses: pd.Series) -> pd.Series:
     return addresses.map(public, na_action="ignore")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once, however often it stands in the result."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _public_ipv4(address: Column) -> Column:
+    """False for what isn't an address in four decimal parts."""
+    octet = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+
+    def free(number: Column) -> Column:
+        blocked = F.lit(False)
+        for net in map(ipaddress.ip_network, BLOCKED_IPV4):
+            blocked |= number.between(int(net[0]), int(net[-1]))
+        return ~blocked
+
+    return F.when(address.rlike(rf"^({octet}\.){{3}}{octet}$"), _once(_ipv4_number(address), free)).otherwise(False)
+
+
 def public_address(address: Column) -> Column:
     """Whether an address is one that research may reach; false for what isn't an address."""
-    octet = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-    v4 = address.rlike(rf"^({octet}\.){{3}}{octet}$")
-    number, blocked = _ipv4_number(address), F.lit(False)
-    for net in map(ipaddress.ip_network, BLOCKED_IPV4):
-        blocked |= number.between(int(net[0]), int(net[-1]))
     v6 = address.contains(":")
-    return F.when(v4, ~blocked).when(v6, _public_ipv6(F.when(v6, address))).otherwise(False)
+    return F.when(v6, _public_ipv6(F.when(v6, address))).otherwise(_public_ipv4(address))
 
 
 def _as_address(host: Column) -> Column:
     """A host that ends in a number as an address of four decimal parts, empty if it is none; other hosts as they are."""
-    parts = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
-    known = F.forall(parts, lambda p: p.rlike(r"^(0x0*[0-9a-f]{0,11}|0+[0-7]{0,11}|[1-9][0-9]{0,10})$"))
-    value = lambda p: F.when(p.startswith("0x"), F.conv(F.concat(F.lit("0"), F.substring(p, 3, 99)), 16, 10)).when(p.startswith("0"), F.conv(p, 8, 10)).otherwise(p).cast("long")
-    numbers = F.transform(F.when(known, parts).otherwise(F.array().cast("array<string>")), value)
-    n = F.size(numbers)
-    last, before = F.element_at(numbers, -1), F.slice(numbers, 1, F.greatest(n - 1, F.lit(0)))
-    fits = n.between(1, 4) & F.forall(before, lambda x: x <= 255) & (last < F.pow(F.lit(256), 5 - n))
-    total = last + F.aggregate(F.transform(before, lambda x, k: x * F.pow(F.lit(256), 3 - k).cast("long")), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    four = F.array_join(F.transform(F.array(*[F.lit(256**k) for k in (3, 2, 1, 0)]), lambda w: (F.floor(total / w) % 256).cast("string")), ".")
-    return F.when(~host.rlike(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$"), host).when((n > 0) & fits, four).otherwise("")
+
+    def value(p: Column) -> Column:
+        return F.when(p.startswith("0x"), F.conv(F.concat(F.lit("0"), F.substring(p, 3, 99)), 16, 10)).when(p.startswith("0"), F.conv(p, 8, 10)).otherwise(p).cast("long")
+
+    def four(numbers: Column) -> Column:
+        n = F.size(numbers)
+        last, before = F.element_at(numbers, -1), F.slice(numbers, 1, F.greatest(n - 1, F.lit(0)))
+        fits = n.between(1, 4) & F.forall(before, lambda x: x <= 255) & (last < F.pow(F.lit(256), 5 - n))
+        total = last + F.aggregate(F.transform(before, lambda x, k: x * F.pow(F.lit(256), 3 - k).cast("long")), F.lit(0).cast("long"), lambda acc, x: acc + x)
+        parts = _once(total, lambda t: F.array_join(F.transform(F.array(*[F.lit(256**k) for k in (3, 2, 1, 0)]), lambda w: (F.floor(t / w) % 256).cast("string")), "."))
+        return F.when((n > 0) & fits, parts).otherwise("")
+
+    def numbers(parts: Column) -> Column:
+        known = F.forall(parts, lambda p: p.rlike(r"^(0x0*[0-9a-f]{0,11}|0+[0-7]{0,11}|[1-9][0-9]{0,10})$"))
+        return F.when(known, F.transform(parts, value)).otherwise(F.array().cast("array<bigint>"))
+
+    address = _once(_once(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), numbers), four)
+    return F.when(host.rlike(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$"), address).otherwise(host)
 
 
 def url_safety(url: Column) -> Column:
@@ -203,6 +225,7 @@ def url_safety(url: Column) -> Column:
     Addresses may be written in decimal, octal or hexadecimal numbers, one to four of
     them; a host that ends in a number but is no address is blocked.
     """
-    host = _as_address(host_of(url))
-    address = host.rlike(r"^[0-9.]+$") | host.contains(":")
-    return F.when(url.isNull() | (host == "") | blocked_host(host), "blocked").when(address, F.when(public_address(host), "public").otherwise("blocked")).otherwise("lookup")
+    host = host_of(url)
+    v6 = host.contains(":")
+    named = lambda h: F.when((h == "") | blocked_host(h), "blocked").when(h.rlike(r"^[0-9.]+$"), F.when(_public_ipv4(h), "public").otherwise("blocked")).otherwise("lookup")
+    return F.when(url.isNull(), "blocked").when(v6, F.when(_public_ipv6(F.when(v6, host)), "public").otherwise("blocked")).otherwise(_once(host, lambda h: _once(_as_address(h), named)))
