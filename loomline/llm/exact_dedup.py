@@ -166,8 +166,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Texts are equal when identical byte for byte; null counts as empty. Of equal
     texts the row with the smallest (or ``keep="largest"``) id stays. A null id
     only stays if all ids of its group are null. Rows that repeat both id and
-    text are a tie, of which one is kept. An empty table gives no rows. Other
-    columns are not read.
+    text are a tie, of which one is kept. Texts of any length are hashed whole where
+    they are read. An empty table gives no rows. Other columns are not read.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")

@@ -374,7 +374,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     smallest id. Texts without words, and null ones, are linked with nothing and
     are their own components. Repeated rows are in one component. A row with a
     null id is in its component but does not name it unless it has no other.
-    An empty table gives no rows; other columns aren't read.
+    Texts of any length are taken whole, a text by one task. An empty table gives no rows; other columns aren't read.
     """
     labelled = _labelled(docs, id_col, text_col, pct, width, tile, broadcast_ids)
     # written, so that the join below deals out both sides anew and Spark can split a hot component

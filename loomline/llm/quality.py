@@ -169,8 +169,8 @@ def fit_table(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
 def score_table(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, score_col: str = "score") -> DataFrame:
     """The rows of docs with ``score`` double and ``predicted`` int, whatever other columns they have (ones named so are replaced).
 
-    Null and empty texts are scored as empty; every row keeps its own score, also
-    where rows repeat. An empty table gives no rows.
+    Null and empty texts are scored as empty, very long ones whole, block by block;
+    every row keeps its own score, also where rows repeat. An empty table gives no rows.
     """
     kept = [c for c in docs.columns if c not in (score_col, "predicted")]
 
