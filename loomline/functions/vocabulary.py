@@ -19,6 +19,7 @@ TITLE_MAX, PUBLISHER_MAX, EXCERPT_MAX, GOAL_MAX, PAGE_TEXT_MAX = 500, 200, 1000,
 SEARCH_DEFAULT, SEARCH_MAX = 5, 10
 PROMPT_SOURCES, DEFAULT_GOAL = 25, "Improve source coverage for this story."
 LIST_DEFAULT, LIST_MAX = 25, 100
+PROVIDER_MAX = 100  # articles of a response of the JSON provider
 
 BLOCKED_HOSTS = ("localhost", "localhost.localdomain")
 BLOCKED_HOST_SUFFIXES = (".localhost", ".local", ".internal")
