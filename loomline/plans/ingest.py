@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions.text import bounded_page_text, content_type, normalize_text, title_tokens
@@ -67,22 +67,28 @@ def normalization_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "reject_reason", F.col("article.title").alias("title"), F.col("article.canonical_url").alias("canonical_url"), F.unix_millis("article.published_at").alias("published_ms"), F.col("article.publisher.name").alias("publisher_name"))
 
 
-def feed_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+def feed_body() -> Column:
+    """A feed of a page: RSS of two items, Atom of one, or broken XML."""
     rss = F.expr("""'<rss version="2.0"><channel><title>Feed ' || page_id || '</title><item><guid>g' || page_id || '</guid><title>T ' || page_id || '</title><link>' || replace(url, '&', '&amp;') || '</link><pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate><category> </category><category>c</category></item><item><guid>17</guid><title>second</title></item></channel></rss>'""")
     atom = F.expr("""'<feed xmlns="http://www.w3.org/2005/Atom"><title>Feed ' || page_id || '</title><entry><id>g' || page_id || '</id><title>T ' || page_id || '</title><link rel="self" href="http://no.example.org/"/><link href="' || replace(url, '&', '&amp;') || '"/><updated>2024-01-02T03:04:05Z</updated><category term="c"/></entry></feed>'""")
-    body = F.when(F.col("page_id") % 3 == 0, rss).when(F.col("page_id") % 3 == 1, atom).otherwise("<rss><channel>")
-    read = feeds.read_feeds(pages.select("page_id", body.alias("body")))
+    return F.when(F.col("page_id") % 3 == 0, rss).when(F.col("page_id") % 3 == 1, atom).otherwise("<rss><channel>")
+
+
+def feed_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = feeds.read_feeds(table(spark, sf_dir, "pages").select("page_id", feed_body().alias("body")))
     rows = read.select("page_id", "error", F.explode_outer("articles").alias("a")).withColumn("v", F.parse_json(F.col("a.payload")))
     text = lambda path: F.try_variant_get("v", path, "string")
     return rows.select("page_id", "error", F.col("a.pos").alias("pos"), *[text(f"$.{f}").alias(n) for f, n in (("externalId", "external_id"), ("title", "title"), ("url", "url"), ("category", "category"), ("publisher.name", "publisher_name"), ("metadata.feedFormat", "feed_format"))])
 
 
-def gnews_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+def provider_body() -> Column:
+    """A response of the JSON provider about a page: broken, of a wrong shape, or of two articles with a total of two or three."""
     one = """'{"id":"' || page_id || '","title":"T","description":' || CASE WHEN page_id % 2 = 0 THEN '"d"' ELSE 'null' END || ',"url":"' || url || '","publishedAt":"2024-01-02T03:04:05Z","source":{"id":"s","name":"S","url":"u"}}'"""
-    body = F.expr(f"CASE page_id % 4 WHEN 0 THEN '{{' WHEN 1 THEN '{{\"totalArticles\":1,\"articles\":[{{\"id\":5}}]}}' ELSE '{{\"totalArticles\":' || page_id % 4 || ',\"articles\":[' || {one} || ',' || {one} || ']}}' END")
-    read = feeds.read_gnews(pages.select("page_id", body.alias("body")))
+    return F.expr(f"CASE page_id % 4 WHEN 0 THEN '{{' WHEN 1 THEN '{{\"totalArticles\":1,\"articles\":[{{\"id\":5}}]}}' ELSE '{{\"totalArticles\":' || page_id % 4 || ',\"articles\":[' || {one} || ',' || {one} || ']}}' END")
+
+
+def gnews_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = feeds.read_gnews(table(spark, sf_dir, "pages").select("page_id", provider_body().alias("body")))
     rows = read.select("page_id", "error", "truncated", F.explode_outer("articles").alias("a")).withColumn("v", F.parse_json(F.col("a.payload")))
     text = lambda path: F.try_variant_get("v", path, "string")
     return rows.select("page_id", "error", "truncated", F.col("a.pos").alias("pos"), *[text(f"$.{f}").alias(n) for f, n in (("externalId", "external_id"), ("url", "url"), ("summary", "summary"), ("publisher.name", "publisher_name"))])
