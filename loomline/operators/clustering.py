@@ -3,10 +3,12 @@
 An article joins the one story in its time window whose seed it matches; with
 none or several it seeds a story of its own. Arrival order decides, and a
 story's window grows with its members, so the fold is sequential. It is only
-needed within components of articles that match at all: pairs above the
-threshold come from tiled products of what windows hold, followed as far as
-matches lead, the fold runs in each component on its own,
-and what counts all stories in a window is joined to the result afterwards.
+needed within components of articles that match at all: tiled products of what
+windows hold, followed as far as matches lead, tell what hangs together, a row
+for each article and tile and never one for each pair. Equal vectors in a time
+bucket take part as one. The fold runs in each component on its own and compares
+an article with the seeds in its window only, and what counts all stories in a
+window is joined to the result afterwards.
 
 Articles may come in batches. Of what is stored a batch needs each story's seed
 and interval, and only of stories that its times can reach; those start the fold
@@ -25,6 +27,7 @@ from loomline.functions.vocabulary import CLUSTERING_VERSION, MATCH_REASON, MATC
 from loomline.operators.graph import components, settle
 
 GROWTH = 3  # more makes fewer rounds, and more products that a growing story doesn't need
+SLACK = 1e-9  # what hangs together is told from a little below the threshold; the fold decides
 
 
 def match_decision(similarity: Column, threshold: float = MATCH_THRESHOLD) -> Column:
@@ -50,34 +53,56 @@ def assign(articles: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def _multiply(threshold: float):
-    """Products of a group's seeds with its articles, as (a, b, similarity, at_ms of b) for a before b, from the threshold on."""
-
-    def multiply(seeds, others):
-        x, y = (np.array(side["vector"].tolist(), np.float64).reshape(len(side), -1) for side in (seeds, others))
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": [], "similarity": [], "at_ms": []})
-        x, y = (m / np.linalg.norm(m, axis=1)[:, None] for m in (x, y))
-        sims = x @ y.T
-        a, b = seeds["seq"].to_numpy(), others["seq"].to_numpy()
-        r, c = np.nonzero((sims >= threshold) & (a[:, None] < b[None, :]))
-        return pd.DataFrame({"a": a[r], "b": b[c], "similarity": sims[r, c], "at_ms": others["at_ms"].array[c]})
+    """What hangs together in a tile's products: (node, root, first, last), a row for each node that matches; first and last are the times that a left node's matches reach."""
+
+    def multiply(left, right):
+        if not len(left) or not len(right):
+            return pd.DataFrame({"node": [], "root": [], "first": [], "last": []})
+        x, y = (_directions(side["vector"]) for side in (left, right))
+        a, b = left["node"].to_numpy(), right["node"].to_numpy()
+        near = (x @ y.T >= threshold - SLACK) & (a[:, None] < right["until"].to_numpy()[None, :]) & (a[:, None] != b[None, :])
+        root, there = np.full(len(a), -1), np.full(len(b), -1)
+        for k in np.flatnonzero(near.any(axis=1)):
+            front = np.array([k]) if root[k] < 0 else np.array([], int)
+            while len(front):  # a row and a column each come to the front once
+                root[front] = a[k]
+                met = np.flatnonzero(near[front].any(axis=0) & (there < 0))
+                there[met] = a[k]
+                front = np.flatnonzero(near[:, met].any(axis=1) & (root < 0))
+        rows, cols = root >= 0, there >= 0
+        far = np.iinfo(np.int64).max
+        first = np.where(near[rows], right["first"].to_numpy()[None, :], far).min(axis=1, initial=far)
+        last = np.where(near[rows], right["last"].to_numpy()[None, :], -far).max(axis=1, initial=-far)
+        of_left = pd.DataFrame({"node": a[rows], "root": root[rows], "first": pd.array(first, "Int64"), "last": pd.array(last, "Int64")})
+        of_right = pd.DataFrame({"node": b[cols], "root": there[cols], "first": pd.array([None] * cols.sum(), "Int64"), "last": pd.array([None] * cols.sum(), "Int64")})
+        return pd.concat([of_left, of_right])
 
     return multiply
 
 
-def _meet(seeds: DataFrame, articles: DataFrame, threshold: float, tile: int) -> DataFrame:
-    """Matches of seeds (bucket, seq, vector) with articles (bucket, seq, at_ms, vector) of the same bucket, in tiles of both."""
+def _directions(vectors: pd.Series) -> np.ndarray:
+    """Vectors of length one, as rows; zero vectors become not-a-number, which matches nothing."""
+    x = np.array(vectors.tolist(), np.float64).reshape(len(vectors), -1)
+    with np.errstate(invalid="ignore"):
+        return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _meet(left: DataFrame, right: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """(node, root, first, last) of left (bucket, node, vector) and right (bucket, node, until, first, last, vector) nodes of the same bucket, in tiles of both."""
     tiles = lambda df, name: df.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias(name))
-    sizes = tiles(seeds, "parts").join(tiles(articles, "tiles"), "bucket")
-    dealt = lambda df, mine, own, theirs, other: df.join(sizes, "bucket").withColumns({own: F.pmod(F.xxhash64("seq"), F.col(mine)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(theirs) - 1))}).drop("parts", "tiles")
-    left, right = dealt(seeds, "parts", "i", "tiles", "j"), dealt(articles, "tiles", "j", "parts", "i")
-    left = left.select(*[F.col(c).alias(c) for c in ("bucket", "i", "j", "seq", "vector")])  # columns of its own, as both come from one table
+    sizes = tiles(left, "parts").join(tiles(right, "tiles"), "bucket")
+    dealt = lambda df, mine, own, theirs, other: df.join(sizes, "bucket").withColumns({own: F.pmod(F.xxhash64("node"), F.col(mine)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(theirs) - 1))}).drop("parts", "tiles")
+    rows, cols = dealt(left, "parts", "i", "tiles", "j"), dealt(right, "tiles", "j", "parts", "i")
+    rows = rows.select(*[F.col(c).alias(c) for c in ("bucket", "i", "j", "node", "vector")])  # columns of its own, as both come from one table
     keys = ["bucket", "i", "j"]
-    return settle(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_multiply(threshold), "a long, b long, similarity double, at_ms long"))
+    return settle(rows.groupBy(*keys).cogroup(cols.groupBy(*keys)).applyInPandas(_multiply(threshold), "node long, root long, first long, last long"))
 
 
-def _matching_pairs(articles: DataFrame, seeds: DataFrame, threshold: float, window_ms: int, include_unknown: bool, tile: int) -> DataFrame:
-    """(a, b, similarity) of seeds (seq, first_ms, last_ms, vector) before articles, of all that can meet in a window, and some more.
+def _matches(nodes: DataFrame, old: DataFrame | None, threshold: float, window_ms: int, include_unknown: bool, tile: int) -> DataFrame:
+    """(a, b): nodes that hang together, of all that can meet in a window and some more. A root stands for what a tile joins, so a tile gives a row for each of its nodes and not one for each pair.
+
+    nodes: bucket, node, until (least and largest seq), first, last, vector: articles
+    of one vector in a bucket. old: stored stories (seq, first_ms, last_ms, vector).
 
     All members of a story match its seed, so a seed's story reaches as far as
     the articles that match the seed lead, a window each. A seed first meets the
@@ -86,52 +111,80 @@ def _matching_pairs(articles: DataFrame, seeds: DataFrame, threshold: float, win
     is multiplied goes with the windows' contents, and only stories that grow are
     looked at again. Where unknown times take part, all meet all.
     """
+    seeds = nodes.select("node", "first", "last", "vector")
+    if old is not None:
+        seeds = old.select(F.col("seq").alias("node"), F.col("first_ms").alias("first"), F.col("last_ms").alias("last"), "vector").unionByName(seeds)
+    edges = lambda df: df.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
     if include_unknown:
-        return _meet(seeds.select(F.lit(0).alias("bucket"), "seq", "vector"), articles.withColumn("bucket", F.lit(0)), threshold, tile).drop("at_ms")
-    width = max(1, window_ms)
-    bucket = lambda ms: F.floor(ms / width)
-    placed = settle(articles.where("at_ms IS NOT NULL").select("seq", "at_ms", "vector", bucket(F.col("at_ms")).alias("bucket")))
-    used = placed.select("bucket").distinct()
+        return edges(_meet(seeds.select(F.lit(0).cast("long").alias("bucket"), "node", "vector"), nodes.withColumns({"first": F.lit(0).cast("long"), "last": F.lit(0).cast("long")}), threshold, tile))
+    bucket = lambda ms: F.floor(ms / max(1, window_ms))
+    used = nodes.select("bucket").distinct()
     # low and high are the buckets met so far, first and last the times reached
-    state = settle(seeds.where("first_ms IS NOT NULL").select("seq", F.col("first_ms").alias("first"), F.col("last_ms").alias("last"), bucket(F.col("first_ms") - window_ms).alias("low"), bucket(F.col("last_ms") + window_ms).alias("high")))
-    wanted = state.select("seq", F.explode(F.sequence("low", "high")).alias("bucket"))
+    state = settle(seeds.where("first IS NOT NULL").select("node", "first", "last", bucket(F.col("first") - window_ms).alias("low"), bucket(F.col("last") + window_ms).alias("high")))
+    wanted = state.select("node", F.explode(F.sequence("low", "high")).alias("bucket"))
     found = None
     while True:
-        new = _meet(wanted.join(used, "bucket").join(seeds.select("seq", "vector"), "seq"), placed, threshold, tile)
+        new = _meet(wanted.join(used, "bucket").join(seeds.select("node", "vector"), "node"), nodes, threshold, tile)
         found = new if found is None else found.unionByName(new)
-        ends = new.groupBy(F.col("a").alias("seq")).agg(F.min("at_ms").alias("f"), F.max("at_ms").alias("l"))
-        grown = state.join(ends, "seq").select("seq", "low", "high", F.least("first", "f").alias("first"), F.greatest("last", "l").alias("last"))
+        ends = new.where("first IS NOT NULL").groupBy("node").agg(F.min("first").alias("f"), F.max("last").alias("l"))
+        grown = state.join(ends, "node").select("node", "low", "high", F.least("first", "f").alias("first"), F.greatest("last", "l").alias("last"))
         more, span = {"down": bucket(F.col("first") - window_ms), "up": bucket(F.col("last") + window_ms)}, GROWTH * (F.col("high") - F.col("low") + 1)
         grown = settle(grown.withColumns(more).where("down < low OR up > high").withColumns({"down": F.when(F.col("down") < F.col("low"), F.least("down", F.col("low") - span)).otherwise(F.col("low")), "up": F.when(F.col("up") > F.col("high"), F.greatest("up", F.col("high") + span)).otherwise(F.col("high"))}))
         if grown.isEmpty():
-            return found.drop("at_ms")
+            return edges(found)
         below, above = (F.when(F.col(x) < F.col(y), F.sequence(F.col(x) + int(x == "high"), F.col(y) - int(y == "low"))) for x, y in (("down", "low"), ("high", "up")))
-        wanted = grown.select("seq", F.explode(F.concat(F.coalesce(below, F.array().cast("array<bigint>")), F.coalesce(above, F.array().cast("array<bigint>")))).alias("bucket"))
-        state = grown.select("seq", "first", "last", F.col("down").alias("low"), F.col("up").alias("high"))
+        wanted = grown.select("node", F.explode(F.concat(F.coalesce(below, F.array().cast("array<bigint>")), F.coalesce(above, F.array().cast("array<bigint>")))).alias("bucket"))
+        state = grown.select("node", "first", "last", F.col("down").alias("low"), F.col("up").alias("high"))
+
+
+class Stories:
+    """The stories of a component: seeds with their vectors and intervals, in arrays that grow."""
+
+    def __init__(self, width: int):
+        self.n, self.seeds, self.vectors = 0, np.zeros(64, np.int64), np.zeros((64, width))
+        self.first, self.last, self.known = np.zeros(64, np.int64), np.zeros(64, np.int64), np.zeros(64, bool)
+
+    def add(self, seed: int, vector: np.ndarray, first: int | None, last: int | None) -> None:
+        if self.n == len(self.seeds):
+            for name in ("seeds", "vectors", "first", "last", "known"):
+                had = getattr(self, name)
+                setattr(self, name, np.concatenate([had, np.zeros_like(had)]))
+        self.seeds[self.n], self.vectors[self.n] = seed, vector
+        self.n += 1
+        self.reach(self.n - 1, first, last)
+
+    def reach(self, k: int, first: int | None, last: int | None) -> None:
+        """Widen a story's interval; unknown times widen nothing."""
+        if first is None or last is None:
+            return
+        self.first[k] = min(self.first[k], first) if self.known[k] else first
+        self.last[k] = max(self.last[k], last) if self.known[k] else last
+        self.known[k] = True
+
+    def matches(self, at: int | None, vector: np.ndarray, threshold: float, window_ms: int, include_unknown: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The stories in whose window a time lies and whose seed the vector matches, with the similarities."""
+        known = self.known[: self.n]
+        if at is None:
+            inside = np.full(self.n, include_unknown)
+        else:
+            inside = (known & (self.first[: self.n] - window_ms <= at) & (at <= self.last[: self.n] + window_ms)) | (~known & include_unknown)
+        near = np.flatnonzero(inside)
+        similar = self.vectors[near] @ vector
+        fine = similar >= threshold
+        return near[fine], similar[fine]
 
 
-def fold(rows: list[tuple[int, int | None]], similar: dict[tuple[int, int], float], window_ms: int, include_unknown: bool, stored: dict[int, list] | None = None) -> list[tuple[int, int, float | None, int, list[int]]]:
-    """(seq, story seed's seq, score, matching, matching seeds) for rows (seq, at_ms) in arrival order; stored: the intervals of stories that are there."""
-    stories: dict[int, list] = dict(stored or {})
+def fold(rows: list[tuple[int, int | None]], vectors: np.ndarray, stories: Stories, threshold: float, window_ms: int, include_unknown: bool) -> list[tuple[int, int, float | None, int, list[int]]]:
+    """(seq, story seed's seq, score, matching, matching seeds) for rows (seq, at_ms) in arrival order; stories: those that are there."""
     out = []
-    for seq, at in rows:
-        matches = []
-        for seed, (first, last) in stories.items():
-            if at is None or first is None:
-                inside = include_unknown
-            else:
-                inside = first - window_ms <= at <= last + window_ms
-            if inside and (seed, seq) in similar:
-                matches.append(seed)
-        if len(matches) == 1:
-            seed = matches[0]
-            if at is not None:
-                first, last = stories[seed]
-                stories[seed] = [at if first is None else min(first, at), at if last is None else max(last, at)]
-            out.append((seq, seed, max(0.0, similar[seed, seq]), 1, []))
+    for (seq, at), vector in zip(rows, vectors, strict=True):
+        near, similar = stories.matches(at, vector, threshold, window_ms, include_unknown)
+        if len(near) == 1:
+            stories.reach(near[0], at, at)
+            out.append((seq, int(stories.seeds[near[0]]), max(0.0, float(similar[0])), 1, []))
         else:
-            stories[seq] = [at, at]
-            out.append((seq, seq, None, len(matches), sorted(matches)))
+            out.append((seq, seq, None, len(near), sorted(stories.seeds[near].tolist())))
+            stories.add(seq, vector, at, at)
     return out
 
 
@@ -144,31 +197,32 @@ def cluster(articles: DataFrame, window_ms: int, *, threshold: float = MATCH_THR
     one task. stories: those of earlier batches, as ``story_state`` has them; all
     articles come after all of their members.
     """
-    articles = settle(articles.select("seq", "article_id", F.col("at_ms").cast("long").alias("at_ms"), "vector"))
-    seeds = articles.select("seq", F.col("at_ms").alias("first_ms"), F.col("at_ms").alias("last_ms"), "vector")
+    key = F.sha2(F.array_join(F.col("vector").cast("array<string>"), ",", "-"), 256)
+    bucket = F.lit(0).cast("long") if include_unknown else F.floor(F.col("at_ms") / max(1, window_ms))
+    articles = settle(articles.select("seq", "article_id", F.col("at_ms").cast("long").alias("at_ms"), "vector").withColumns({"bucket": bucket, "key": key}))
+    same = settle(articles.where("bucket IS NOT NULL").groupBy("bucket", "key").agg(F.min("seq").alias("node"), F.max("seq").alias("until"), F.min("at_ms").alias("first"), F.max("at_ms").alias("last"), F.count("*").alias("n"), F.any_value("vector").alias("vector")))
     old = None
     if stories is not None:
         old = settle(_in_reach(stories, articles, window_ms, include_unknown).select(F.col("story_seq").alias("seq"), "first_ms", "last_ms", "vector"))
-        seeds = old.unionByName(seeds)
-    pairs = settle(_matching_pairs(articles, seeds, threshold, window_ms, include_unknown, tile))
-    touched = components(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), pairs)
-    rows = articles.select("seq", "at_ms", F.col("at_ms").alias("last_ms"), F.lit(False).alias("stored"))
+    edges = settle(_matches(same.drop("key", "n"), old, threshold, window_ms, include_unknown, tile).distinct())
+    alone = same.where("n > 1").select("node")  # equal articles hang together
+    touched = components(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).unionByName(alone).distinct(), edges)
+    rows = articles.join(same.select("bucket", "key", "node"), ["bucket", "key"]).select("node", "seq", "at_ms", F.col("at_ms").alias("last_ms"), F.lit(False).alias("stored"), "vector")
     if old is not None:
-        rows = rows.unionByName(old.select("seq", F.col("first_ms").alias("at_ms"), "last_ms", F.lit(True).alias("stored")))
-    members = settle(rows.join(touched.withColumnRenamed("node", "seq"), "seq").select("component", "seq", "at_ms", "last_ms", "stored"))
-    of_pairs = settle(pairs.join(touched.withColumnRenamed("node", "a"), "a").select("component", "a", "b", "similarity"))
+        rows = rows.unionByName(old.select(F.col("seq").alias("node"), "seq", F.col("first_ms").alias("at_ms"), "last_ms", F.lit(True).alias("stored"), "vector"))
+    members = rows.join(touched, "node").drop("node")
 
-    def run(key, rows, edges):
+    def run(key, rows):
         rows = rows.sort_values("seq")
+        vectors, stored = _directions(rows["vector"]), rows["stored"].to_numpy(bool)
         ms = lambda times: [None if pd.isna(t) else int(t) for t in times]
-        before = rows[rows["stored"]]
-        stored = {s: [f, t] for s, f, t in zip(before["seq"].tolist(), ms(before["at_ms"]), ms(before["last_ms"]), strict=True)}
-        rows = rows[~rows["stored"]]
-        times = ms(rows["at_ms"])
-        similar = dict(zip(zip(edges["a"].tolist(), edges["b"].tolist(), strict=True), edges["similarity"].tolist(), strict=True))
-        return pd.DataFrame(fold(list(zip(rows["seq"].tolist(), times, strict=True)), similar, window_ms, include_unknown, stored), columns=["seq", "story_seq", "score", "matching", "matching_seqs"])
-
-    folded = settle(members.groupBy("component").cogroup(of_pairs.groupBy("component")).applyInPandas(run, "seq long, story_seq long, score double, matching long, matching_seqs array<long>"))
+        there = Stories(vectors.shape[1])
+        for seed, vector, first, last in zip(rows["seq"][stored].tolist(), vectors[stored], ms(rows["at_ms"][stored]), ms(rows["last_ms"][stored]), strict=True):
+            there.add(seed, vector, first, last)
+        new = list(zip(rows["seq"][~stored].tolist(), ms(rows["at_ms"][~stored]), strict=True))
+        return pd.DataFrame(fold(new, vectors[~stored], there, threshold, window_ms, include_unknown), columns=["seq", "story_seq", "score", "matching", "matching_seqs"])
+
+    folded = settle(members.groupBy("component").applyInPandas(run, "seq long, story_seq long, score double, matching long, matching_seqs array<long>"))
     placed = articles.select("seq", "article_id", "at_ms").join(folded, "seq", "left")
     placed = settle(placed.withColumns({"story_seq": F.coalesce("story_seq", "seq"), "matching": F.coalesce("matching", F.lit(0)), "matching_seqs": F.coalesce("matching_seqs", F.array().cast("array<long>"))}))
     considered = _considered(placed, old, window_ms, include_unknown)

@@ -171,3 +171,32 @@ def test_registration(spark):
     c = spark.createDataFrame([(1, 0, "u", "c"), (2, 0, "u", "c"), (3, 0, "u", "c")], "run_id long, pos long, url string, canonical_url string")
     r = spark.createDataFrame([(1, 0, "u", "c", "s"), (2, 0, "u", "x", "s"), (3, 0, "u", "c", "s"), (3, 1, "v", "d", "s")], "run_id long, pos long, url string, canonical_url string, source_id string")
     assert {x.run_id: x.matches for x in research.registration_matches(c, r).collect()} == {1: True, 2: False, 3: False}
+
+
+@pytest.mark.parametrize("seed,unknown", [(1, False), (2, True)])
+def test_repeated_vectors_fold_as_any_others(spark, seed, unknown):
+    """Few different vectors, a zero one among them, in windows that overlap."""
+    rng = random.Random(seed)
+    some = np.random.default_rng(seed).normal(size=(9, 3))
+    some /= np.linalg.norm(some, axis=1)[:, None]
+    some[8] = 0
+    rows = [(k, None if rng.random() < 0.1 else rng.randrange(0, 30 * HOUR)) for k in range(120)]
+    vectors = [some[rng.randrange(9)] for _ in rows]
+    df = spark.createDataFrame([(k, f"a{k}", at, vectors[k].tolist()) for k, at in rows], "seq long, article_id string, at_ms long, vector array<double>")
+    out = clustering.cluster(df, 2 * HOUR, threshold=0.8, include_unknown=unknown, tile=4)
+    assert sorted((r.seq, r.kind, r.story_seq, r.considered, r.matching, list(r.matching_seqs)) for r in out.collect()) == plain(rows, vectors, 2 * HOUR, 0.8, unknown)
+
+
+def test_a_hot_story_has_a_row_for_an_article_and_not_for_a_pair(spark, monkeypatch):
+    """20,000 equal articles in a window, and 3,000 that nearly equal each other: what is written stays in proportion."""
+    written = []
+    monkeypatch.setattr(clustering, "settle", lambda df: written.append(settle(df)) or written[-1])
+    equal = spark.range(20_000).select(F.col("id").alias("seq"), F.col("id").cast("string").alias("article_id"), (F.col("id") % 1000).alias("at_ms"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
+    out = clustering.cluster(equal, HOUR)
+    assert out.groupBy("kind", "story_seq").count().sort("kind").collect() == [("MATCHED", 0, 19_999), ("SEED", 0, 1)]
+    assert max(df.count() for df in written) <= 20_000
+    written.clear()
+    near = equal.where("seq < 3000").withColumn("vector", F.array(F.lit(1.0), F.col("seq") / 1e6))
+    out = clustering.cluster(near, HOUR, tile=256)
+    assert out.groupBy("kind", "story_seq").count().sort("kind").collect() == [("MATCHED", 0, 2_999), ("SEED", 0, 1)]
+    assert max(df.count() for df in written) <= 2 * 12 * 3000
