@@ -41,3 +41,35 @@ TOOL_ERRORS = {
 
 DURATION_BUCKETS = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 30)
 LEASE_MARGIN_MS, RETRY_MARGIN_MS = 30_000, 1_000
+
+#: Metric -> its labels. Counters end in _total, histograms in _seconds. Fixed values.
+METRICS = {
+    "discovery_jobs_total": ("source_id", "status"),
+    "articles_fetched_total": ("source_id",),
+    "articles_normalized_total": ("source_id",),
+    "articles_normalization_rejected_total": ("source_id",),
+    "articles_fresh_total": ("source_id",),
+    "articles_freshness_rejected_total": ("source_id",),
+    "articles_unique_total": ("source_id",),
+    "articles_duplicates_total": ("source_id",),
+    "articles_persisted_total": ("source_id",),
+    "discovery_duration_seconds": ("source_id",),
+    "discovery_enqueue_total": ("source_id", "status"),
+    "discovery_enqueue_duration_seconds": ("source_id",),
+    "source_fetch_duration_seconds": ("source_id",),
+    "persistence_duration_seconds": ("source_id",),
+    "research_executions_total": ("outcome", "stop_reason"),
+    "research_execution_duration_seconds": ("outcome",),
+    "research_model_calls_total": (),
+    "research_tool_calls_total": (),
+    "research_selected_sources_total": ("outcome",),
+    "research_unresolved_questions_total": ("outcome",),
+    "story_clustering_attempts_total": ("outcome",),
+    "story_candidates_total": (),
+    "story_semantic_comparisons_total": (),
+    "story_clustering_duration_seconds": (),
+    "story_candidate_generation_duration_seconds": (),
+    "story_semantic_comparison_duration_seconds": (),
+}
+STORY_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10)
+RESEARCH_BUCKETS = (0.1, 0.25, 0.5, 1, 2.5, 5, 10, 15, 30, 60)

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.operators.graph import shared_folder
+from loomline.operators.graph import settle, shared_folder
+from loomline.operators.observed import Collected, Pass, bounds
 from loomline.plans.common import table
 from loomline.plans.ingest import feed_body, provider_body
 from loomline.sources import connector, feeds
@@ -61,7 +62,33 @@ def source_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_id", "source_name", "batch", "fetch_id", "pos", text("$.externalId").alias("external_id"), text("$.url").alias("url"), text("$.publisher.name").alias("publisher_name"))
 
 
-QUERIES = {"source_fetches": source_fetches, "source_stream": source_stream}
+KINDS = ("click", "view", "purchase", "signup", "error")
+
+
+def fetch_pass() -> Pass:
+    """Jobs by source and outcome and articles by source, over a log of fetches."""
+    out = Pass("fetches").by("source_id", [*SOURCES, "feed-z"], F.col("source_id"), ("articles_fetched_total", None, F.col("fetched")))
+    for status in ("completed", "failed"):
+        out.by("source_id", [*SOURCES, "feed-z"], F.col("source_id"), ("discovery_jobs_total", F.col("outcome") == status, None), status=status)
+    return out
+
+
+def metric_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals seen while the log of fetches is written, and while events are: as durations of fetches, a kind of event for a source."""
+    collected = Collected()
+    fetches, seen = fetch_pass().attach(source_fetches(spark, sf_dir))
+    settle(fetches)
+    collected.add(fetch_pass().read(seen.get))
+    durations = Pass("durations")
+    for kind in KINDS:
+        durations.histogram("source_fetch_duration_seconds", F.round(F.col("value") * 100) / 400, F.col("event_type") == kind, source_id=kind)
+    events, seen = durations.attach(table(spark, sf_dir, "events").select("event_id", "event_type", "value"))
+    settle(events)
+    collected.add(durations.read(seen.get))
+    return collected.frame(spark).withColumn("value", F.round("value", 4))
+
+
+QUERIES = {"source_fetches": source_fetches, "source_stream": source_stream, "metric_totals": metric_totals}
 
 ROUND = """
 WITH p AS (SELECT *, page_id AS k, CASE WHEN page_id % 6 < 3 THEN 'gnews' WHEN page_id % 6 = 3 THEN 'feed-a' WHEN page_id % 6 = 4 THEN 'feed-b' ELSE 'feed-z' END AS source_id,
@@ -72,7 +99,18 @@ r AS (SELECT *, coalesce(failed, CASE WHEN status <> 200 THEN 'http' WHEN source
 n AS (SELECT *, CASE WHEN kind IS NOT NULL OR source_id = 'feed-z' THEN 0 WHEN source_id = 'gnews' OR k % 3 = 0 THEN 2 ELSE 1 END AS fetched FROM r)
 """
 
+BOUNDS = ", ".join(f"({b}, '{b:g}')" for b in bounds("source_fetch_duration_seconds"))
+
 SQL = {
+    "metric_totals": ROUND
+    + f""", l AS (SELECT *, CASE WHEN kind IS NULL AND source_id <> 'feed-z' THEN 'completed' ELSE 'failed' END AS outcome FROM n),
+i AS (SELECT * FROM (VALUES ('gnews'), ('feed-a'), ('feed-b'), ('feed-z')) v(id)), e AS (SELECT event_type AS id, round(value * 100) / 400 AS s FROM events WHERE value IS NOT NULL),
+t AS (SELECT unnest({list(KINDS)}) AS id)
+SELECT 'articles_fetched_total' AS metric, 'source_id=' || id AS labels, NULL AS le, CAST(coalesce(sum(fetched), 0) AS DOUBLE) AS value FROM i LEFT JOIN l ON source_id = id GROUP BY id
+UNION ALL SELECT 'discovery_jobs_total', 'source_id=' || id || ',status=' || o, NULL, CAST(count(source_id) AS DOUBLE) FROM i CROSS JOIN (VALUES ('completed'), ('failed')) w(o) LEFT JOIN l ON source_id = id AND outcome = o GROUP BY id, o
+UNION ALL SELECT 'source_fetch_duration_seconds_bucket', 'source_id=' || t.id, le, CAST(count(s) AS DOUBLE) FROM t CROSS JOIN (VALUES {BOUNDS}, (CAST('Infinity' AS DOUBLE), '+Inf')) b(most, le) LEFT JOIN e ON e.id = t.id AND s <= most GROUP BY t.id, le
+UNION ALL SELECT 'source_fetch_duration_seconds_count', 'source_id=' || t.id, NULL, CAST(count(s) AS DOUBLE) FROM t LEFT JOIN e USING (id) GROUP BY t.id
+UNION ALL SELECT 'source_fetch_duration_seconds_sum', 'source_id=' || t.id, NULL, coalesce(round(sum(s), 4), 0) FROM t LEFT JOIN e USING (id) GROUP BY t.id""",
     "source_fetches": ROUND
     + """
 SELECT source_id, k % 3 AS batch, CAST(k AS VARCHAR) AS fetch_id, 1704067200 + k AS fetched_s, CASE WHEN kind IS NULL AND source_id <> 'feed-z' THEN 'completed' ELSE 'failed' END AS outcome, kind, status,
