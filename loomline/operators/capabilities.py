@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions.dates import iso
 from loomline.functions.text import bounded_page_text
 from loomline.functions.vocabulary import SEARCH_DEFAULT
-from loomline.operators import integrity, research
+from loomline.operators import integrity, readmodels, research
 from loomline.operators.research import _tool_error
 
 JOB_ATTEMPTS, JOB_BACKOFF_MS = 3, 1000
@@ -154,14 +154,78 @@ def article_view(articles: DataFrame) -> DataFrame:
     c = F.col
     view = F.struct(
         c("id"), c("title"), c("url"), c("canonical_url").alias("canonicalUrl"),
-        F.struct(c("source_id").alias("id"), c("source_name").alias("name"), c("source_type").alias("type")).alias("source"),
-        F.when(c("publisher_name").isNotNull(), F.struct(c("publisher_id").alias("id"), c("publisher_name").alias("name"))).alias("publisher"),
+        _source().alias("source"), _publisher().alias("publisher"),
         *[iso(c(a)).alias(b) for a, b in (("published_at", "publishedAt"), ("first_discovered_at", "firstDiscoveredAt"), ("last_seen_at", "lastSeenAt"))],
         c("author"), c("summary"), c("category"),
     )
     return articles.select("id", F.to_json(view, {"ignoreNullFields": "false"}).alias("view"))
 
 
+def _source() -> Column:
+    return F.struct(*[F.col(f"source_{c}").alias(c) for c in ("id", "name", "type")])
+
+
+def _publisher() -> Column:
+    return F.when(F.col("publisher_name").isNotNull(), F.struct(F.col("publisher_id").alias("id"), F.col("publisher_name").alias("name")))
+
+
+def _named(column: str, name: str) -> Column:
+    """A JSON value in its place; text that isn't JSON raises."""
+    return F.parse_json(F.col(column)).alias(name)
+
+
+def story_list_view(stories: DataFrame, memberships: DataFrame) -> DataFrame:
+    """(id, view): a story as the list shows it, with its number of members. Columns as in ``story_view``."""
+    counted = readmodels.with_member_count(stories, memberships, "id", "story_id", "n")
+    view = F.struct(*_story_head(), F.col("n").alias("membershipCount"), iso(F.col("created_at")).alias("createdAt"), iso(F.col("updated_at")).alias("updatedAt"))
+    return counted.select("id", F.to_json(view, {"ignoreNullFields": "false"}).alias("view"))
+
+
+def _story_head() -> list[Column]:
+    plain = [F.col(a).alias(b) for a, b in (("id", "id"), ("canonical_title", "canonicalTitle"), ("seed_article_id", "seedArticleId"), ("representative_article_id", "representativeArticleId"), ("clustering_version", "clusteringVersion"))]
+    return [*plain, iso(F.col("first_published_at")).alias("firstPublishedAt"), iso(F.col("last_published_at")).alias("lastPublishedAt")]
+
+
+def story_view(stories: DataFrame, memberships: DataFrame, articles: DataFrame) -> DataFrame:
+    """(id, view): a story as its public JSON, with its members by time of joining, then article, each with its article. A story without members has an empty list.
+
+    stories: id, canonical_title, seed_article_id, representative_article_id,
+    clustering_version, first_published_at, last_published_at, created_at,
+    updated_at. memberships: id, story_id, article_id, kind (ENUM_NAME, shown as it
+    is), score, signals (JSON or null), reason, matched_against_article_id,
+    clustering_version, created_at. articles: as in ``article_view``. The view is
+    one cell, as asked for, with all the story's members.
+    """
+    c = F.col
+    times = (("published_at", "publishedAt"), ("first_discovered_at", "firstDiscoveredAt"), ("last_seen_at", "lastSeenAt"))
+    article = F.struct(c("id"), c("title"), c("url"), c("canonical_url").alias("canonicalUrl"), _source().alias("source"), _publisher().alias("publisher"), *[iso(c(a)).alias(b) for a, b in times])
+    shown = articles.select(c("id").alias("article_id"), article.alias("article"))
+    names = (("id", "id"), ("kind", "kind"), ("score", "score"))
+    member = F.struct(*[c(a).alias(b) for a, b in names], _named("signals", "signals"), c("reason"), c("matched_against_article_id").alias("matchedAgainstArticleId"), c("clustering_version").alias("clusteringVersion"), iso(c("created_at")).alias("createdAt"), c("article"))
+    joined = memberships.join(shown, "article_id").select("story_id", c("created_at").alias("at"), c("article_id").alias("key"), F.to_json(member, {"ignoreNullFields": "false"}).alias("m"))
+    lists = joined.groupBy("story_id").agg(F.array_sort(F.collect_list(F.struct("at", "key", "m"))).alias("l")).select(c("story_id").alias("id"), F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["m"]), ","), F.lit("]")).alias("l"))
+    head = F.to_json(F.struct(*_story_head(), iso(c("created_at")).alias("createdAt"), iso(c("updated_at")).alias("updatedAt")), {"ignoreNullFields": "false"})
+    whole = F.concat(F.substring(head, F.lit(1), F.char_length(head) - 1), F.lit(',"memberships":'), F.coalesce("l", F.lit("[]")), F.lit("}"))
+    return stories.join(lists, "id", "left").select("id", whole.alias("view"))
+
+
+def research_run_view(runs: DataFrame) -> DataFrame:
+    """(id, view): a research run as its public JSON; its token, lease and idempotency key are not shown.
+
+    runs: id, story_id, status, outcome and stop_reason (ENUM_NAME, shown as
+    enum-name, the status as it is), research_goal, budget and selection (JSON or null),
+    model_calls, tool_calls, started_at, completed_at, created_at, updated_at.
+    """
+    c = F.col
+    view = F.struct(
+        c("id"), c("story_id").alias("storyId"), c("status"), c("research_goal").alias("researchGoal"), _named("budget", "budget"),
+        readmodels.kebab(c("outcome")).alias("outcome"), readmodels.kebab(c("stop_reason")).alias("stopReason"), _named("selection", "selection"),
+        c("model_calls").alias("modelCalls"), c("tool_calls").alias("toolCalls"),
+        *[iso(c(a)).alias(b) for a, b in (("started_at", "startedAt"), ("completed_at", "completedAt"), ("created_at", "createdAt"), ("updated_at", "updatedAt"))],
+    )
+    return runs.select("id", F.to_json(view, {"ignoreNullFields": "false"}).alias("view"))
+
+
 def story_corpus_violations(scenarios: DataFrame, articles: DataFrame, clusters: DataFrame) -> DataFrame:
     """(rule, key) of a labelled story corpus that breaks a rule; it has to be empty.
 

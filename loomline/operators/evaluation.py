@@ -79,14 +79,22 @@ def threshold_sweep(pairs: DataFrame, expected: str, signal: str, with_zero: boo
 def threshold_grid(pairs: DataFrame, expected: str, first: str, second: str) -> DataFrame:
     """(first_threshold, second_threshold, counts, rates) for {0 and observed} x {0 and observed}: both signals have to reach theirs.
 
-    Pairs are counted once for each two values; the grid meets those counts.
+    Pairs are counted once for each two values. Those counts lie on the grid and are
+    summed along it, from the largest second threshold and then from the largest
+    first one, so the work is that of the grid's own rows. A null signal reaches no
+    threshold, and a null threshold is reached by nothing. No pairs: no rows.
     """
     values = lambda s: pairs.select(F.col(s).alias(s)).unionByName(pairs.sparkSession.range(1).select(F.lit(0.0).alias(s))).distinct()
-    cells = pairs.groupBy(F.col(first).alias("x"), F.col(second).alias("y")).agg(F.count_if(F.col(expected)).alias("p"), F.count_if(~F.col(expected)).alias("n"))
-    grid = values(first).withColumnRenamed(first, "first_threshold").crossJoin(values(second).withColumnRenamed(second, "second_threshold"))
-    hit = (F.col("x") >= F.col("first_threshold")) & (F.col("y") >= F.col("second_threshold"))
-    met = grid.crossJoin(cells).groupBy("first_threshold", "second_threshold").agg(F.sum(F.when(hit, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("fp"), F.sum(F.when(hit, 0).otherwise(F.col("n"))).alias("tn"), F.sum(F.when(hit, 0).otherwise(F.col("p"))).alias("fn"))
-    return with_rates(met)
+    cells = pairs.groupBy(F.col(first).alias("first_threshold"), F.col(second).alias("second_threshold")).agg(F.count_if(F.col(expected)).alias("p"), F.count_if(~F.col(expected)).alias("n"))
+    every = cells.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n")).where("all_p IS NOT NULL")  # one row, or none
+    keys = ["first_threshold", "second_threshold"]
+    grid = values(first).withColumnRenamed(first, keys[0]).crossJoin(values(second).withColumnRenamed(second, keys[1])).join(cells, keys, "left")
+    down = lambda by, along: Window.partitionBy(by).orderBy(F.col(along).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    grid = grid.withColumns({c: F.sum(F.coalesce(c, F.lit(0))).over(down(*keys)) for c in ("p", "n")})
+    grid = grid.withColumns({c: F.sum(c).over(down(*reversed(keys))) for c in ("p", "n")})
+    known = F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull()
+    met = grid.select(*keys, *[F.when(known, F.col(c)).otherwise(0).alias(name) for c, name in (("p", "tp"), ("n", "fp"))]).crossJoin(F.broadcast(every))
+    return with_rates(met.select(*keys, "tp", "fp", (F.col("all_n") - F.col("fp")).alias("tn"), (F.col("all_p") - F.col("tp")).alias("fn")))
 
 
 def best_f1(sweep: DataFrame, *order: str) -> DataFrame:

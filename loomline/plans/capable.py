@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions.urls import normal_forms
@@ -92,6 +92,56 @@ def article_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capabilities.article_view(rows)
 
 
+def _at(seconds: Column) -> Column:
+    return F.timestamp_seconds(F.lit(1_704_067_200) + seconds)
+
+
+def _stories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as stories, their orders as members; the first order is the seed."""
+    o = table(spark, sf_dir, "orders")
+    seeds = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("seed"))
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    id_of = lambda letter, key: F.concat(F.lit(letter), key.cast("string"))
+    stories = table(spark, sf_dir, "customer").join(seeds.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left").select(
+        id_of("s", c).alias("id"), id_of("t", c % 5).alias("canonical_title"), id_of("a", F.col("seed")).alias("seed_article_id"), id_of("a", F.col("seed")).alias("representative_article_id"), F.lit("v1").alias("clustering_version"),
+        F.when(c % 3 > 0, _at(c)).alias("first_published_at"), F.when(c % 3 > 0, _at(c + 9)).alias("last_published_at"), _at(c + 1).alias("created_at"), _at(c + 2).alias("updated_at"),
+    )
+    matched = F.col("seed") != k
+    members = o.join(seeds, "o_custkey").select(
+        id_of("m", k).alias("id"), id_of("s", F.col("o_custkey")).alias("story_id"), id_of("a", k).alias("article_id"), F.when(matched, "MATCHED").otherwise("SEED").alias("kind"), F.when(matched, F.lit(0.75)).alias("score"),
+        F.when(matched, F.concat(F.lit('{"b": [1, null], "a": '), (k % 3).cast("string"), F.lit("}"))).alias("signals"), F.when(matched, F.lit('say "so"')).alias("reason"), F.when(matched, id_of("a", F.col("seed"))).alias("matched_against_article_id"),
+        F.lit("v1").alias("clustering_version"), _at(k % 4).alias("created_at"),
+    )
+    return stories, members
+
+
+def story_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stories, members = _stories(spark, sf_dir)
+    k = F.col("o_orderkey")
+    url = F.concat(F.lit("https://e.org/"), k.cast("string"))
+    articles = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("a"), k.cast("string")).alias("id"), F.lit("T").alias("title"), url.alias("url"), url.alias("canonical_url"), F.lit("s").alias("source_id"), F.lit("Source").alias("source_name"), F.lit("rss").alias("source_type"),
+        F.lit(None).cast("string").alias("publisher_id"), F.when(k % 5 > 0, "P").alias("publisher_name"), F.when(k % 7 > 0, _at(k % 100)).alias("published_at"), _at(k % 50).alias("first_discovered_at"), _at(k % 60).alias("last_seen_at"),
+    )
+    return capabilities.story_view(stories, members, articles)
+
+
+def story_list_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capabilities.story_list_view(*_stories(spark, sf_dir))
+
+
+def research_run_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as runs in several states."""
+    k = F.col("event_id")
+    done = k % 4 == 0
+    rows = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("r"), k.cast("string")).alias("id"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("story_id"), F.when(done, "COMPLETED").when(k % 4 == 1, "RUNNING").otherwise("PENDING").alias("status"),
+        F.when(k % 3 > 0, F.lit("a\tgoal")).alias("research_goal"), F.lit('{"maxToolCalls": 3, "maxModelCalls": 2}').alias("budget"), F.when(done, "INSUFFICIENT_SOURCES").alias("outcome"), F.when(done, "TOOL_BUDGET_EXHAUSTED").alias("stop_reason"),
+        F.when(done, F.lit('{"sourceIds": ["x", "y"]}')).alias("selection"), (k % 3).alias("model_calls"), (k % 5).alias("tool_calls"), F.when(k % 4 < 2, _at(k)).alias("started_at"), F.when(done, _at(k + 5)).alias("completed_at"), _at(k - 1).alias("created_at"), _at(k + 6).alias("updated_at"),
+    )
+    return capabilities.research_run_view(rows)
+
+
 def story_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty vectors to a scenario, clustered by label, with some damage of every kind."""
     v = F.col("vec_id")
@@ -105,12 +155,34 @@ def story_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "search_capability": search_capability, "fetch_capability": fetch_capability, "seed_replays": seed_replays, "matched_replays": matched_replays,
-    "embedding_batches": embedding_batches, "job_states": job_states, "article_views": article_views, "story_corpus": story_corpus,
+    "embedding_batches": embedding_batches, "job_states": job_states, "article_views": article_views, "story_views": story_views, "story_list_views": story_list_views,
+    "research_run_views": research_run_views, "story_corpus": story_corpus,
 }
 
 NORMAL = "replace(replace(replace(split_part({0}, '#', 1), '?utm_source=feed&', '?'), '?utm_source=feed', ''), '&utm_source=feed', '')"
 
+def _iso(seconds: str) -> str:
+    return f"""strftime(make_timestamp((1704067200 + {seconds}) * 1000000), '"%Y-%m-%dT%H:%M:%S.000Z"')"""
+
+
+HEAD = f"""'{{"id":"s' || c || '","canonicalTitle":"t' || c % 5 || '","seedArticleId":' || coalesce('"a' || seed || '"', 'null') || ',"representativeArticleId":' || coalesce('"a' || seed || '"', 'null') || ',"clusteringVersion":"v1","firstPublishedAt":'
+  || CASE WHEN c % 3 > 0 THEN {_iso("c")} ELSE 'null' END || ',"lastPublishedAt":' || CASE WHEN c % 3 > 0 THEN {_iso("c + 9")} ELSE 'null' END"""
+DATES = f"""',"createdAt":' || {_iso("c + 1")} || ',"updatedAt":' || {_iso("c + 2")}"""
+SEEDS = "WITH f AS (SELECT o_custkey AS c, min(o_orderkey) AS seed, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT c_custkey AS c, seed, coalesce(n, 0) AS n FROM customer LEFT JOIN f ON c = c_custkey)"
+
 SQL = {
+    "story_views": f"""{SEEDS},
+o AS (SELECT o_orderkey AS k, c, seed, o_orderkey <> seed AS matched FROM orders JOIN f ON c = o_custkey),
+m AS (SELECT c, k, '{{"id":"m' || k || '","kind":"' || CASE WHEN matched THEN 'MATCHED","score":0.75,"signals":{{"a":' || k % 3 || ',"b":[1,null]}},"reason":"say \\"so\\"","matchedAgainstArticleId":"a' || seed || '"' ELSE 'SEED","score":null,"signals":null,"reason":null,"matchedAgainstArticleId":null' END
+  || ',"clusteringVersion":"v1","createdAt":' || {_iso("k % 4")} || ',"article":{{"id":"a' || k || '","title":"T","url":"https://e.org/' || k || '","canonicalUrl":"https://e.org/' || k || '","source":{{"id":"s","name":"Source","type":"rss"}},"publisher":' || CASE WHEN k % 5 > 0 THEN '{{"id":null,"name":"P"}}' ELSE 'null' END
+  || ',"publishedAt":' || CASE WHEN k % 7 > 0 THEN {_iso("k % 100")} ELSE 'null' END || ',"firstDiscoveredAt":' || {_iso("k % 50")} || ',"lastSeenAt":' || {_iso("k % 60")} || '}}}}' AS m FROM o),
+l AS (SELECT c, string_agg(m, ',' ORDER BY k % 4, 'a' || k) AS l FROM m GROUP BY 1)
+SELECT 's' || c AS id, {HEAD} || {DATES} || ',"memberships":[' || coalesce(l, '') || ']}}' AS view FROM s LEFT JOIN l USING (c)""",
+    "story_list_views": f"""{SEEDS} SELECT 's' || c AS id, {HEAD} || ',"membershipCount":' || n || {DATES} || '}}' AS view FROM s""",
+    "research_run_views": f"""WITH e AS (SELECT event_id AS k, user_id AS u FROM events)
+SELECT 'r' || k AS id, '{{"id":"r' || k || '","storyId":"s' || u || '","status":"' || CASE k % 4 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'RUNNING' ELSE 'PENDING' END || '","researchGoal":' || CASE WHEN k % 3 > 0 THEN '"a\\tgoal"' ELSE 'null' END || ',"budget":{{"maxModelCalls":2,"maxToolCalls":3}},'
+  || CASE WHEN k % 4 = 0 THEN '"outcome":"insufficient-sources","stopReason":"tool-budget-exhausted","selection":{{"sourceIds":["x","y"]}}' ELSE '"outcome":null,"stopReason":null,"selection":null' END || ',"modelCalls":' || k % 3 || ',"toolCalls":' || k % 5
+  || ',"startedAt":' || CASE WHEN k % 4 < 2 THEN {_iso("k")} ELSE 'null' END || ',"completedAt":' || CASE WHEN k % 4 = 0 THEN {_iso("k + 5")} ELSE 'null' END || ',"createdAt":' || {_iso("k - 1")} || ',"updatedAt":' || {_iso("k + 6")} || '}}' AS view FROM e""",
     "search_capability": f"""
 WITH p AS (SELECT page_id, page_id // 10 AS q, url FROM pages), f AS (SELECT q, url AS first_url FROM p WHERE page_id % 10 = 0),
 r AS (SELECT q, page_id, CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 11 = 0 THEN first_url ELSE url END AS url FROM p LEFT JOIN f USING (q)),

@@ -1,6 +1,7 @@
 """Capabilities, replays, batches and jobs on a few rows with nulls, repeats and empty tables."""
 
 import datetime
+import json
 
 from loomline.operators import capabilities, evaluation
 
@@ -42,3 +43,23 @@ def test_release_gate(spark):
     measured = spark.createDataFrame([("tp", 9.0), ("fp", 0.0), ("extra", 1.0)], "metric string, value double")
     published = spark.createDataFrame([("tp", 9.0), ("fp", 1.0), ("tn", 12.0)], "metric string, value double")
     assert rows(evaluation.release_gate(measured, published), "metric", "passed") == [("extra", False), ("fp", False), ("tn", False), ("tp", True)]
+
+
+def test_story_and_run_views(spark):
+    at = "timestamp'2024-01-01 00:00:0{}'"
+    story = "'{0}' AS id, 't' AS canonical_title, 'a' AS seed_article_id, 'a' AS representative_article_id, 'v' AS clustering_version, cast(null AS timestamp) AS first_published_at, cast(null AS timestamp) AS last_published_at, " + f"{at.format(1)} AS created_at, {at.format(2)} AS updated_at"
+    stories = spark.sql(f"SELECT {story.format('s')} UNION ALL SELECT {story.format('none')}")
+    members = spark.createDataFrame([("m1", "s", "b", "MATCHED", 0.8, '{"z": 1, "y": null}', "r", "a"), ("m2", "s", "a", "SEED", None, None, None, None)], "id string, story_id string, article_id string, kind string, score double, signals string, reason string, matched_against_article_id string").selectExpr("*", "'v' AS clustering_version", f"{at.format(5)} AS created_at")
+    articles = spark.createDataFrame([(x, "T", "u", "u", "i", "n", "rss", "p", None) for x in ("a", "b")], "id string, title string, url string, canonical_url string, source_id string, source_name string, source_type string, publisher_id string, publisher_name string").selectExpr("*", "cast(null AS timestamp) AS published_at", f"{at.format(6)} AS first_discovered_at", f"{at.format(7)} AS last_seen_at")
+    got = {r.id: json.loads(r.view) for r in capabilities.story_view(stories, members, articles).collect()}
+    assert got["none"]["memberships"] == [] and got["none"]["firstPublishedAt"] is None and got["s"]["createdAt"] == "2024-01-01T00:00:01.000Z"
+    assert [m["id"] for m in got["s"]["memberships"]] == ["m2", "m1"]  # of one time: by article
+    seed, matched = got["s"]["memberships"]
+    assert (seed["score"], seed["signals"], matched["signals"], matched["matchedAgainstArticleId"]) == (None, None, {"y": None, "z": 1}, "a")
+    assert matched["article"]["publisher"] is None and matched["article"]["source"] == {"id": "i", "name": "n", "type": "rss"} and matched["article"]["lastSeenAt"] == "2024-01-01T00:00:07.000Z"
+    assert {r.id: json.loads(r.view)["membershipCount"] for r in capabilities.story_list_view(stories, members).collect()} == {"s": 2, "none": 0}
+    assert capabilities.story_view(stories.limit(0), members, articles).count() == 0
+    run = "'r' AS id, 's' AS story_id, 'RUNNING' AS status, cast(null AS string) AS research_goal, '{\"a\": 1}' AS budget, cast(null AS string) AS outcome, cast(null AS string) AS stop_reason, cast(null AS string) AS selection, 1 AS model_calls, 0 AS tool_calls, "
+    runs = spark.sql(f"SELECT {run} {at.format(1)} AS started_at, cast(null AS timestamp) AS completed_at, {at.format(1)} AS created_at, {at.format(1)} AS updated_at, 'secret' AS execution_token")
+    view = json.loads(capabilities.research_run_view(runs).first().view)
+    assert view["budget"] == {"a": 1} and view["selection"] is None and view["outcome"] is None and "secret" not in str(view) and len(view) == 14

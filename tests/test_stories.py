@@ -200,3 +200,20 @@ def test_a_hot_story_has_a_row_for_an_article_and_not_for_a_pair(spark, monkeypa
     out = clustering.cluster(near, HOUR, tile=256)
     assert out.groupBy("kind", "story_seq").count().sort("kind").collect() == [("MATCHED", 0, 2_999), ("SEED", 0, 1)]
     assert max(df.count() for df in written) <= 2 * 12 * 3000
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_the_grid_of_two_thresholds_is_that_of_all_comparisons(spark, seed):
+    rng = random.Random(seed)
+    signal = lambda: rng.choice([None, -0.5, 0.0, 0.25, 0.5, 1.0])
+    pairs = [(signal(), signal(), rng.random() < 0.4) for _ in range(60)]
+    df = spark.createDataFrame(pairs, "x double, y double, same boolean")
+    got = {(r.first_threshold, r.second_threshold): (r.tp, r.fp, r.tn, r.fn) for r in evaluation.threshold_grid(df, "same", "x", "y").collect()}
+    reaches = lambda v, t: v is not None and t is not None and v >= t
+    want = {}
+    for a in {0.0, *(x for x, _, _ in pairs)}:
+        for b in {0.0, *(y for _, y, _ in pairs)}:
+            hits = [reaches(x, a) and reaches(y, b) for x, y, _ in pairs]
+            want[a, b] = tuple(sum(h == hit and p[2] == same for h, p in zip(hits, pairs, strict=True)) for hit, same in ((True, True), (True, False), (False, False), (False, True)))
+    assert got == want
+    assert evaluation.threshold_grid(df.limit(0), "same", "x", "y").count() == 0
